@@ -4,21 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .collision_ann import nearest
+from .decontaminate import decontaminate
+from .frames import new_path
 from .jaccard_join import jaccard_components
+from .packing import pack
+from .ring_shards import assign_shards
+from .secret_scan import digests, secret_spans
+from .token_count import token_counts
+from .token_orc import read_token_orc, token_digests, write_token_orc
+from .toxicity import toxicity
+from .warc import read_warc, resolved, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    pieces = packed.pieces.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pieces.join(packed.layout, "uid").drop("uid")
+
+
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-orc")
+    write_token_orc(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_digests(read_token_orc(spark, path))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(secret_spans(_table(spark, sf_dir, "documents")))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    return resolved(read_warc(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_collision_ann, op2_token_counts, op3_ngram_jaccard_join, op4_decontamination, op5_best_fit_packing,
+        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
