@@ -183,18 +183,18 @@ def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, n
     return docs.select(word_text().alias("text")).mapInArrow(run, _POSTINGS)
 
 
-_FOUND = "kind int, hash long, a binary, b binary, size_a int"
+_FOUND = "kind int, hash long, a binary, b binary, size_a int, place_a int"
 
 
 def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
-    """Lists of each part. kind 0: pairs (a, b) to verify; 1: postings (hash, a) of long lists; 2: links proved by a shared subset."""
+    """Lists of each part. kind 0: pairs (a, b) to verify; 1: postings (hash, a) of heavy or long lists; 2: links proved by a shared subset."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
 
-        def frame(kind, h, a, b, size):
+        def frame(kind, a, b=None, h=0, size=0, place=0):
             n = len(a)
-            found.append(pd.DataFrame({"kind": np.full(n, kind, np.int32), "hash": h if h is not None else np.zeros(n, np.int64), "a": [v.tobytes() for v in a], "b": [v.tobytes() for v in b] if b is not None else [None] * n, "size_a": size if size is not None else np.zeros(n, np.int32)}))
+            found.append(pd.DataFrame({"kind": np.full(n, kind, np.int32), "hash": h, "a": [v.tobytes() for v in a], "b": [v.tobytes() for v in b] if b is not None else [None] * n, "size_a": size, "place_a": place}))
 
         for kind, packs in pdf.groupby("kind"):
             names = np.concatenate([np.frombuffer(v, "V16") for v in packs.nodes])
@@ -204,7 +204,7 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
             hashes = np.concatenate([np.frombuffer(v, np.uint64) for v in packs.hashes])
             owner = np.repeat(np.arange(len(names)), count)
             if kind == 1:
-                frame(1, hashes.view(np.int64), names[owner], None, sizes[owner])
+                frame(1, names[owner], None, hashes.view(np.int64), sizes[owner], places)
                 continue
             order = np.lexsort((sizes[owner], hashes))
             hashes, owner, places = hashes[order], owner[order], places[order]
@@ -214,10 +214,10 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
                 head = np.repeat(first, length)
                 a, b = owner[head], owner
                 keep = (a != b) & (rule.overlap(sizes[a].astype(np.int64), sizes[b].astype(np.int64)) <= kind - 1)
-                frame(2, None, names[a[keep]], names[b[keep]], None)
+                frame(2, names[a[keep]], names[b[keep]])
                 continue
             long = np.repeat(length > LONG_LIST, length)
-            frame(1, hashes[long].view(np.int64), names[owner[long]], None, sizes[owner[long]])
+            frame(1, names[owner[long]], None, hashes[long].view(np.int64), sizes[owner[long]], places[long])
             left, right = [], []
             for step in range(1, LONG_LIST):
                 here = first[(length > step) & (length <= LONG_LIST)]
@@ -234,9 +234,9 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
                 most = np.minimum(sa - places[i], sb - places[j])
                 keep = (most >= rule.overlap(sa, sb)) & (np.maximum(sa, sb) > x)
                 pair = np.unique(a[keep].astype(np.int64) * len(names) + b[keep])
-                frame(0, None, names[pair // len(names)], names[pair % len(names)], None)
+                frame(0, names[pair // len(names)], names[pair % len(names)])
         if not found:
-            return pd.DataFrame({"kind": [], "hash": [], "a": [], "b": [], "size_a": []})
+            return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
         out = pd.concat(found, ignore_index=True)
         return out[~((out.kind != 1) & (out.a == out.b))]
 
@@ -252,9 +252,11 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             shared = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([len(v) for v in a], pa.int64()), pa.array([len(v) for v in b], pa.int64())], names=["a", "b", "shared", "size_a", "size_b"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
+    pairs = stored(pairs, "pairs")
+    one = keyed(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), pairs.select("a").distinct(), "a", "left_semi")
     two = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "items_a", "items_b").mapInArrow(run, "a binary, b binary, shared long, size_a long, size_b long")
+    both = keyed(two, pairs, "b", "inner").join(one, "a")
+    return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a binary, b binary, shared long, size_a long, size_b long").distinct()
 
 
 def _linked(percent: int):
@@ -269,6 +271,24 @@ def _set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(word_text().alias("text")).mapInArrow(run, "node binary, items binary")
 
 
+def _may_link(rule: Rule) -> str:
+    """Sizes and places (in the order of elements) of a common element that leave room for a link.
+
+    The bound holds at a linked pair's first common element, and one list is enough to bring a pair up.
+    """
+    need = f"-floor(-{rule.percent} * (na + nb) / {100 + rule.percent})"
+    return f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) AND least(na - pa, nb - pb) >= {need}"
+
+
+def _members(lists: DataFrame, x: str) -> DataFrame:
+    return lists.select("hash", F.col("a").alias(x), F.col("size_a").alias(f"n{x}"), F.col("place_a").alias(f"p{x}"))
+
+
+def _short_lists(lists: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) within lists of at most LONG_LIST members."""
+    return _members(lists, "a").join(_members(lists, "b"), "hash").where(f"a < b AND {_may_link(rule)}").select("a", "b").distinct()
+
+
 def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame]:
     """Links among members (hash, a) of long lists that connect whatever a full comparison would connect."""
     percent, tables = rule.percent, []
@@ -276,23 +296,22 @@ def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame
     for k in PIVOTS:
         source = lists if near is None else near
         pivot = source.groupBy("hash", F.pmod(F.xxhash64("a", F.lit(k)), F.lit(k)).alias("slot")).agg(F.min_by("a", F.xxhash64("a", F.lit(-k))).alias("b")).select("hash", "b")
-        tried = rest.join(pivot, "hash").where("a <> b")
+        tried = stored(rest.select("hash", "a").join(pivot, "hash").where("a <> b"), "tried")
         scored = stored(overlaps(tried.select("a", "b").distinct(), sets), "scored")
-        links = scored.where(_linked(percent))
-        tables.append(links.select("a", "b"))
-        done = tried.join(links.select("a", "b"), ["a", "b"]).select("hash", "a").distinct()
+        links = scored.where(_linked(percent)).select("a", "b")
+        tables.append(links)
+        done = tried.join(links, ["a", "b"]).select("hash", "a").distinct()
         if near is None:
-            far = tried.drop("size_a").join(scored, ["a", "b"]).select("hash", "a", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
-            far = far.unionByName(pivot.select("hash", F.col("b").alias("a"), F.lit(0.0).alias("d")))
+            far = tried.join(scored, ["a", "b"]).select("hash", "a", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
+            distance = stored(far.unionByName(pivot.select("hash", F.col("b").alias("a"), F.lit(0.0).alias("d"))), "distance")
             near = stored(done.unionByName(pivot.select("hash", F.col("b").alias("a"))), "near")
             rest = stored(lists.join(near, ["hash", "a"], "left_anti"), "rest")
-            distance = stored(far, "distance")
         else:
             rest = stored(rest.join(done, ["hash", "a"], "left_anti"), "rest")
     limit = 1 - percent / 100 + 1e-9
-    one = rest.join(distance, ["hash", "a"]).select("hash", "a", F.col("d").alias("da"), F.col("size_a").alias("na"))
-    two = lists.join(distance, ["hash", "a"]).select("hash", F.col("a").alias("b"), F.col("d").alias("db"), F.col("size_a").alias("nb"))
-    left = one.join(two, "hash").where(F.expr(f"a <> b AND abs(da - db) <= {limit} AND 100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+    one = _members(rest, "a").join(distance.select("hash", "a", F.col("d").alias("da")), ["hash", "a"])
+    two = _members(lists, "b").join(distance.select("hash", F.col("a").alias("b"), F.col("d").alias("db")), ["hash", "b"])
+    left = one.join(two, "hash").where(f"a <> b AND abs(da - db) <= {limit} AND {_may_link(rule)}")
     pairs = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tables.append(stored(overlaps(pairs, sets).where(_linked(percent)).select("a", "b"), "links"))
     return tables
@@ -318,13 +337,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     copies = stored(rows.join(nodes.where("n_rows > 1").select("node", F.col("doc_id").alias("kept")), "node").where("doc_id > kept").select("doc_id").distinct(), "copies")
     single = keyed(docs, copies, "doc_id", "left_anti")
     found = stored(gather(postings(single, width, rule, heavy, x, parts), rule, x, parts), "found")
-    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    lists = found.where("kind = 1").select("hash", "a", "size_a").distinct()
-    met = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(lists.select("a")).distinct().join(nodes, F.col("a") == F.col("node")).select("doc_id").distinct(), "met")
-    sets = stored(_set_table(keyed(single, met, "doc_id", "left_semi"), width).dropDuplicates(["node"]), "items")
+    heavy_rows = found.where("kind = 1").select("hash", "a", "size_a", "place_a").distinct()
+    lengths = heavy_rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    lists = stored(heavy_rows.join(lengths, "hash"), "lists")
+    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.unionByName(_short_lists(lists.where(f"n <= {LONG_LIST}"), rule)).distinct(), "candidates")
+    long = lists.where(f"n > {LONG_LIST}")
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct()
+    met = stored(ids.join(nodes, F.col("a") == F.col("node")).select("doc_id").distinct(), "met")
+    sets = stored(_set_table(keyed(single, met, "doc_id", "left_semi"), width), "items")
     links = stored(overlaps(pairs, sets).where(_linked(percent)).select("a", "b"), "links").unionByName(found.where("kind = 2").select("a", "b"))
-    if not lists.isEmpty():
-        for table in _long_lists(lists, sets, rule):
+    if not long.isEmpty():
+        for table in _long_lists(long, sets, rule):
             links = links.unionByName(table)
     roots = stored(components(links), "roots")
     dropped(sets)
