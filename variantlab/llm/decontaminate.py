@@ -8,7 +8,8 @@ their offsets, thin them out, and the remaining terms are met in the documents t
 Words: A-Z lower-cased, runs of characters other than ASCII that is not a letter or digit.
 
 Defined results: null text, empty text and text without words have n_words 0 and no hits; repeated rows are
-matched each; a null doc_id is kept; an item with null or no words has no window; other columns are ignored;
+matched each; a null doc_id is kept; an item with null or no words has no window; rows that repeat an item_id add
+to its windows; an item with a null id is matched and hits, but is not named or counted; other columns are ignored;
 empty tables give empty or hitless results.
 """
 
@@ -33,16 +34,20 @@ def lowered(term: Column) -> Column:
     return F.when(F.octet_length(term) == F.char_length(term), F.lower(term)).otherwise(F.translate(term, _UPPER, _LOWER))
 
 
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item_id, w) of each benchmark row: its words in order."""
+    return benchmark.select("item_id", F.transform(words(word_text()), lowered).alias("w"))
+
+
 def item_terms(benchmark: DataFrame) -> DataFrame:
     """(item_id, pos, word) of all benchmark words."""
-    return benchmark.select("item_id", F.posexplode(words(word_text())).alias("pos", "word")).withColumn("word", lowered(F.col("word")))
+    return item_words(benchmark).select("item_id", F.posexplode("w").alias("pos", "word"))
 
 
-def windows(terms: DataFrame, width: int) -> DataFrame:
-    """(win, item_id, offset, word, n): runs of width item words; a shorter item is one window. win is the text of the window."""
-    items = terms.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("w"))
+def windows(items: DataFrame, width: int) -> DataFrame:
+    """(win, item_id, offset, word, n): runs of width words of items (item_id, w); a shorter item is one window. win is the text of the window."""
     last = F.greatest(F.lit(0), F.size("w") - width)
-    each = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    each = items.where(F.size("w") > 0).select("item_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     each = each.select("item_id", F.slice("w", F.col("at") + 1, F.lit(width)).alias("w")).withColumn("win", F.array_join("w", " ")).dropDuplicates(["item_id", "win"])
     return each.select("win", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("offset", "word"))
 
@@ -92,12 +97,12 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
-    terms = stored(item_terms(benchmark), "items")
-    vocabulary = stored(terms.select("word").distinct().select("word", F.monotonically_increasing_id().alias("id")), "vocabulary")
+    items = stored(item_words(benchmark), "items")
+    vocabulary = stored(items.select(F.explode("w").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("id")), "vocabulary")
     vocabulary = vocabulary.select("word", F.row_number().over(W.orderBy("id")).cast("long").alias("term")) if small(vocabulary, BROADCAST_ROWS) else vocabulary.select("word", F.xxhash64("word").alias("term"))
     vocabulary = stored(vocabulary, "vocabulary")
     index = build_index(docs, vocabulary)
-    wins = stored(windows(terms, width).join(vocabulary, "word"), "windows")
+    wins = stored(windows(items, width).join(vocabulary, "word"), "windows")
     found = stored(phrase_matches(index, wins), "matches")
     spans = found.groupBy("uid", "start").agg(F.max("n").alias("n"))
     before = W.partitionBy("uid").orderBy("start").rowsBetween(W.unboundedPreceding, -1)

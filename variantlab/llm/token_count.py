@@ -90,8 +90,8 @@ def spliced(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     each = _encode_chunks(parts.repartition(tasks, "key", "i"), path, chunk, overlap)
     by = W.partitionBy("key").orderBy("i")
     joined = each.withColumn("next", F.lead("head").over(by)).withColumn("at", F.expr("array_min(array_intersect(tail.at, next.at))"))
-    cut = joined.withColumn("stop", F.expr("CASE WHEN next IS NULL THEN n ELSE filter(tail, x -> x.at = at)[0].before END"))
-    cut = cut.withColumn("from", F.lag("at").over(by)).withColumn("skip", F.expr("CASE WHEN i = 0 THEN 0 ELSE filter(head, x -> x.at = from)[0].before END"))
+    cut = joined.withColumn("stop", F.expr("CASE WHEN next IS NULL THEN n ELSE get(filter(tail, x -> x.at = at), 0).before END"))
+    cut = cut.withColumn("from", F.lag("at").over(by)).withColumn("skip", F.expr("CASE WHEN i = 0 THEN 0 ELSE get(filter(head, x -> x.at = from), 0).before END"))
     return cut.groupBy("key").agg(F.when(F.count_if(F.col("stop").isNull() | F.col("skip").isNull()) == 0, F.sum(F.col("stop") - F.col("skip"))).alias("n_tokens"))
 
 
