@@ -6,7 +6,10 @@ Large sets scan inverted lists of their rarest elements (a prefix that any linke
 The boundary between the two is the size that makes a counted cost least.
 Lists longer than LONG_LIST are not expanded into pairs: their members are verified against a few pivots,
 those linked to a pivot are in one component already, and only the rest meets all members,
-with pairs ruled out by the triangle inequality of the Jaccard distance. No pair is dropped.
+with pairs ruled out by the triangle inequality of the Jaccard distance.
+Pairs meet by sketches first (16 bits of about a quarter of the elements), which bound the intersection from above,
+so that whole sets travel for pairs only that may link. Of these, every set is verified against its smallest partner
+before the pairs whose sets are not connected by then. No link between different components is dropped.
 
 Sets are sets of 64-bit shingle hashes; a set is named by the 128-bit digest of its content,
 so exact copies are one node from the start.
@@ -80,11 +83,16 @@ def _name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """16 bits of each element of a quarter of all possible elements."""
+    return (s[s & np.uint64(3) == 0] >> np.uint64(16)).astype(np.uint16).tobytes()
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """First pass: kind 0 rows (doc_id, n, node) for each document; kind 1 rows (hash, count) for elements often met in one task."""
+    """First pass: kind 0 rows (doc_id, n, node, sketch) for each document; kind 1 rows (hash, count) for elements often met in one task."""
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())])
         kept: list[np.ndarray] = []
         many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -97,16 +105,16 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
         for part, sets in _rows(batches, width):
             kept += sets
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
             if sum(map(len, kept)) > 2_000_000:
                 many = settle()
         if kept:
             many = settle()
         heavy = many[1] >= LOCAL_HEAVY
         h, n = many[0][heavy], many[1][heavy]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.array([None] * len(h), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary, sketch binary")
 
 
 def boundary(histogram: list[tuple[int, int]], rule: Rule) -> int:
@@ -263,6 +271,34 @@ def _linked(percent: int):
     return F.expr(f"100 * shared >= {percent} * (size_a + size_b - shared)")
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, n, sketch) leave room for a link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, na, nb in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "na", "nb")), strict=True):
+                p, q = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                need, beyond = rule.overlap(na, nb), min(na - len(p), nb - len(q))
+                room = beyond + min(len(p), len(q)) >= need
+                keep.append(room and beyond + min(int(np.isin(p, q).sum()), int(np.isin(q, p).sum())) >= need)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+
+
+def proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever pairs (a < b) that link connect: first those to each b's smallest a, then those between what is still apart."""
+    pairs = stored(pairs, "pairs")
+    star = stored(overlaps(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets).where(_linked(percent)).select("a", "b"), "star")
+    label = lambda x: star.select(F.col("b").alias(x), F.col("a").alias(f"label_{x}"))
+    left = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
+    left = keyed(keyed(left, label("a"), "a", "left"), label("b"), "b", "left")
+    left = left.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    return star.unionByName(stored(overlaps(left, sets).where(_linked(percent)).select("a", "b"), "links"))
+
+
 def _set_table(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for _, sets in _rows(batches, width):
@@ -289,7 +325,7 @@ def _short_lists(lists: DataFrame, rule: Rule) -> DataFrame:
     return _members(lists, "a").join(_members(lists, "b"), "hash").where(f"a < b AND {_may_link(rule)}").select("a", "b").distinct()
 
 
-def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame]:
+def _long_lists(lists: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Rule) -> list[DataFrame]:
     """Links among members (hash, a) of long lists that connect whatever a full comparison would connect."""
     percent, tables = rule.percent, []
     rest, near = lists, None
@@ -297,7 +333,8 @@ def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame
         source = lists if near is None else near
         pivot = source.groupBy("hash", F.pmod(F.xxhash64("a", F.lit(k)), F.lit(k)).alias("slot")).agg(F.min_by("a", F.xxhash64("a", F.lit(-k))).alias("b")).select("hash", "b")
         tried = stored(rest.select("hash", "a").join(pivot, "hash").where("a <> b"), "tried")
-        scored = stored(overlaps(tried.select("a", "b").distinct(), sets), "scored")
+        asked = tried.select("a", "b").distinct()
+        scored = stored(overlaps(asked if near is None else plausible(asked, sketches, rule), sets), "scored")
         links = scored.where(_linked(percent)).select("a", "b")
         tables.append(links)
         done = tried.join(links, ["a", "b"]).select("hash", "a").distinct()
@@ -313,7 +350,7 @@ def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame
     two = _members(lists, "b").join(distance.select("hash", F.col("a").alias("b"), F.col("d").alias("db")), ["hash", "b"])
     left = one.join(two, "hash").where(f"a <> b AND abs(da - db) <= {limit} AND {_may_link(rule)}")
     pairs = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tables.append(stored(overlaps(pairs, sets).where(_linked(percent)).select("a", "b"), "links"))
+    tables.append(proven(plausible(pairs, sketches, rule), sets, percent))
     return tables
 
 
@@ -343,12 +380,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.unionByName(_short_lists(lists.where(f"n <= {LONG_LIST}"), rule)).distinct(), "candidates")
     long = lists.where(f"n > {LONG_LIST}")
-    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct()
-    met = stored(ids.join(nodes, F.col("a") == F.col("node")).select("doc_id").distinct(), "met")
+    asked = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct(), "asked")
+    sketches = first.where("kind = 0 AND node IS NOT NULL").select("node", "n", "sketch", "doc_id")
+    sketches = keyed(keyed(sketches, copies, "doc_id", "left_anti"), asked.withColumnRenamed("a", "node"), "node", "left_semi")
+    sketches = stored(sketches.dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
+    pairs = stored(plausible(pairs, sketches, rule), "plausible")
+    asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct()
+    met = stored(asked.join(nodes, F.col("a") == F.col("node")).select("doc_id").distinct(), "met")
     sets = stored(_set_table(keyed(single, met, "doc_id", "left_semi"), width), "items")
-    links = stored(overlaps(pairs, sets).where(_linked(percent)).select("a", "b"), "links").unionByName(found.where("kind = 2").select("a", "b"))
+    links = proven(pairs, sets, percent).unionByName(found.where("kind = 2").select("a", "b"))
     if not long.isEmpty():
-        for table in _long_lists(long, sets, rule):
+        for table in _long_lists(long, sets, sketches, rule):
             links = links.unionByName(table)
     roots = stored(components(links), "roots")
     dropped(sets)
