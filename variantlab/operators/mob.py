@@ -38,12 +38,6 @@ def critical(q: int, level: float = 0.05) -> float:
     return (math.sqrt(q) + CRITICAL[level]) ** 2
 
 
-def corrected_p(statistic: float, q: int, tests: int) -> float:
-    """A bound on the p-value after tests screened features: the smallest level whose critical value is met, times tests; 1 if none."""
-    met = [level for level in CRITICAL if statistic > critical(q, level / 1)]
-    return min(1.0, min(met) * tests) if met else 1.0
-
-
 def fit_node(rows: DataFrame, alpha: float):
     return LinearRegression(labelCol="y", weightCol="w", regParam=alpha, elasticNetParam=1.0, standardization=False).fit(rows.withColumn("features", array_to_vector("x")))
 
@@ -104,7 +98,7 @@ def best_cut(rows: DataFrame, q: int, features: list[int], n: int, least: int) -
 
 def grow(rows: DataFrame, alpha: float = 0.01, depth: int = 4, least: int = 50, level: float = 0.05, top: int = 200, corrected: bool = True) -> list[Node]:
     """The tree as a list of nodes, breadth first. corrected: the level is divided by the number of features tried, as the maximum is taken over them."""
-    spark, nodes = rows.sparkSession, []
+    nodes: list[Node] = []
     todo: list[tuple[list, Node | None, str]] = [([], None, "")]
     while todo:
         path, parent, side = todo.pop(0)
@@ -130,7 +124,6 @@ def grow(rows: DataFrame, alpha: float = 0.01, depth: int = 4, least: int = 50,
             continue
         node.statistic, node.feature, node.cut = found
         todo += [([*path, (node.feature, "<=", node.cut)], node, "left"), ([*path, (node.feature, ">", node.cut)], node, "right")]
-    del spark
     return nodes
 
 
