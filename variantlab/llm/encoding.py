@@ -3,7 +3,8 @@
 A tokenizer whose pre-tokenizer drops white space and marks word ends gives a text the ids of its
 white-space separated words in order, since no piece spans white space; so the words of a task are
 kept with their ids. Words of letters, digits and ASCII punctuation, whose normal form is their
-lower case, go to the model in bulk; any other word goes through the whole tokenizer.
+lower case, go to the model in bulk; any other word goes through the whole tokenizer. A text of such
+words only is cut into its runs of letters, digits and punctuation at once, of which there are far fewer.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 _MAX_WORDS = 300_000
 #: Letters that NFC leaves as they are and that have a one-letter lower case, single digits, runs of punctuation without '.
 _UNIT = "[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+|[0-9]|[!-&(-/:-@\\[-`{-~]+"
+_SIMPLE = "[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž0-9!-&(-/:-@\\[-`{-~ \t\n\r\x0b\x0c]*+"
 _KEPT: dict[str, WordEncoder] = {}
 
 
@@ -44,30 +46,50 @@ class WordEncoder:
         self.ends[[i for t, i in self.whole.get_vocab().items() if t.endswith(end)]] = True
         self.plain = re.compile(f"(?:{_UNIT})+")
         self.split = re.compile(_UNIT)
+        self.simple = re.compile(_SIMPLE)
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes | str, int] = {}
         self.units: dict[str, bytes] = {}
         self.ids, self.begin, self.size = array("I"), array("q"), array("q")
 
-    def _learn_units(self, units: list[str]) -> None:
+    def _bulk(self, units: list[str]):
+        """(units, ids, ends of each unit's ids) for parts of the units."""
         for at in range(0, len(units), 2000):
             part = units[at : at + 2000]
-            line = " ".join(u if u.isascii() else u.encode().decode("latin-1").translate(self.letters) for u in part)
+            line = " ".join(part)
+            if not line.isascii():
+                line = " ".join([u if u.isascii() else u.encode().decode("latin-1").translate(self.letters) for u in part])
             ids = np.array(self.bulk.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(part):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
                 raise ValueError("a word without a word end")
-            self.units.update(zip(part, (x.tobytes() for x in np.split(ids, cut[:-1])), strict=True))
+            yield part, ids, ends
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn_units(self, units: list[str]) -> None:
+        for part, ids, ends in self._bulk(units):
+            self.units.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for part, ids, ends in self._bulk(runs):
+            first = len(self.begin)
+            begin = np.concatenate(([0], ends[:-1]))
+            self.begin.frombytes((begin + len(self.ids)).astype(np.int64).tobytes())
+            self.size.frombytes((ends - begin).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
+            self.index.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _learn(self, words: set[bytes | str]) -> None:
         if len(self.units) > _MAX_WORDS:
             self.units = {}
+        self._learn_runs([w for w in words if isinstance(w, str)])
         plain: dict[bytes, list[str]] = {}
         other: list[bytes] = []
         for w in words:
+            if isinstance(w, str):
+                continue
             text = w.decode(errors="replace")
             if self.plain.fullmatch(text) and "<|" not in text:
                 plain[w] = self.split.findall(text.lower())
@@ -85,18 +107,24 @@ class WordEncoder:
             self.size.append(len(ids) // 4)
             self.ids.frombytes(ids)
 
+    def _cut(self, text: str) -> list:
+        """The runs of a simple text, as str, or the words of any other, as bytes."""
+        if "<|" not in text and self.simple.fullmatch(text):
+            return self.split.findall(text.lower())
+        return text.encode().split()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (None: none), as the library gives them without added special tokens."""
-        words = [(t or "").encode().split() for t in texts]
+        words = [self._cut(t or "") for t in texts]
         flat = list(chain.from_iterable(words))
-        found = list(map(self.index.get, flat))
-        if None in found:
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        if (new := np.flatnonzero(at < 0)).size:
             if len(self.index) > _MAX_WORDS:
                 self.clear()
-                found = [None] * len(flat)
-            self._learn({w for w, i in zip(flat, found, strict=True) if i is None})
-            found = list(map(self.index.get, flat))
-        at = np.array(found, np.int64)
+                new = np.arange(len(flat))
+            fresh = [flat[i] for i in new.tolist()]
+            self._learn(set(fresh))
+            at[new] = [self.index[w] for w in fresh]
         size = np.array(np.frombuffer(self.size, np.int64)[at]) if len(at) else np.zeros(0, np.int64)
         begin = np.frombuffer(self.begin, np.int64)[at] if len(at) else size
         ends = np.cumsum(size)
