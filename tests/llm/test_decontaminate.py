@@ -61,6 +61,17 @@ def test_odd_rows(spark):
     assert rows_of(decontaminate(odd_docs(spark, docs), table)) == brute(docs, bench)
 
 
+def test_vocabulary_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr("variantlab.llm.decontaminate.BROADCAST_ROWS", 2)
+    docs = odd_texts()
+    base = docs[5][1].split()
+    bench = [(k, " ".join(base[k : k + 14])) for k in range(0, 100, 20)] + [(200, "one two"), (201, "words that nobody has")]
+    want = brute(docs, bench)
+    items = spark.createDataFrame(bench, "item_id long, text string").repartition(3)
+    assert rows_of(decontaminate(odd_docs(spark, docs), items)) == want
+    assert any(r[5] for r in want)
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, bench).collect() == []

@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), ends.alias("w"))
     each = rows.select("uid", "doc_id", F.posexplode("w").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
     known = vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([(" ", -1)], "word string, term long"))
-    return stored(keyed(each, known, "word", "inner").select("uid", "doc_id", "pos", F.col("term").cast("int").alias("term")), "postings")
+    return stored(keyed(each, known, "word", "inner").select("uid", "doc_id", "pos", "term"), "postings")
 
 
 def phrase_matches(index: DataFrame, wins: DataFrame) -> DataFrame:
@@ -99,8 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
     items = stored(item_words(benchmark), "items")
     vocabulary = stored(items.select(F.explode("w").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("id")), "vocabulary")
-    vocabulary = vocabulary.select("word", F.row_number().over(W.orderBy("id")).cast("long").alias("term")) if small(vocabulary, BROADCAST_ROWS) else vocabulary.select("word", F.xxhash64("word").alias("term"))
-    vocabulary = stored(vocabulary, "vocabulary")
+    # small numbers take less space; beyond the limit the stored ids, which are long and unique, are the terms
+    term = F.row_number().over(W.orderBy("id")).cast("long") if small(vocabulary, BROADCAST_ROWS) else F.col("id")
+    vocabulary = stored(vocabulary.select("word", term.alias("term")), "vocabulary")
     index = build_index(docs, vocabulary)
     wins = stored(windows(items, width).join(vocabulary, "word"), "windows")
     found = stored(phrase_matches(index, wins), "matches")
