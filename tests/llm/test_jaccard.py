@@ -67,6 +67,18 @@ def test_odd_rows(spark, seed):
     assert got == brute(rows)
 
 
+def test_ids_that_name_several_texts_or_none(spark):
+    """One id with two texts, of which one is a copy, and near copies that only null-id rows hold."""
+    import random
+
+    rng = random.Random(3)
+    near = lambda t, k: " ".join([*t.split()[:k], "other", *t.split()[k + 1 :]])
+    one, two, three, four = (sentence(rng, 80) for _ in range(4))
+    rows = [(3, one), (5, one), (5, two), (9, near(two, 30)), (7, three), (None, near(three, 20)), (None, near(three, 20)), (None, four), (None, near(four, 70)), (11, one), (11, one)]
+    got = sorted((tuple(r) for r in jaccard_components(odd_docs(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_long_lists_and_chains(spark):
     """Hundreds of variants that drift from one text, so that links chain, and a passage that many texts share."""
     import random

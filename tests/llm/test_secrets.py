@@ -70,6 +70,13 @@ def test_ledger_scans_only_what_is_new(spark):
     assert got.count() == len(two)
 
 
+def test_one_id_with_two_texts(spark):
+    docs = [(3, SECRETS[0][1]), (5, SECRETS[0][1]), (5, SECRETS[1][1]), (5, "clean"), (None, SECRETS[3][1]), (None, SECRETS[3][1])]
+    path = new_path(spark, "ledger")
+    for _ in range(2):
+        assert rows_of(scan(odd_docs(spark, docs), path)) == sorted(((i, *brute(t)) for i, t in docs), key=str)
+
+
 def test_redaction(spark):
     docs = odd_docs(spark, [(1, "x password=abcdefgh1 y"), (2, None), (3, "clean"), (None, "token=12345678"), (4, "a api_key='0123456789abcdef0123456789abcdef'")])
     out = {r.doc_id: r.text for r in redacted(docs, secret_spans(docs)).collect()}

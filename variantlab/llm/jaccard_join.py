@@ -89,10 +89,10 @@ def _sketch(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """First pass: kind 0 rows (doc_id, n, node, sketch) for each document; kind 1 rows (hash, count) for elements often met in one task."""
+    """First pass: kind 0 rows (doc_id, n, node, sketch, uid) for each document (uid, doc_id, text); kind 1 rows (hash, count) for elements often met in one task."""
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("uid", pa.int64())])
         kept: list[np.ndarray] = []
         many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -105,16 +105,16 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
         for part, sets in _rows(batches, width):
             kept += sets
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()), part.column("uid")], schema=schema)
             if sum(map(len, kept)) > 2_000_000:
                 many = settle()
         if kept:
             many = settle()
         heavy = many[1] >= LOCAL_HEAVY
         h, n = many[0][heavy], many[1][heavy]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary, sketch binary")
+    return docs.select("uid", "doc_id", word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary, sketch binary, uid long")
 
 
 def boundary(histogram: list[tuple[int, int]], rule: Rule) -> int:
@@ -357,9 +357,10 @@ def _long_lists(lists: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Ru
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark, rule = docs.sparkSession, Rule(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # ids may be null or stand for several texts, so rows are named by a stored uid
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "docs")
     first = stored(describe(docs, width), "sets")
-    rows = first.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    rows = first.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "uid")
     histogram = [(r[0], r[1]) for r in rows.where(f"n_shingles BETWEEN 1 AND {4 * MAX_SUBSET_SIZE}").groupBy("n_shingles").count().collect()]
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
@@ -370,9 +371,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     order = np.argsort(hashes)
     heavy = hashes[order], np.array([r[1] for r in top], np.int64)[order]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * (100 - percent) / 100 / PART_POSTINGS))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"))
-    copies = stored(rows.join(nodes.where("n_rows > 1").select("node", F.col("doc_id").alias("kept")), "node").where("doc_id > kept").select("doc_id").distinct(), "copies")
-    single = keyed(docs, copies, "doc_id", "left_anti")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.count("*").alias("n_rows"))
+    copies = stored(rows.join(nodes.where("n_rows > 1").select("node", F.col("uid").alias("kept")), "node").where("uid > kept").select("uid"), "copies")
+    single = keyed(docs, copies, "uid", "left_anti")
     found = stored(gather(postings(single, width, rule, heavy, x, parts), rule, x, parts), "found")
     heavy_rows = found.where("kind = 1").select("hash", "a", "size_a", "place_a").distinct()
     lengths = heavy_rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -381,13 +382,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     pairs = stored(pairs.unionByName(_short_lists(lists.where(f"n <= {LONG_LIST}"), rule)).distinct(), "candidates")
     long = lists.where(f"n > {LONG_LIST}")
     asked = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct(), "asked")
-    sketches = first.where("kind = 0 AND node IS NOT NULL").select("node", "n", "sketch", "doc_id")
-    sketches = keyed(keyed(sketches, copies, "doc_id", "left_anti"), asked.withColumnRenamed("a", "node"), "node", "left_semi")
+    sketches = first.where("kind = 0 AND node IS NOT NULL").select("node", "n", "sketch", "uid")
+    sketches = keyed(keyed(sketches, copies, "uid", "left_anti"), asked.withColumnRenamed("a", "node"), "node", "left_semi")
     sketches = stored(sketches.dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
     pairs = stored(plausible(pairs, sketches, rule), "plausible")
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct()
-    met = stored(asked.join(nodes, F.col("a") == F.col("node")).select("doc_id").distinct(), "met")
-    sets = stored(_set_table(keyed(single, met, "doc_id", "left_semi"), width), "items")
+    met = stored(asked.join(nodes, F.col("a") == F.col("node")).select("uid"), "met")
+    sets = stored(_set_table(keyed(single, met, "uid", "left_semi"), width), "items")
+    dropped(docs)
     links = proven(pairs, sets, percent).unionByName(found.where("kind = 2").select("a", "b"))
     if not long.isEmpty():
         for table in _long_lists(long, sets, sketches, rule):

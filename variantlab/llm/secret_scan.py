@@ -81,8 +81,10 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     seen = _read(spark, f"{ledger}/seen", _SEEN)
     if seen is None:
         todo = blobs.withColumn("rules", F.array(*[F.lit(r.name) for r in rules]))
-        skip = stored(paths.join(blobs.where("copies > 1").select("blob", "kept"), "blob").where("doc_id > kept").select("doc_id").distinct(), "skip")
-        fresh = keyed(rows, skip, "doc_id", "left_anti").withColumn("blob", F.sha2("text", 256)).withColumn("rules", F.array(*[F.lit(r.name) for r in rules]))
+        # an id may stand for several texts, so copies are skipped by id and blob
+        skip = stored(paths.join(blobs.where("copies > 1").select("blob", "kept"), "blob").where("doc_id > kept").select("doc_id", "blob").distinct(), "skip")
+        fresh = rows.withColumn("blob", F.sha2("text", 256)).join(F.broadcast(skip) if small(skip, 100_000) else skip, ["doc_id", "blob"], "left_anti")
+        fresh = fresh.withColumn("rules", F.array(*[F.lit(r.name) for r in rules]))
     else:
         done = seen.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("done"))
         wanted = F.array(*[F.when(~F.array_contains(F.coalesce("done", F.array().cast("array<string>")), f"{r.name}@{r.version}"), F.lit(r.name)) for r in rules])
