@@ -20,23 +20,43 @@ from variantlab.llm.secret_scan import redacted, secret_spans
 from variantlab.llm.toxicity import toxicity
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return keyed(docs, stored(rejected.select("doc_id").distinct(), "rejected"), "doc_id", "left_anti").select(*docs.columns)
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs stored with a number for each row, since ids may be null, repeated or stand for several texts."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """rows as an operator's input, whose doc_id is the row's number."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    return keyed(rows, stored(rejected.select(ROW), "rejected"), ROW, "left_anti").drop(ROW)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    return _without(docs, toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1"))
+    rows = _numbered(docs)
+    return _without(rows, toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), named_by=(ROW,)).where("predicted = 1"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    return _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    """One row of each component of near copies: the smallest id, null ids last, and of equal ids the first row."""
+    rows = _numbered(docs)
+    groups = jaccard_components(_by_row(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__group"))
+    groups = stored(rows.select(ROW, "doc_id").join(groups, ROW).select(ROW, "__group", F.col("doc_id").isNull().alias("__last"), "doc_id"), "groups")
+    first = groups.groupBy("__group").agg(F.min(F.struct("__last", "doc_id", ROW)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return _without(rows, groups.join(first, "__group").where(F.col(ROW) != F.col(f"first.{ROW}")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    rows = _numbered(docs)
+    found = decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

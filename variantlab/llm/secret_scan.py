@@ -116,8 +116,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mark; touching or overlapping spans give one mark."""
-    spans = found.where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans")).dropDuplicates(["doc_id"])
+    """docs with every span of text replaced by mark; touching or overlapping spans give one mark. A row's spans are those of its text's blob."""
+    spans = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -127,5 +127,5 @@ def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataF
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.coalesce(gap, first, F.lit(""))).alias("out"))
 
     clean = F.aggregate("__spans", start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text))))
-    joined = keyed(docs, spans, "doc_id", "left")
+    joined = docs.withColumn("__blob", F.sha2(word_text(), 256)).join(F.broadcast(spans) if small(spans, 100_000) else spans, "__blob", "left")
     return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)

@@ -125,9 +125,9 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_text().alias("text"))
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD, named_by: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document, and its columns named_by."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named_by, word_text().alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(fold(F.col("doc_id")) != held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
     sample = stored(rows.join(F.broadcast(known), "doc_id").withColumn("part", (fold(F.col("doc_id")) == (held_out + 1) % 4).cast("int")), "sample").repartition(8, "doc_id")
@@ -136,7 +136,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: f
     total = sum(counts.values())
     base = sum(v for (_, t), v in counts.items() if t) / total if total else 0.0
     held = F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out")
-    result = lambda score, df: df.select("doc_id", held, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    result = lambda score, df: df.select("doc_id", *named_by, held, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
     if not counts.get((0, 0)) or not counts.get((0, 1)):
         return result(F.lit(float(base)), rows)
     train = sample.where("part = 0").select("doc_id", "toxic", "text")
@@ -145,7 +145,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: f
     fit = stored(with_features(train, lexicon), "features").coalesce(4).select(vector, F.col("toxic").cast("double").alias("label"))
     trees = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.3, maxBins=64, minInstancesPerNode=4, seed=7, subsamplingRate=1.0).fit(fit)
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    scored = raw(with_features(rows, lexicon).select("doc_id", vector)).select("doc_id", "raw")
+    scored = raw(with_features(rows, lexicon).select("doc_id", *named_by, vector)).select("doc_id", *named_by, "raw")
     if counts.get((1, 0)) and counts.get((1, 1)):
         rest = raw(with_features(sample.where("part = 1").select("toxic", "text"), lexicon).select("toxic", vector)).select("raw", F.col("toxic").cast("double").alias("label")).coalesce(4)
         steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(rest)
