@@ -46,7 +46,7 @@ def feature_scales(spark, sf_dir):
 
 def scaled_rows(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return _rounded(V.scaled(rows, V.scale_table(rows, 1000), "largest").groupBy("pair_id").agg(F.sum("value").alias("total"), F.max("value").alias("largest")))
+    return _rounded(V.scaled(rows, V.scale_table(rows, table(spark, sf_dir, "embeddings").count()), "largest").groupBy("pair_id").agg(F.sum("value").alias("total"), F.max("value").alias("largest")))
 
 
 def row_profiles(spark, sf_dir):
@@ -54,7 +54,7 @@ def row_profiles(spark, sf_dir):
 
 
 def sparsity(spark, sf_dir):
-    return _rounded(V.sparsity(vectors(spark, sf_dir, 0.3), 1000, WIDTH))
+    return _rounded(V.sparsity(vectors(spark, sf_dir, 0.3), table(spark, sf_dir, "embeddings").count(), WIDTH))
 
 
 def column_stats(spark, sf_dir):
