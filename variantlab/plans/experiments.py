@@ -60,7 +60,7 @@ def pair_orientation(spark, sf_dir):
 
 def pair_enriched(spark, sf_dir):
     rows = arms(spark, sf_dir)
-    return _rounded(P.enriched(P.all_pairs(rows), rows.where("test_id % 3 <> 0")))
+    return _rounded(P.enriched(P.all_pairs(rows), rows))
 
 
 def best_worst_pairs(spark, sf_dir):
@@ -69,7 +69,7 @@ def best_worst_pairs(spark, sf_dir):
 
 def headline_lookup(spark, sf_dir):
     keys = P.all_pairs(arms(spark, sf_dir)).groupBy("test_id").agg(F.max("id_second").alias("local_idx"))
-    return P.headline_lookup(keys, arms(spark, sf_dir).where("test_id % 2 = 0")).select("test_id", "local_idx", "headline")
+    return P.headline_lookup(keys, arms(spark, sf_dir)).select("test_id", "local_idx", "headline")
 
 
 def clean_pages(spark, sf_dir):
@@ -123,15 +123,19 @@ def text_forms(spark, sf_dir):
     return rows.select("doc_id", d(T.preview(F.col("text"), 60)).alias("preview"), d(T.prompt(F.col("text"))).alias("prompt"), dashboard_url("https://example.org/f", F.col("doc_id")).alias("url"))
 
 
-def feature_names(spark, sf_dir):
+def _part_names(spark, sf_dir):
+    """Features of both spaces, names and width: every part key is an index."""
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("index"), F.col("p_name").alias("description"))
-    features = spark.range(0, 4000).select(F.col("id").cast("int").alias("feature"))
-    return named(features, names, 2000).select("feature", "space_index", "name")
+    width = (names.agg(F.max("index")).first()[0] or 0) + 1
+    return spark.range(0, 2 * width).select(F.col("id").cast("int").alias("feature")), names, width
+
+
+def feature_names(spark, sf_dir):
+    return named(*_part_names(spark, sf_dir)).select("feature", "space_index", "name")
 
 
 def missing_feature_names(spark, sf_dir):
-    names = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").cast("int").alias("index"), F.col("p_name").alias("description"))
-    return missing_names(spark.range(0, 400).select(F.col("id").cast("int").alias("feature")), names, 200)
+    return missing_names(*_part_names(spark, sf_dir))
 
 
 def group_split(spark, sf_dir):
