@@ -161,6 +161,8 @@ _TOKENS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{0B}
 _HASH = "md5('42|' || test_id || '|' || id_first || '|' || id_second)"
 _SHARE = "('0x' || substr(md5('42|' || {}), 1, 12))::UBIGINT::DOUBLE / 281474976710656"
 
+_FEATURES = "w AS (SELECT max(p_partkey) + 1 AS width FROM part), f AS (SELECT CAST(i AS INT) AS feature, CAST(i % width AS INT) AS space_index, width FROM (SELECT unnest(range(2 * width)) AS i, width FROM w))"
+
 ORACLE_SQL = {
     "arm_table": f"WITH {ARMS} SELECT test_id, local_idx, headline, impressions, clicks, round(ctr, 6) AS ctr, best FROM arms",
     "pair_table": f"""WITH {PAIRS} SELECT test_id, id_first, id_second, headline_first, headline_second, clicks_first, clicks_second, impressions_first, impressions_second, round(ctr_first, 6) AS ctr_first, round(ctr_second, 6) AS ctr_second,
@@ -170,13 +172,13 @@ round({_logit('ctr_first')} - {_logit('ctr_second')}, 6) AS target_logit_diff, r
     "pair_sample": f"WITH {PAIRS} SELECT test_id, id_first, id_second FROM pairs QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY {_HASH}, id_first, id_second) <= 4",
     "pair_orientation": f"""WITH {PAIRS}, o AS (SELECT *, right(md5('43|' || test_id || '|' || id_first || '|' || id_second), 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS odd FROM pairs)
 SELECT test_id, CASE WHEN odd THEN id_second ELSE id_first END AS id_first, CASE WHEN odd THEN id_first ELSE id_second END AS id_second, CASE WHEN odd THEN headline_second ELSE headline_first END AS headline_first, CASE WHEN odd THEN clicks_first ELSE clicks_second END AS clicks_second FROM o""",
-    "pair_enriched": f"""WITH {PAIRS}, part_arms AS (SELECT * FROM arms WHERE test_id % 3 <> 0)
+    "pair_enriched": f"""WITH {PAIRS}
 SELECT p.test_id, p.id_first, p.id_second, coalesce(a.clicks, 0) AS clicks_first, coalesce(b.clicks, 0) AS clicks_second, coalesce(a.impressions, 0) AS impressions_first, coalesce(b.impressions, 0) AS impressions_second,
 round(CASE WHEN a.ctr IS NULL OR b.ctr IS NULL THEN 0.0 ELSE {_logit('a.ctr')} - {_logit('b.ctr')} END, 6) AS target_logit_diff, round(CASE WHEN a.ctr IS NULL OR b.ctr IS NULL THEN 0.0 ELSE sqrt(least(a.impressions, b.impressions)) END, 6) AS weight_sqrt_min_impr, a.ctr IS NULL OR b.ctr IS NULL AS is_miss
-FROM pairs p LEFT JOIN part_arms a ON a.test_id = p.test_id AND a.local_idx = p.id_first LEFT JOIN part_arms b ON b.test_id = p.test_id AND b.local_idx = p.id_second""",
+FROM pairs p LEFT JOIN arms a ON a.test_id = p.test_id AND a.local_idx = p.id_first LEFT JOIN arms b ON b.test_id = p.test_id AND b.local_idx = p.id_second""",
     "best_worst_pairs": f"""WITH {ARMS}, r AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY ctr DESC, headline) AS t, row_number() OVER (PARTITION BY test_id ORDER BY ctr, headline) AS l FROM arms)
 SELECT a.test_id, a.local_idx AS id_first, b.local_idx AS id_second, a.headline AS headline_first, b.headline AS headline_second FROM r a JOIN r b ON a.test_id = b.test_id AND a.t = 1 AND b.l = 1 AND a.local_idx <> b.local_idx""",
-    "headline_lookup": f"WITH {PAIRS}, k AS (SELECT test_id, max(id_second) AS local_idx FROM pairs GROUP BY 1) SELECT k.test_id, k.local_idx, coalesce(a.headline, '<unknown>') AS headline FROM k LEFT JOIN arms a ON a.test_id = k.test_id AND a.local_idx = k.local_idx AND a.test_id % 2 = 0",
+    "headline_lookup": f"WITH {PAIRS}, k AS (SELECT test_id, max(id_second) AS local_idx FROM pairs GROUP BY 1) SELECT k.test_id, k.local_idx, coalesce(a.headline, '<unknown>') AS headline FROM k LEFT JOIN arms a ON a.test_id = k.test_id AND a.local_idx = k.local_idx",
     "clean_pages": r"""WITH c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#\p{Nd}+;', '', 'g'), '&[\p{L}\p{M}\p{N}\p{Pc}]+;', '', 'g'), '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g')) AS clean FROM pages)
 SELECT page_id, md5(clean) AS digest, CAST(length(clean) AS INT) AS size FROM c""",
     "keep_first": "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source, text ORDER BY doc_id) = 1",
@@ -190,8 +192,8 @@ UNION ALL SELECT 'clicks', local_idx = 0 FROM arms QUALIFY row_number() OVER (PA
     "token_exceedance": f"WITH t AS (SELECT {_TOKENS} AS v FROM documents), l AS (SELECT unnest([64.0, 128.0, 256.0, 512.0, 1024.0])::DOUBLE AS lim) SELECT lim AS \"limit\", count(*) FILTER (v > lim) AS n, round(100.0 * count(*) FILTER (v > lim) / count(*), 6) AS percent FROM t, l GROUP BY lim",
     "token_bins": f"WITH t AS (SELECT {_TOKENS} AS v FROM conversations), b AS (SELECT unnest([0.0, 10, 20, 50, 100])::DOUBLE AS low, unnest([10.0, 20, 50, 100, NULL])::DOUBLE AS high) SELECT low, high, count(*) FILTER (v >= low AND (high IS NULL OR v < high)) AS n FROM t, b GROUP BY ALL",
     "text_forms": "SELECT doc_id, md5(CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END) AS preview, md5('<start_of_turn>user' || chr(10) || text || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10)) AS prompt, 'https://example.org/f/' || doc_id AS url FROM documents WHERE trim(coalesce(text, '')) <> ''",
-    "feature_names": "WITH f AS (SELECT CAST(range AS INT) AS feature, CAST(range % 2000 AS INT) AS space_index FROM range(4000)) SELECT feature, space_index, (CASE WHEN feature >= 2000 THEN 'diff' ELSE 'ctx' END) || '_' || space_index || '_' || substr(coalesce(p_name, ''), 1, 60) AS name FROM f LEFT JOIN part ON p_partkey = space_index",
-    "missing_feature_names": "WITH f AS (SELECT range % 200 AS i FROM range(400)) SELECT count(*) FILTER (p_name IS NULL) AS missing, count(*) AS features FROM f LEFT JOIN part ON p_partkey = i AND p_partkey % 7 <> 0",
+    "feature_names": f"WITH {_FEATURES} SELECT feature, space_index, (CASE WHEN feature >= width THEN 'diff' ELSE 'ctx' END) || '_' || space_index || '_' || substr(coalesce(p_name, ''), 1, 60) AS name FROM f LEFT JOIN part ON p_partkey = space_index",
+    "missing_feature_names": f"WITH {_FEATURES} SELECT count(*) FILTER (p_name IS NULL) AS missing, count(*) AS features FROM f LEFT JOIN part ON p_partkey = space_index",
     "group_split": f"WITH {PAIRS}, s AS (SELECT *, {_SHARE.format('test_id')} AS h FROM pairs) SELECT CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.30000000000000004 THEN 'validation' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT test_id) AS tests FROM s GROUP BY 1",
     "group_leaks": f"WITH {PAIRS}, s AS (SELECT test_id, {_SHARE.format(chr(39) + chr(39) + ' || test_id || ' + repr('|') + ' || id_first || ' + repr('|') + ' || id_second')} < 0.5 AS t FROM pairs) SELECT test_id, count(DISTINCT t) AS parts FROM s GROUP BY 1 HAVING count(DISTINCT t) > 1",
     "document_windows": "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents QUALIFY rank <= 3",

@@ -261,7 +261,7 @@ ORACLE_SQL = {
     "feature_scales": f"WITH {VEC}, n AS (SELECT count(*) AS n FROM embeddings) SELECT feature, round(sqrt(greatest(0, sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2)), 6) AS scale, round(max(abs(value)), 6) AS largest FROM v, n GROUP BY 1",
     "scaled_rows": f"WITH {VEC}, m AS (SELECT feature, max(abs(value)) AS l FROM v GROUP BY 1) SELECT pair_id, round(sum(value / l), 6) AS total, round(max(value / l), 6) AS largest FROM v JOIN m USING (feature) GROUP BY 1",
     "row_profiles": f"WITH {_ALL} SELECT e.vec_id AS pair_id, count(x.value) AS nnz, round(coalesce(sqrt(sum(x.value * x.value)), 0), 6) AS norm FROM embeddings e LEFT JOIN x ON x.pair_id = e.vec_id AND x.value > 0.3 GROUP BY 1",
-    "sparsity": f"WITH {_ALL} SELECT count(*) AS nnz, round(count(*) / (1000.0 * {WIDTH}), 6) AS density, {WIDTH} - count(DISTINCT feature) AS dead, count(*) FILTER (value > 0) AS positive, count(*) FILTER (value < 0) AS negative, round(min(value), 6) AS least, round(max(value), 6) AS most FROM x WHERE value > 0.3",
+    "sparsity": f"WITH {_ALL} SELECT count(*) AS nnz, round(count(*) / ((SELECT count(*) FROM embeddings) * {WIDTH}.0), 6) AS density, {WIDTH} - count(DISTINCT feature) AS dead, count(*) FILTER (value > 0) AS positive, count(*) FILTER (value < 0) AS negative, round(min(value), 6) AS least, round(max(value), 6) AS most FROM x WHERE value > 0.3",
     "column_stats": f"WITH {VEC}, g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT v.label AS grp, feature, round(sum(value) / any_value(n), 6) AS mean, round(sum(value), 6) AS total, round(sum(value * value), 6) AS squares, round(sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2, 6) AS variance FROM v JOIN g ON v.label = g.label GROUP BY 1, 2",
     "distinctive_features": f"WITH {VEC}, g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), a AS (SELECT feature, sum(value) / (SELECT count(*) FROM embeddings) AS m FROM v GROUP BY 1), s AS (SELECT v.label AS grp, feature, sum(value) / any_value(n) AS m FROM v JOIN g ON v.label = g.label GROUP BY 1, 2) SELECT grp, s.feature, round(s.m - a.m, 6) AS gap, CAST(row_number() OVER (PARTITION BY grp ORDER BY s.m - a.m DESC, s.feature) AS INT) AS rank FROM s JOIN a USING (feature) QUALIFY rank <= 5",
     "top_activations": f"WITH {VEC} " + _TOP.format("SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC, pair_id) AS rank FROM v"),
