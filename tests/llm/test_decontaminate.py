@@ -10,6 +10,7 @@ from variantlab.llm.queries import op4_decontamination
 
 from .fixtures import DOCS, odd_docs, odd_texts
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -61,8 +62,9 @@ def test_odd_rows(spark):
     assert rows_of(decontaminate(odd_docs(spark, docs), table)) == brute(docs, bench)
 
 
-def test_vocabulary_beyond_the_limit(spark, monkeypatch):
-    monkeypatch.setattr("variantlab.llm.decontaminate.BROADCAST_ROWS", 2)
+@pytest.mark.parametrize("limit", [0, 2])
+def test_sides_beyond_the_limit(spark, monkeypatch, limit):
+    monkeypatch.setattr("variantlab.llm.frames.BROADCAST_ROWS", limit)
     docs = odd_texts()
     base = docs[5][1].split()
     bench = [(k, " ".join(base[k : k + 14])) for k in range(0, 100, 20)] + [(200, "one two"), (201, "words that nobody has")]

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .frames import BROADCAST_ROWS, keyed, small, stored, word_text
+from .frames import keyed, stored, word_text
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,10 +98,8 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFr
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
     items = stored(item_words(benchmark), "items")
-    vocabulary = stored(items.select(F.explode("w").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("id")), "vocabulary")
-    # small numbers take less space; beyond the limit the stored ids, which are long and unique, are the terms
-    term = F.row_number().over(W.orderBy("id")).cast("long") if small(vocabulary, BROADCAST_ROWS) else F.col("id")
-    vocabulary = stored(vocabulary.select("word", term.alias("term")), "vocabulary")
+    # a stored id is unique and long at any size, and Parquet's dictionaries keep it short
+    vocabulary = stored(items.select(F.explode("w").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
     index = build_index(docs, vocabulary)
     wins = stored(windows(items, width).join(vocabulary, "word"), "windows")
     found = stored(phrase_matches(index, wins), "matches")

@@ -7,18 +7,22 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A key table of at most this many rows (a fixed-width key each, so tens of MB) may be broadcast.
+#: A stored table of at most this many rows and bytes (as written, compressed) may be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 24 << 20
 
 
 _OWN: dict[str, str] = {}
+_STORED = "_stored_at"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new temporary one for each application."""
+    """The folder of spark.checkpoint.dir; where that is unset and all runs in one process, as in tests, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="variantlab-")
@@ -35,7 +39,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    setattr(out, _STORED, path)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -51,12 +57,17 @@ def dropped(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
-def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return keys.limit(rows + 1).count() <= rows
+def small(table: DataFrame) -> bool:
+    """Whether a table that stored() returned is within both bounds; rows come from the files' footers."""
+    spark, path = table.sparkSession, getattr(table, _STORED)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return size <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
 
 
-def keyed(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """A left_semi, left_anti or left join by key that broadcasts keys only after counting them; else both sides are shuffled."""
+def keyed(df: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A join with keys that broadcasts them only where they are stored and small; else both sides are shuffled. Keys that are not stored yet are."""
+    keys = keys if hasattr(keys, _STORED) else stored(keys, "keys")
     return df.join(F.broadcast(keys) if small(keys) else keys, on, how)
 
 
