@@ -4,19 +4,22 @@ Every text is a blob named by the SHA-256 of its content. The ledger holds which
 rule has seen, and the findings. A scan takes one copy of each blob, applies the rules whose version the ledger
 lacks for it, appends to the ledger, and joins the findings to all paths (documents) of each blob.
 
-Positions come from splitting a text at the rule's matches: gaps and matches alternate, so their lengths add up.
+Positions come from splitting a text at the rule's matches: gaps and matches alternate, and a window sums their
+lengths, so that work and memory follow the number of matches in a text however many there are.
 
-Defined results: null text is empty and has no spans; repeated rows are paths of one blob and all are returned;
-a null doc_id is kept; other columns are ignored; an empty table gives an empty result.
+Defined results: null text is empty and has no spans; repeated rows are paths of one blob and all are returned, and
+one id may name several blobs; a null doc_id is kept, scanned and redacted as others are; very long texts and texts
+with very many matches are scanned whole; other columns are ignored, and kept by redacted whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .frames import keyed, new_path, small, stored, word_text
+from .frames import keyed, new_path, stored, word_text
 
 
 @dataclass(frozen=True)
@@ -39,24 +42,24 @@ RULES = (
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
+MATCH = "struct<rank:int,kind:string,gap:int,size:int,counts:boolean>"
+
+
 def matches(text: Column, rule: Rule, rank: int) -> Column:
-    """The spans (start, rank, kind, end) of a rule, leftmost and not overlapping, in code points."""
+    """The matches of a rule, leftmost and not overlapping, in order: the code points before each since the last one, its own, and whether it counts."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     part = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["whole"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.name).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["part"]) >= rule.least, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    rows = F.arrays_zip(F.slice(F.split(text, rule.pattern), 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
+    sizes = lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(rule.name).alias("kind"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["whole"]).alias("size"), (F.char_length(x["part"]) >= rule.least).alias("counts"))
+    return F.when(text.rlike(rule.pattern), F.transform(rows, sizes)).otherwise(F.array().cast(f"array<{MATCH}>"))
 
-    def spans(found: Column) -> Column:
-        rows = F.arrays_zip(F.slice(F.split(text, rule.pattern), 1, F.size(found)).alias("gap"), found.alias("whole"), part.alias("part"))
-        return F.aggregate(rows, start, add, lambda s: s["spans"])
 
-    return F.when(text.rlike(rule.pattern), spans(whole)).otherwise(F.array().cast(f"array<{SPAN}>"))
+def located(found: DataFrame) -> DataFrame:
+    """(blob, span) of the matches that count, from rows (blob, row, pos, m) of matches m in order pos."""
+    till = F.sum(F.col("m.gap") + F.col("m.size")).over(W.partitionBy("blob", "row", "m.rank").orderBy("pos")).cast("int")
+    each = found.select("blob", "m", till.alias("end")).where("m.counts")
+    return each.select("blob", F.struct((F.col("end") - F.col("m.size")).alias("start"), F.col("m.rank").alias("rank"), F.col("m.kind").alias("kind"), "end").alias("span")).distinct()
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -77,13 +80,13 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     text = word_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     paths = stored(rows.select("doc_id", F.sha2("text", 256).alias("blob")), "paths")
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
+    blobs = stored(paths.groupBy("blob").agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")), "blobs")
     seen = _read(spark, f"{ledger}/seen", _SEEN)
     if seen is None:
         todo = blobs.withColumn("rules", F.array(*[F.lit(r.name) for r in rules]))
         # an id may stand for several texts, so copies are skipped by id and blob
-        skip = stored(paths.join(blobs.where("copies > 1").select("blob", "kept"), "blob").where("doc_id > kept").select("doc_id", "blob").distinct(), "skip")
-        fresh = rows.withColumn("blob", F.sha2("text", 256)).join(F.broadcast(skip) if small(skip, 100_000) else skip, ["doc_id", "blob"], "left_anti")
+        skip = paths.join(blobs.where("copies > 1").select("blob", "kept"), "blob").where("doc_id > kept").select("doc_id", "blob").distinct()
+        fresh = keyed(rows.withColumn("blob", F.sha2("text", 256)), skip, ["doc_id", "blob"], "left_anti")
         fresh = fresh.withColumn("rules", F.array(*[F.lit(r.name) for r in rules]))
     else:
         done = seen.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("done"))
@@ -92,15 +95,16 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
         open_ids = todo.select(F.col("kept").alias("doc_id"))
         fresh = keyed(rows, open_ids.distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
         fresh = fresh.withColumn("blob", F.sha2("text", 256)).join(todo.select("blob", "rules"), "blob")
-    each = F.flatten(F.array(*[F.when(F.array_contains("rules", r.name), matches(F.col("text"), r, k)).otherwise(F.array().cast(f"array<{SPAN}>")) for k, r in enumerate(rules)]))
+    each = F.flatten(F.array(*[F.when(F.array_contains("rules", r.name), matches(F.col("text"), r, k)).otherwise(F.array().cast(f"array<{MATCH}>")) for k, r in enumerate(rules)]))
     version = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
-    found = fresh.select("blob", F.explode(each).alias("span")).distinct().select("blob", F.col("span.kind").alias("rule"), version[F.col("span.kind")].alias("version"), "span")
+    found = located(fresh.select("blob", F.monotonically_increasing_id().alias("row"), each.alias("m")).select("blob", "row", F.posexplode("m").alias("pos", "m")))
+    found = found.select("blob", F.col("span.kind").alias("rule"), version[F.col("span.kind")].alias("version"), "span")
     found.write.mode("append").parquet(f"{ledger}/findings")
     todo.select("blob", F.explode("rules").alias("rule")).select("blob", "rule", version[F.col("rule")].alias("version")).write.mode("append").parquet(f"{ledger}/seen")
     current = F.array(*[F.lit(f"{r.name}@{r.version}") for r in rules])
     kept = spark.read.schema(_FOUND).parquet(f"{ledger}/findings").where(F.array_contains(current, F.concat_ws("@", "rule", "version")))
     grouped = kept.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    return paths.join(F.broadcast(grouped) if small(grouped, 100_000) else grouped, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return keyed(paths, grouped, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -116,16 +120,18 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mark; touching or overlapping spans give one mark. A row's spans are those of its text's blob."""
-    spans = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-
-    def add(state: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > state["at"], F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))
-        first = F.when((s["start"] == 0) & (state["at"] == 0), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.coalesce(gap, first, F.lit(""))).alias("out"))
-
-    clean = F.aggregate("__spans", start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text))))
-    joined = docs.withColumn("__blob", F.sha2(word_text(), 256)).join(F.broadcast(spans) if small(spans, 100_000) else spans, "__blob", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    """docs with every span of text replaced by mark; touching or overlapping spans give one mark. A row's spans are those of its text's blob.
+
+    Windows over a blob's spans give the stretches between marks; each is cut from the text's fixed-width form, so
+    the work follows the text's length and the number of spans, not their product.
+    """
+    each = found.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).distinct()
+    reach = F.coalesce(F.max("s.end").over(W.partitionBy("blob").orderBy("s.start", "s.end").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    each = each.select("blob", reach.alias("reach"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    stretch = F.when(F.col("start") > F.col("reach"), F.struct(F.greatest("reach", F.lit(0)).alias("at"), F.col("start").alias("to")))
+    cuts = each.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_list(stretch)).alias("__cuts"), F.max("end").alias("__tail"))
+    text, wide = F.col("text"), F.encode(F.col("text"), "UTF-32")
+    piece = lambda at, to: F.decode(F.substr(wide, 4 * at + 1, 4 * (to - at)), "UTF-32")
+    pieces = F.concat(F.transform("__cuts", lambda c: piece(c["at"], c["to"])), F.array(piece(F.col("__tail"), F.char_length(text))))
+    joined = keyed(docs.withColumn("__blob", F.sha2(word_text(), 256)), cuts, "__blob", "left")
+    return joined.withColumn("text", F.when(F.col("__cuts").isNotNull() & text.isNotNull(), F.array_join(pieces, mark)).otherwise(text)).select(*docs.columns)
