@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -146,3 +147,47 @@ def test_files_of_odd_rows(spark):
     path = new_path(spark, "orc")
     write_token_orc(spark.createDataFrame([], DOCS), path, WORDS, end_id=2)
     assert token_digests(read_token_orc(spark, path)).collect() == []
+
+
+def full_bins(rng, bins, fewest, most, capacity):
+    """Sizes that fill a known number of bins to the brim."""
+    out = []
+    for _ in range(bins):
+        cuts = np.sort(rng.choice(np.arange(1, capacity), rng.integers(fewest, most + 1) - 1, replace=False))
+        out += np.diff(np.concatenate(([0], cuts, [capacity]))).tolist()
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("bins", "fewest", "most"), [(60, 2, 6), (100, 3, 6), (200, 2, 8)])
+def test_islands_beat_best_fit_decreasing(spark, bins, fewest, most):
+    """Groups built from known full bins, of which best fit decreasing needs one more: the islands find a division as good as that known."""
+    rows, best_fit = [], 0
+    for group in range(3):
+        lengths = full_bins(np.random.default_rng(group), bins, fewest, most, 2048)
+        best_fit += packing._packed(lengths, np.argsort(-lengths, kind="stable"), 2048).max() + 1
+        rows += [(group * 100_000 + k, int(n), group) for k, n in enumerate(lengths)]
+    layout = packing.islands(spark.createDataFrame(rows, "uid long, length long, grp long"), 2048).collect()
+    sizes = {uid: n for uid, n, _ in rows}
+    fill = defaultdict(int)
+    for r in layout:
+        fill[r.sequence_id] += sizes[r.uid]
+    assert len(layout) == len(rows) and max(fill.values()) <= 2048
+    assert best_fit == 3 * (bins + 1) and len(fill) == 3 * bins
+
+
+def test_small_groups_are_packed_as_well_as_can_be():
+    """Against a search of all divisions."""
+
+    def least(items, free):
+        if not items:
+            return len(free)
+        out = least(items[1:], [*free, 30 - items[0]])
+        for k in {f: k for k, f in enumerate(free) if f >= items[0]}.values():
+            out = min(out, least(items[1:], [*free[:k], free[k] - items[0], *free[k + 1 :]]))
+        return out
+
+    for seed in range(12):
+        lengths = np.random.default_rng(seed).integers(4, 20, 8)
+        start = [packing._packed(lengths, np.argsort(-lengths, kind="stable"), 30), packing._noisy(lengths, 30, np.random.default_rng(seed))]
+        best = packing.evolve(lengths, start, 30, seed, packing.GENERATIONS, packing.least_bins(lengths, 30))
+        assert best.max() + 1 == least(sorted(lengths.tolist(), reverse=True), [])

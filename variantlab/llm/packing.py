@@ -1,10 +1,13 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
 Documents become token pieces of at most capacity ids; full pieces are sequences of their own. The others are
-dealt to groups by hash, each evolved by several islands: a chromosome is a division into bins, a crossover
-injects whole well-filled bins of one parent into the other, removes the bins that hold duplicates, and best-fits
-the displaced pieces. After each epoch an island also gets its neighbour's elite. A group whose best division
-meets the lower bound on bins stops early. Only lengths take part; ids stay in a stored table.
+dealt to groups by hash, each evolved by several islands that start from different divisions: a chromosome is a
+division into bins, a crossover injects whole well-filled bins of one parent into the other, removes the bins that
+hold duplicates, and best-fits the displaced pieces; a mutation empties some bins and fills them anew, one after
+another, each with its largest piece and the subset of the others that fills it most. An epoch evolves a group's
+bins with room and some full ones, ACTIVE pieces at most, and leaves the other full bins as they are. After each epoch
+an island also gets its neighbour's elite. Only lengths take part; ids stay in a stored table. A group is finished
+when its best division meets the lower bound on bins, an epoch after STALL generations without a better one.
 
 Groups are of bounded size at any input, so a group's last bin costs at most one sequence for GROUP pieces.
 
@@ -27,9 +30,12 @@ from .frames import stored
 
 GROUP = 8192
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 4
-POPULATION = 3
+EPOCHS = 3
+GENERATIONS = 60
+STALL = 30
+POPULATION = 4
+#: Pieces that an epoch evolves, and those that a mutation takes out of their bins.
+ACTIVE, EMPTIED = 1200, 100
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -108,9 +114,9 @@ def _refit(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def crossover(lengths: np.ndarray, into: np.ndarray, giver: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Injects a random half of giver's well-filled bins whole, drops into's bins that share items, refits the displaced."""
+    """Injects some of giver's well-filled bins whole, drops into's bins that share items, best-fits the displaced."""
     fill = np.bincount(giver, weights=lengths)
-    chosen = (fill >= np.quantile(fill, 0.5)) & (rng.random(len(fill)) < 0.5)
+    chosen = (fill >= np.quantile(fill, 0.5)) & (rng.random(len(fill)) < rng.choice([0.05, 0.1, 0.3, 0.5]))
     moved = chosen[giver]
     hit = np.zeros(into.max() + 1, bool)
     hit[into[moved]] = True
@@ -119,12 +125,39 @@ def crossover(lengths: np.ndarray, into: np.ndarray, giver: np.ndarray, capacity
     return _refit(lengths, out, capacity)
 
 
+def filled_anew(lengths: np.ndarray, items: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
+    """Bins of items: each takes the largest one left and the subset of the others, in random order, that fills it most."""
+    free, out = sorted(items, key=lambda i: -lengths[i]), []
+    while free:
+        first = free.pop(0)
+        room = capacity - int(lengths[first])
+        order = [k for k in range(len(free)) if lengths[free[k]] <= room]
+        rng.shuffle(order)
+        sums, within = [1], (1 << (room + 1)) - 1  # bit n: some subset has the sum n
+        for k in order:
+            sums.append((sums[-1] | (sums[-1] << int(lengths[free[k]]))) & within)
+            if sums[-1] >> room:
+                break
+        at, taken = sums[-1].bit_length() - 1, []
+        for j in range(len(sums) - 1, 0, -1):
+            if at and not sums[j - 1] >> at & 1:
+                taken.append(order[j - 1])
+                at -= int(lengths[free[order[j - 1]]])
+        out.append([first, *(free.pop(k) for k in sorted(taken, reverse=True))])
+    return out
+
+
 def mutate(lengths: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Empties the least filled bins and a few others, and refits their items."""
-    fill = np.bincount(bins, weights=lengths)
-    gone = rng.random(len(fill)) < 0.02
-    gone[np.argsort(fill)[: max(1, len(fill) // 100)]] = True
-    return _refit(lengths, np.where(gone[bins], -1, bins), capacity)
+    """Empties bins with room, and full ones if there are few of those, up to EMPTIED items, and fills them anew."""
+    fill, held = np.bincount(bins, weights=lengths), np.bincount(bins)
+    order = np.concatenate([rng.permutation(np.flatnonzero(fill < capacity)), rng.permutation(np.flatnonzero(fill >= capacity))])
+    gone = np.zeros(len(fill), bool)
+    gone[order[: max(2, int(np.searchsorted(np.cumsum(held[order]), EMPTIED)))]] = True
+    loose = np.flatnonzero(gone[bins])
+    out = bins + len(fill)
+    for b, items in enumerate(filled_anew(lengths, loose.tolist(), capacity, rng)):
+        out[items] = b
+    return np.unique(out, return_inverse=True)[1]
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
@@ -140,35 +173,52 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int(best)
 
 
+def _noisy(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    return _packed(lengths, np.argsort(-(lengths * (1 + 0.2 * rng.random(len(lengths)))), kind="stable"), capacity)
+
+
 def evolve(lengths: np.ndarray, start: list[np.ndarray], capacity: int, seed: int, generations: int, goal: int) -> np.ndarray:
-    """The best division after some generations of a steady population."""
+    """The best division after some generations of a steady population, which holds start[0]'s active part, the same
+    pieces as the others divide them, and noisy best fits."""
     rng = np.random.default_rng(seed)
-    crowd = [(_score(lengths, b, capacity), b) for b in start]
-    while len(crowd) < POPULATION:
-        noise = np.argsort(-(lengths * (1 + 0.2 * rng.random(len(lengths)))), kind="stable")
-        bins = _packed(lengths, noise, capacity)
-        crowd.append((_score(lengths, bins, capacity), bins))
-    crowd.sort(key=lambda c: c[0])
+    best = start[0]
+    fill, held = np.bincount(best, weights=lengths), np.bincount(best)
+    order = np.concatenate([rng.permutation(np.flatnonzero(fill < capacity)), rng.permutation(np.flatnonzero(fill >= capacity))])
+    active = np.zeros(len(fill), bool)
+    active[order[: max(2, int(np.searchsorted(np.cumsum(held[order]), ACTIVE)))]] = True
+    own = np.flatnonzero(active[best])
+    some, goal = lengths[own], goal - int((~active).sum())
+    crowd = [np.unique(b[own], return_inverse=True)[1] for b in start]
+    crowd += [_noisy(some, capacity, rng) for _ in range(POPULATION - len(crowd))]
+    ranked = sorted(((_score(some, b, capacity), b) for b in crowd), key=lambda c: c[0])
+    since = 0
     for _ in range(generations):
-        if crowd[0][0][0] <= goal:
+        if ranked[0][0][0] <= goal or since > STALL:
             break
-        one, two = rng.choice(len(crowd), 2, replace=False)
-        child = mutate(lengths, crossover(lengths, crowd[one][1], crowd[two][1], capacity, rng), capacity, rng)
-        crowd[-1] = min(crowd[-1], (_score(lengths, child, capacity), child), key=lambda c: c[0])
-        crowd.sort(key=lambda c: c[0])
-    return crowd[0][1]
+        one, two = rng.choice(len(ranked), 2, replace=False)
+        child = mutate(some, crossover(some, ranked[one][1], ranked[two][1], capacity, rng), capacity, rng)
+        score = _score(some, child, capacity)
+        since = 0 if score < ranked[0][0] else since + 1
+        if score < ranked[-1][0] and all(score != c[0] for c in ranked):
+            ranked = sorted([*ranked[:-1], (score, child)], key=lambda c: c[0])
+    out = best + len(lengths)
+    out[own] = ranked[0][1]
+    out = np.unique(out, return_inverse=True)[1]
+    return min([best, out], key=lambda b: _score(lengths, b, capacity))
 
 
 _STATE = "grp long, island int, uids binary, lengths binary, bins binary, goal long"
 
 
-def _first_epoch(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _founded(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """A group's islands: the first starts from best fit decreasing, the others from noisy best fits of their own."""
     pdf = pdf.sort_values("uid")
     uids, lengths = pdf.uid.to_numpy(np.int64), pdf.length.to_numpy(np.int64)
     goal = least_bins(lengths, capacity)
-    bins = _packed(lengths, np.argsort(-lengths, kind="stable"), capacity)
     group = int(pdf.grp.iloc[0])
-    return pd.DataFrame([(group, k, uids.tobytes(), lengths.astype(np.int32).tobytes(), bins.astype(np.int32).tobytes(), goal) for k in range(ISLANDS)], columns=["grp", "island", "uids", "lengths", "bins", "goal"])
+    bins = [_packed(lengths, np.argsort(-lengths, kind="stable"), capacity)]
+    bins += [_noisy(lengths, capacity, np.random.default_rng((group, k))) for k in range(1, ISLANDS)]
+    return pd.DataFrame([(group, k, uids.tobytes(), lengths.astype(np.int32).tobytes(), b.astype(np.int32).tobytes(), goal) for k, b in enumerate(bins)], columns=["grp", "island", "uids", "lengths", "bins", "goal"])
 
 
 def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
@@ -182,7 +232,8 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
                 own, other = (np.frombuffer(b, np.int32).astype(np.int64) for b in (row.bins, row.guest))
                 start = [own] if row.bins == row.guest else [own, other]
                 seed = (row.grp * ISLANDS + row.island) * EPOCHS + epoch
-                out.append(own if own.max() + 1 <= row.goal else evolve(lengths, start, capacity, seed, GENERATIONS, row.goal))
+                finished = min(own.max(), other.max()) + 1 <= row.goal
+                out.append(own if finished else evolve(lengths, start, capacity, seed, GENERATIONS, row.goal))
             yield pdf.drop(columns="guest").assign(bins=[b.astype(np.int32).tobytes() for b in out])
 
     guest = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("bins").alias("guest"))
@@ -223,16 +274,19 @@ class Packed:
         return self.pieces.join(self.layout, "uid")
 
 
+def islands(part: DataFrame, capacity: int) -> DataFrame:
+    """(uid, sequence_id, offset) of pieces (uid, length, grp), by the best of each group's islands after all epochs."""
+    tasks = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = part.repartition(tasks, "grp").groupBy("grp").applyInPandas(lambda pdf: _founded(pdf, capacity), _STATE)
+    for epoch in range(EPOCHS):
+        state = _epoch(stored(state, "islands"), capacity, epoch)
+    return _layout(stored(state, "islands"), capacity)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> Packed:
-    spark = docs.sparkSession
     pieces = stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces")
     part = pieces.where(F.col("length") < capacity).select("uid", "length")
     groups = max(1, -(-part.count() // GROUP))
     dealt = part.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = dealt.repartition(tasks, "grp").groupBy("grp").applyInPandas(lambda pdf: _first_epoch(pdf, capacity), _STATE)
-    for epoch in range(EPOCHS):
-        state = stored(state, "islands")
-        state = _epoch(state, capacity, epoch)
     full = pieces.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return Packed(pieces, _layout(stored(state, "islands"), capacity).unionByName(full))
+    return Packed(pieces, islands(dealt, capacity).unionByName(full))
