@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from variantlab.llm.collision_ann import nearest
+from variantlab.llm.collision_ann import BLOCK, Block, nearest
 from variantlab.llm.queries import op1_collision_ann, op7_toxicity
 from variantlab.llm.toxicity import toxicity
 
@@ -54,6 +55,7 @@ def exact(ids, x, k=20, every=20):
     return out
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
 def test_recall_on_the_whole_table(spark, sf_dir):
     data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
     want = exact(data.vec_id.to_numpy(), np.stack(data.embedding).astype(float))
@@ -67,6 +69,22 @@ def test_recall_on_the_whole_table(spark, sf_dir):
     assert got.query_id.nunique() == len(want) and hit >= 0.9 * 20 * len(want)
 
 
+def test_windows_prune_where_vectors_have_structure():
+    """A block of full size, vectors around 200 centres: few are verified, and the neighbours are among them."""
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((200, 64))
+    x = centres[rng.integers(200, size=BLOCK)] + 0.3 * rng.standard_normal((BLOCK, 64))
+    ids = np.arange(BLOCK)
+    block = Block(ids, x, 0)
+    want = exact(ids, x, 20, 400)
+    found = verified = 0
+    for q, best in want.items():
+        rows, _, _ = block.arrays.search(x[q], 21, block.start)
+        verified += len(rows)
+        found += len(set(block.nearest(q, x[q], 20, 20)[0].tolist()) & {v for v, _ in best})
+    assert found >= 0.9 * 20 * len(want) and verified <= 0.15 * BLOCK * len(want)
+
+
 def test_odd_vectors(spark):
     rows = [(k, [float(k % 7), 1.0, -float(k)]) for k in range(41)] + [(100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 2.0]), (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (106, [1.0]), (None, [1.0, 2.0, 3.0]), (40, [5.0, 1.0, -40.0]), (120, [1.0, 1.0, 1.0]), (121, [1.0, 1.0, 1.0])]
     docs = spark.createDataFrame([(i, v, 3, 1) for i, v in rows], "vec_id long, embedding array<float>, label int, block int")
