@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .collision_ann import nearest
-from .decontaminate import decontaminate
+from .decontaminate import WORD, decontaminate
 from .frames import new_path
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .ring_shards import assign_shards
-from .secret_scan import digests, secret_spans
+from .secret_scan import RULES, digests, secret_spans
 from .token_count import token_counts
 from .token_orc import read_token_orc, token_digests, write_token_orc
 from .toxicity import toxicity
@@ -78,4 +78,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _secrets_sql() -> str:
+    """A text's pieces between a rule's matches and the matches themselves, unnested in step; running lengths give positions."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {k} AS rank, '{r.name}' AS kind, generate_subscripts(w, 1) AS pos, unnest(g[1:len(w)]) AS gap, unnest(w) AS whole, unnest(p) AS part FROM "
+        f"(SELECT rid, string_split_regex(text, {quoted(r.pattern)}) AS g, regexp_extract_all(text, {quoted(r.pattern)}, 0) AS w, regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS p FROM d)"
+        for k, r in enumerate(RULES)
+    )
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(RULES))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in RULES)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), m AS ({kinds}),
+s AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY rid, rank ORDER BY pos) AS stop FROM m),
+k AS (SELECT rid, rank, kind, stop - length(whole) AS start, stop FROM s WHERE length(part) >= CASE rank {least} END),
+a AS (SELECT rid, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM k GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)"""
+
+
+def _decontamination_sql(width: int) -> str:
+    words = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{WORD}')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents), i AS (SELECT item_id, {words} AS w FROM benchmark),
+p AS (SELECT item_id, w, least({width}, len(w)) AS n, unnest(range(greatest(1, len(w) - {width - 1}))) AS b FROM i WHERE len(w) > 0), q AS (SELECT DISTINCT item_id, n, array_to_string(w[b + 1:b + n], ' ') AS win FROM p),
+e AS (SELECT rid, w, n, unnest(range(len(w) - n + 1)) AS start FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n), f AS (SELECT rid, start, n, array_to_string(w[start + 1:start + n], ' ') AS win FROM e),
+h AS (SELECT f.rid, f.start, f.n, q.item_id FROM f JOIN q ON q.n = f.n AND q.win = f.win), c AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(start, start + n)) AS pos FROM h) GROUP BY 1),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
+
+
+def _jaccard_sql(width: int, percent: int) -> str:
+    words = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(greatest(1, len(w) - {width - 1}))) AS o FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[o + 1:o + {width}], ' ') AS x FROM p), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2), e AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {100 + percent} * k >= {percent} * (x.n + y.n)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY 1, 2"""
+
+
+_BASE32 = "array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((('0x' || substr(h, CAST(1 + 5 * (j // 4) AS INT), 5))::UBIGINT >> (15 - 5 * (j % 4))::UBIGINT) & 31) AS INT), 1)), '')"
+
+#: Tokens, learning, hash rings and approximate search are beyond SQL; tests hold those queries against libraries and brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": _jaccard_sql(5, 75),
+    "op4_decontamination": _decontamination_sql(10),
+    "op9_secret_scan": _secrets_sql(),
+    "op10_warc_revisits": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+}
