@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from variantlab.plans import experiments, features
+from variantlab.plans import experiments, features, profiles
 
-SQL = experiments.ORACLE_SQL | features.ORACLE_SQL
-QUERIES = experiments.QUERIES | features.QUERIES
-TABLES = ("events", "documents", "embeddings", "pages", "conversations", "part", "lineitem")
+SQL = experiments.ORACLE_SQL | features.ORACLE_SQL | profiles.ORACLE_SQL
+QUERIES = experiments.QUERIES | features.QUERIES | profiles.QUERIES
+TABLES = ("events", "documents", "embeddings", "pages", "conversations", "part", "lineitem", "labels", "nation")
 
 
 @pytest.fixture(scope="module")

@@ -46,4 +46,4 @@ def filled(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """White-space separated tokens; null and blank texts have none."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != ""))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))

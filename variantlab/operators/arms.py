@@ -72,8 +72,13 @@ def best_and_worst(arms: DataFrame, key: str = "test_id", value: str = "ctr") ->
 
 
 def rate_profile(arms: DataFrame, value: str = "ctr") -> DataFrame:
-    v = F.col(value)
-    return arms.agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.mean(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.count_if(v == 0).alias("zeros"))
+    """Moments, median and zeros. Values are counted first, so the exact median takes distinct values with their counts."""
+    v, k = F.col(value), F.col("k")
+    counts = arms.groupBy(value).agg(F.count(value).alias("k"), F.sum(value).alias("s"), F.sum(v * v).alias("ss"))
+    n = F.sum("k")
+    mean = F.sum("s") / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / n - mean * mean))
+    return counts.agg(n.alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), mean.alias("mean"), F.percentile(v, F.lit(0.5), k).alias("median"), spread.alias("std"), F.coalesce(F.sum(F.when(v == 0, k)), F.lit(0)).alias("zeros"))
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
@@ -95,9 +100,16 @@ def distinct_profile(df: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def number_profile(df: DataFrame, value: Column, percents: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles by linear interpolation, with moments."""
-    cols = [F.count(value).alias("n"), F.mean(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most")]
-    return df.agg(*cols, *[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in percents])
+    """Exact percentiles by linear interpolation, with moments. The value is computed once for each row and counted, so the percentiles take distinct values with their counts."""
+    counts = df.select(value.alias("v")).groupBy("v").agg(F.count("*").alias("k"))
+    v, k = F.col("v"), F.col("k")
+    n = F.coalesce(F.sum(F.when(v.isNotNull(), k)), F.lit(0))
+    mean = F.try_divide(F.sum(v * k), n)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(v.cast("double") * v * k), n) - mean * mean))
+    cols = [n.alias("n"), mean.alias("mean"), spread.alias("std"), F.min(v).alias("least"), F.max(v).alias("most")]
+    shares = F.percentile("v", F.array(*[F.lit(float(p)) for p in percents]), k).alias("ps")
+    names = [F.col("ps")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(percents)]
+    return counts.agg(*cols, shares).select("n", "mean", "std", "least", "most", *names)
 
 
 def exceedance(df: DataFrame, value: Column, limits: list[float]) -> DataFrame:
@@ -112,3 +124,27 @@ def fixed_bins(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     bins = [(a, b) for a, b in zip(edges, [*edges[1:], None], strict=True)]
     rows = F.array(*[F.struct(F.lit(float(a)).alias("low"), F.lit(None if b is None else float(b)).cast("double").alias("high"), F.count_if((value >= a) & (F.lit(True) if b is None else value < b)).alias("n")) for a, b in bins])
     return df.agg(rows.alias("rows")).select(F.inline("rows"))
+
+
+def label_distribution(df: DataFrame, label: str) -> DataFrame:
+    """(label, n, share) of each value."""
+    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return counts.select("label", "n", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("share"))
+
+
+def cluster_sizes(df: DataFrame) -> DataFrame:
+    """(cluster, n_train, n_test, n) of rows (cluster, part)."""
+    train = F.count_if(F.col("part") == "train")
+    return df.groupBy("cluster").agg(train.alias("n_train"), (F.count("*") - train).alias("n_test"), F.count("*").alias("n"))
+
+
+def with_segment(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """df with the segment of its key, -1 for keys that mapping (key, segment) lacks."""
+    return df.join(mapping.select(key, "segment"), key, "left").withColumn("segment", F.coalesce("segment", F.lit(-1)))
+
+
+def segment_stats(df: DataFrame, least: int = 0) -> DataFrame:
+    """(segment, n_train, n_test, mean, std) of y over each segment's training rows (segment, part, y); smaller segments than least are left out."""
+    train = F.when(F.col("part") == "train", F.col("y"))
+    stats = df.groupBy("segment").agg(F.count(train).alias("n_train"), F.count_if(F.col("part") != "train").alias("n_test"), F.avg(train).alias("mean"), F.stddev_pop(train).alias("std"))
+    return stats.where(f"n_train >= {least}")

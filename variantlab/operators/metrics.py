@@ -30,14 +30,37 @@ def report(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def weighted_auc(df: DataFrame) -> DataFrame:
-    """Area under the weighted ROC curve, tied scores as one step; null with one class. Scores are summed before the window, whose rows are distinct scores.
+def running_below(steps: DataFrame, order: str, value: str, parts: int = 0) -> DataFrame:
+    """steps with below: the sum of value over all rows of smaller order, which must be distinct. Rows are dealt into
+    ranges of order; each range's window starts from the sum of the ranges before it, of which there are few."""
+    spark = steps.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [r[0] for r in steps.agg(F.explode(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000))).collect()] if parts > 1 else []
+    cuts = sorted({float(c) for c in cuts if c is not None})
+    which = F.lit(0)
+    for c in cuts:
+        which = which + (F.col(order) > c).cast("int")
+    dealt = steps.withColumn("__range", which)
+    before = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = before.select("__range", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return dealt.withColumn("below", own).join(F.broadcast(before), "__range").withColumn("below", F.col("below") + F.col("__before")).drop("__range", "__before")
+
 
-    The window has no partition: round scores, or bin them, where there are very many distinct ones.
-    """
+def weighted_auc(df: DataFrame) -> DataFrame:
+    """Area under the weighted ROC curve, tied scores as one step; null with one class. Scores are summed before the running sum, which goes by ranges of scores."""
     steps = df.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return steps.withColumn("area", F.col("pos") * (below + F.col("neg") / 2)).agg(F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    summed = running_below(steps, "score", "neg")
+    return summed.withColumn("area", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg(F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def deltas(metrics: DataFrame, base: str) -> DataFrame:
+    """(model, metric, delta): each model's metrics (model, ..) less those of the model base."""
+    names = [c for c in metrics.columns if c != "model"]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("m")
+    long = metrics.select("model", cells).select("model", "m.metric", "m.value")
+    own = long.where(F.col("model") == base).select("metric", F.col("value").alias("base"))
+    return long.where(F.col("model") != base).join(own, "metric").select("model", "metric", (F.col("value") - F.col("base")).alias("delta"))
 
 
 def regression(df: DataFrame) -> DataFrame:

@@ -10,9 +10,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from .sparse import split_points
 
 #: The constant of the critical value (sqrt(q) + c)^2 by level.
 CRITICAL = {0.01: 2.8, 0.05: 2.2, 0.10: 1.9}
@@ -42,6 +46,36 @@ def fit_node(rows: DataFrame, alpha: float):
     return LinearRegression(labelCol="y", weightCol="w", regParam=alpha, elasticNetParam=1.0, standardization=False).fit(rows.withColumn("features", array_to_vector("x")))
 
 
+def refitted(rows: DataFrame, coefficients: list[float], most: int = 20) -> tuple[list[float], float]:
+    """The unpenalised weighted least squares of the terms that a lasso kept (the largest, at most most); the others are 0.
+
+    Its scores sum to zero in every active term, which a penalised fit's do not."""
+    active = sorted((j for j, c in enumerate(coefficients) if c), key=lambda j: (-abs(coefficients[j]), j))[:most]
+    terms = F.array(*[F.col("x")[j] for j in active]) if active else F.array(F.lit(0.0))
+    model = LinearRegression(labelCol="y", weightCol="w", regParam=0.0, solver="normal" if active else "l-bfgs").fit(rows.withColumn("features", array_to_vector(terms)))
+    out = [0.0] * len(coefficients)
+    for j, c in zip(active, model.coefficients, strict=False):
+        out[j] = float(c)
+    return out, float(model.intercept)
+
+
+def supremum_draws(spark: SparkSession, q: int, draws: int, trim: float = 0.1, grid: int = 500, seed: int = 42) -> DataFrame:
+    """(draw, sup): draws of the supremum over [trim, 1 - trim] of |bridge(s)|^2 / (s (1 - s)), for q independent Brownian bridges: what the split statistic is like where there is nothing to split."""
+
+    def run(frames):
+        s = np.arange(1, grid) / grid
+        inner = (s >= trim) & (s <= 1 - trim)
+        for pdf in frames:
+            out = []
+            for draw in pdf.id:
+                walk = np.cumsum(np.random.default_rng((seed, q, int(draw))).standard_normal((grid, q)), axis=0) / math.sqrt(grid)
+                bridge = walk[:-1] - s[:, None] * walk[-1]
+                out.append(float(((bridge[inner] ** 2).sum(axis=1) / (s * (1 - s))[inner]).max()))
+            yield pd.DataFrame({"draw": pdf.id, "sup": out})
+
+    return spark.range(draws).mapInPandas(run, "draw long, sup double")
+
+
 def with_scores(rows: DataFrame, coefficients: list[float], intercept: float, most: int = 20) -> tuple[DataFrame, int]:
     """rows with psi: w times the residual times [1, active terms]; active: the largest coefficients, at most most."""
     active = sorted((j for j, c in enumerate(coefficients) if c), key=lambda j: (-abs(coefficients[j]), j))[:most]
@@ -96,35 +130,90 @@ def best_cut(rows: DataFrame, q: int, features: list[int], n: int, least: int) -
     return (best[0]["stat"], best[0]["feature"], best[0]["cut"]) if best else None
 
 
-def grow(rows: DataFrame, alpha: float = 0.01, depth: int = 4, least: int = 50, level: float = 0.05, top: int = 200, corrected: bool = True) -> list[Node]:
-    """The tree as a list of nodes, breadth first. corrected: the level is divided by the number of features tried, as the maximum is taken over them."""
+def _path(rows: DataFrame, path: list[tuple[int, str, float]]) -> DataFrame:
+    for f, op, cut in path:
+        rows = rows.where(F.col("z")[f] <= cut if op == "<=" else F.col("z")[f] > cut)
+    return rows
+
+
+def _grown(rows: DataFrame, alpha: float, depth: int, least: int, split) -> list[Node]:
+    """Nodes, breadth first; split(own, node) gives (statistic, feature, cut) or nothing. A node's rows are kept while it is worked on."""
     nodes: list[Node] = []
     todo: list[tuple[list, Node | None, str]] = [([], None, "")]
     while todo:
         path, parent, side = todo.pop(0)
-        own = rows
-        for f, op, cut in path:
-            own = own.where(F.col("z")[f] <= cut if op == "<=" else F.col("z")[f] > cut)
-        model = fit_node(own, alpha)
-        node = Node(len(nodes), len(path), own.count(), float(model.summary.r2), [float(c) for c in model.coefficients], float(model.intercept), path=path)
-        nodes.append(node)
-        if parent:
-            setattr(parent, side, node)
-        if node.depth >= depth or node.n < 2 * least:
-            continue
+        own = _path(rows, path).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = fit_node(own, alpha)
+            node = Node(len(nodes), len(path), own.count(), float(model.summary.r2), [float(c) for c in model.coefficients], float(model.intercept), path=path)
+            nodes.append(node)
+            if parent:
+                setattr(parent, side, node)
+            found = split(own, node) if node.depth < depth and node.n >= 2 * least else None
+        finally:
+            own.unpersist()
+        if found:
+            node.statistic, node.feature, node.cut = found
+            todo += [([*path, (node.feature, "<=", node.cut)], node, "left"), ([*path, (node.feature, ">", node.cut)], node, "right")]
+    return nodes
+
+
+def grow(rows: DataFrame, alpha: float = 0.01, depth: int = 4, least: int = 50, level: float = 0.05, top: int = 200, corrected: bool = True) -> list[Node]:
+    """The tree as a list of nodes, breadth first. corrected: the level is divided by the number of features tried, as the maximum is taken over them."""
+
+    def split(own: DataFrame, node: Node):
         scores, q = with_scores(own, node.coefficients, node.intercept)
         candidates = screened(scores, q, top)
         found = best_cut(scores, q, candidates, node.n, least)
-        if not found:
-            continue
         limit = critical(q, level)
         if corrected:  # a tail like exp(-x / 2) makes m tests cost 2 ln m
             limit += 2 * math.log(max(1, len(candidates)))
-        if found[0] <= limit:
-            continue
-        node.statistic, node.feature, node.cut = found
-        todo += [([*path, (node.feature, "<=", node.cut)], node, "left"), ([*path, (node.feature, ">", node.cut)], node, "right")]
-    return nodes
+        return found if found and found[0] > limit else None
+
+    return _grown(rows, alpha, depth, least, split)
+
+
+def grow_simulated(rows: DataFrame, alpha: float = 0.01, depth: int = 4, least: int = 50, level: float = 0.05, top: int = 200, draws: int | None = None) -> list[Node]:
+    """As grow, with scores of the refitted active terms and a simulated null: a node is split if the share of draws that
+    reach its statistic, times the number of features that could be tested, is below level.
+
+    That share cannot be told from 0 below one draw, so there must be 10 / level draws for each feature; fewer are an error.
+    """
+    spark, known = rows.sparkSession, {}
+
+    def split(own: DataFrame, node: Node):
+        again, intercept = refitted(own, node.coefficients)
+        scores, q = with_scores(own, again, intercept)
+        testable = own.select(F.posexplode("z").alias("feature", "v")).groupBy("feature").agg(F.var_pop("v").alias("v")).where("v > 0").count()
+        needed = math.ceil(10 * testable / level)
+        if draws is not None and draws < needed:
+            raise ValueError(f"{draws} draws cannot show a level of {level} over {testable} features; {needed} are needed")
+        found = best_cut(scores, q, screened(scores, q, top), node.n, least)
+        if not found:
+            return None
+        if (q, needed) not in known:
+            known[q, needed] = supremum_draws(spark, q, draws or needed).persist(StorageLevel.MEMORY_AND_DISK)
+        share = known[q, needed].agg(F.avg((F.col("sup") >= found[0]).cast("double"))).first()[0]
+        return found if share * testable < level else None
+
+    try:
+        return _grown(rows, alpha, depth, least, split)
+    finally:
+        for table in known.values():
+            table.unpersist()
+
+
+def grow_by_reduction(rows: DataFrame, alpha: float = 0.01, depth: int = 4, least: int = 50, improvement: float = 0.005) -> list[Node]:
+    """As grow, by the older criterion: the cut that lowers the weighted squares of a node's residuals most."""
+
+    def split(own: DataFrame, node: Node):
+        fitted = F.lit(node.intercept)
+        for j, c in enumerate(node.coefficients):
+            fitted = fitted + F.col("x")[j] * c
+        cells = own.select("w", (F.col("y") - fitted).alias("r"), F.posexplode("z").alias("feature", "z"))
+        return best_reduction(split_points(cells), node.n, least, improvement)
+
+    return _grown(rows, alpha, depth, least, split)
 
 
 def best_reduction(points: DataFrame, n: int, least: int, improvement: float = 0.005) -> tuple[float, int, float] | None:
@@ -135,7 +224,8 @@ def best_reduction(points: DataFrame, n: int, least: int, improvement: float = 0
     w, r = F.col("sum_w"), F.col("sum_wr")
     base = total["wrr"] - side(total["w"], total["wr"])
     gain = side(w, r) + side(total["w"] - w, total["wr"] - r) - side(total["w"], total["wr"])
-    best = points.select("feature", "cut", F.try_divide(gain, base).alias("gain")).where(f"cut IS NOT NULL AND gain >= {improvement}").orderBy(F.desc("gain"), "feature", "cut").limit(1).collect()
+    enough = (F.col("sum_n") >= least) & (n - F.col("sum_n") >= least)
+    best = points.select("feature", "cut", F.try_divide(gain, base).alias("gain"), enough.alias("enough")).where(f"enough AND cut IS NOT NULL AND gain >= {improvement}").orderBy(F.desc("gain"), "feature", "cut").limit(1).collect()
     return (best[0]["gain"], best[0]["feature"], best[0]["cut"]) if best else None
 
 
@@ -163,6 +253,12 @@ def predicted(rows: DataFrame, nodes: list[Node]) -> DataFrame:
     return rows.withColumn("leaf", leaf_of(nodes)).withColumn("p", p)
 
 
-def node_table(rows: DataFrame, nodes: list[Node]) -> DataFrame:
-    label = lambda n: " & ".join(f"z{f} {op} {cut:g}" for f, op, cut in n.path) or "all"
-    return rows.sparkSession.createDataFrame([(n.id, n.depth, n.n, n.r2, n.feature, n.cut, n.statistic, label(n)) for n in nodes], "node int, depth int, n long, r2 double, feature int, cut double, statistic double, path string")
+def paths(nodes: list[Node], names: dict[int, str] | None = None) -> list[tuple[int, str]]:
+    """(node, conditions) of all nodes, breadth first, features by name."""
+    called = lambda f: (names or {}).get(f, f"z{f}")
+    return [(n.id, " & ".join(f"{called(f)} {op} {cut:g}" for f, op, cut in n.path) or "all") for n in nodes]
+
+
+def node_table(rows: DataFrame, nodes: list[Node], names: dict[int, str] | None = None) -> DataFrame:
+    label = dict(paths(nodes, names))
+    return rows.sparkSession.createDataFrame([(n.id, n.depth, n.n, n.r2, n.feature, n.cut, n.statistic, label[n.id]) for n in nodes], "node int, depth int, n long, r2 double, feature int, cut double, statistic double, path string")

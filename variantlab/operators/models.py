@@ -12,7 +12,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def assembled(vectors: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -26,8 +26,8 @@ def assembled(vectors: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     return rows.join(cells, "pair_id", "left").withColumn("features", vector("cells")).drop("cells")
 
 
-def logistic(train: DataFrame, l2: float = 1e-4):
-    return LogisticRegression(labelCol="y", weightCol="w", regParam=l2, elasticNetParam=0.0, maxIter=200, tol=1e-4, standardization=False).fit(train)
+def logistic(train: DataFrame, l2: float = 1e-4, tol: float = 1e-4):
+    return LogisticRegression(labelCol="y", weightCol="w", regParam=l2, elasticNetParam=0.0, maxIter=200, tol=tol, standardization=False).fit(train)
 
 
 def tree(train: DataFrame, depth: int = 8, leaf: int = 20):
@@ -71,15 +71,10 @@ def importances(model) -> list[tuple[int, float]]:
     return [(int(i), float(x)) for i, x in zip(v.indices, v.values, strict=True) if x]
 
 
-def coefficient_spread(models: dict[int, list[float]], k: int = 30) -> list[tuple[int, float]]:
-    """Features whose coefficients vary most (population variance) between models."""
-    rows = list(models.values())
-    out = []
-    for j in range(len(rows[0])):
-        own = [r[j] for r in rows]
-        mean = sum(own) / len(own)
-        out.append((j, sum((x - mean) ** 2 for x in own) / len(own)))
-    return sorted(out, key=lambda x: (-x[1], x[0]))[:k]
+def coefficients(spark: SparkSession, models: dict[str, object]) -> DataFrame:
+    """(model, feature, coef) of fitted linear models; sparse.active_features and sparse.coefficient_spread take it."""
+    cells = [(name, j, float(c)) for name, m in models.items() for j, c in enumerate(m.coefficients.toArray())]
+    return spark.createDataFrame(cells, "model string, feature int, coef double")
 
 
 _IF = re.compile(r"(If|Else) \(feature (\d+) (<=|>) (-?[\d.eE+-]+)\)")
@@ -150,17 +145,28 @@ def normalised(rows: DataFrame) -> DataFrame:
     return Normalizer(inputCol="features", outputCol="unit", p=2.0).transform(rows).drop("features").withColumnRenamed("unit", "features")
 
 
-def reduced(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
-    """rows (pair_id, features) projected on the k leading right singular vectors, uncentred, with the singular values."""
+def right_vectors(rows: DataFrame, k: int) -> tuple[DataFrame, list[float], float]:
+    """The k leading right singular vectors (feature, v) of uncentred rows, v an array, the singular values, and the share of the squared norm that they explain."""
     matrix = RowMatrix(rows.select("features").rdd.map(lambda r: OldVectors.fromML(r[0])))
     found = matrix.computeSVD(k, computeU=False)
-    v = found.V.toArray()
+    table = rows.sparkSession.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(found.V.toArray())], "feature int, v array<double>")
+    values = [float(s) for s in found.s]
+    total = rows.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("q")).agg(F.sum("q")).first()[0] or 0.0
+    return table, values, sum(s * s for s in values) / total if total else 0.0
 
-    @F.udf("array<double>")
-    def project(x):
-        return [float(y) for y in x.toArray() @ v]
 
-    return rows.withColumn("features", array_to_vector(project("features"))), [float(s) for s in found.s]
+def reduced(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+    """rows (pair_id, features) projected on the k leading right singular vectors, uncentred, with the singular values."""
+    table, values, _ = right_vectors(rows, k)
+    return projected(rows, table, len(values)), values
+
+
+def projected(rows: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """rows with features times the vectors of table (feature, v); a row of zeros stays one of zeros."""
+    cells = rows.select("pair_id", F.posexplode(vector_to_array("features")).alias("feature", "value")).where("value <> 0")
+    sums = cells.join(table, "feature").groupBy("pair_id").agg(F.array(*[F.sum(F.col("value") * F.col("v")[j]) for j in range(k)]).alias("sums"))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    return rows.drop("features").join(sums, "pair_id", "left").withColumn("features", array_to_vector(F.coalesce("sums", zeros))).drop("sums")
 
 
 def clustered(train: DataFrame, k: int = 10, starts: int = 10):
@@ -176,8 +182,38 @@ def mixture_threshold(values: DataFrame) -> float:
     return min(low[0] + 2 * low[1], (low[0] + high[0]) / 2)
 
 
-def regression_tree(train: DataFrame, depth: int, leaf: int):
-    return DecisionTreeRegressor(labelCol="y", weightCol="w", maxDepth=depth, minInstancesPerNode=leaf, seed=42).fit(train)
+def regression_tree(train: DataFrame, depth: int, leaf: int, features: str = "features", label: str = "y", gain: float = 0.0):
+    return DecisionTreeRegressor(featuresCol=features, labelCol=label, weightCol="w", maxDepth=depth, minInstancesPerNode=leaf, minInfoGain=gain, leafCol="leaf", seed=42).fit(train)
+
+
+def segmented(train: DataFrame, rows: DataFrame, depth: int = 4, leaf: int = 200, gain: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """Segments of rows by a tree of train's residuals on the context: (rows with segment, mapping of leaf to segment).
+
+    Both tables have context (a vector), residual and w; segments are the leaves that train reaches, numbered from 0,
+    and rows of any other leaf are in segment -1.
+    """
+    model = regression_tree(train, depth, leaf, "context", "residual", gain)
+    leaves = lambda df: model.transform(df).drop("prediction")
+    found = leaves(train).select("leaf").distinct()
+    mapping = found.select("leaf", (F.row_number().over(W.orderBy("leaf")) - 1).alias("segment"))  # at most 2^depth leaves
+    return leaves(rows).join(mapping, "leaf", "left").withColumn("segment", F.coalesce("segment", F.lit(-1))), mapping
+
+
+def segment_trees(train: DataFrame, test: DataFrame, depth: int = 3, leaf: int = 50, least: int = 50) -> DataFrame:
+    """(segment, n_train, n_test, train_r2, test_r2) of a tree of y on the features for each segment with at least least training rows; test_r2 is null for 10 test rows or fewer."""
+    sizes = {r["segment"]: r["count"] for r in train.groupBy("segment").count().collect()}  # at most 2^depth segments
+    parts = None
+    for segment in sorted(s for s, n in sizes.items() if n >= least):
+        own = train.where(F.col("segment") == segment)
+        model = regression_tree(own.drop("leaf"), depth, leaf)
+        scored = lambda df, part: model.transform(df.drop("leaf")).select("y", F.col("prediction").alias("p"), F.lit(part).alias("part"))
+        both = scored(own, "train").unionByName(scored(test.where(F.col("segment") == segment), "test"))
+        fits = both.groupBy("part").agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum((F.col("y") - F.col("p")) ** 2), F.sum(F.col("y") ** 2) - F.sum("y") ** 2 / F.count("*"))).alias("r2"))
+        pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+        row = fits.agg(F.lit(segment).alias("segment"), pick("train", "n").alias("n_train"), F.coalesce(pick("test", "n"), F.lit(0)).alias("n_test"), pick("train", "r2").alias("train_r2"), pick("test", "r2").alias("test_r2"))
+        row = row.withColumn("test_r2", F.when(F.col("n_test") > 10, F.col("test_r2")))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts if parts is not None else train.sparkSession.createDataFrame([], "segment int, n_train long, n_test long, train_r2 double, test_r2 double")
 
 
 def top_splits(debug: str, levels: int = 4) -> list[tuple[int, int, float]]:

@@ -11,11 +11,75 @@ def from_arrays(rows: DataFrame, key: str, values: str, theta: float | None = No
     return each.where(F.col("value") > theta) if theta is not None else each.where("value <> 0")
 
 
-def encode(inputs: DataFrame, weights: DataFrame, bias: DataFrame, theta: float) -> DataFrame:
-    """inputs (pair_id, k, value) times weights (k, feature, w) plus bias (feature, b), kept where above theta and positive. weights and bias are small tables."""
-    total = inputs.join(weights, "k").groupBy("pair_id", "feature").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
-    pre = total.join(bias, "feature", "left").select("pair_id", "feature", (F.col("s") + F.coalesce("b", F.lit(0.0))).alias("value"))
-    return pre.where((F.col("value") > theta) & (F.col("value") > 0))
+def _product(values: DataFrame, weights: DataFrame, bias: DataFrame, to: str) -> DataFrame:
+    """(pair_id, to, value): values (pair_id, k, value) times weights (k, to, w), plus bias (to, b) for every row of values.
+
+    The bias is the weight of a constant input, so that an output without any other input has it too.
+    """
+    constant = values.select("pair_id").distinct().select("pair_id", F.lit(-1).alias("k"), F.lit(1.0).alias("value"))
+    rows = values.select("pair_id", F.col("k").cast("int").alias("k"), "value").unionByName(constant)
+    sides = weights.select(F.col("k").cast("int").alias("k"), to, "w").unionByName(bias.select(F.lit(-1).alias("k"), to, F.col("b").alias("w")).where("w <> 0"))
+    return rows.join(sides, "k").groupBy("pair_id", to).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+
+
+def encode(inputs: DataFrame, weights: DataFrame, params: DataFrame) -> DataFrame:
+    """inputs (pair_id, k, value) times weights (k, feature, w) plus bias, kept where positive and above the feature's own threshold; params: feature, b, theta."""
+    pre = _product(inputs, weights, params, "feature")
+    return pre.join(params.select("feature", "theta"), "feature").where("value > theta AND value > 0").select("pair_id", "feature", "value")
+
+
+def decode(codes: DataFrame, weights: DataFrame, bias: DataFrame, rows: DataFrame) -> DataFrame:
+    """(pair_id, k, value): codes (pair_id, feature, value) times weights (feature, k, w) plus bias (k, b), for every row (pair_id), one without codes too."""
+    cells = codes.select("pair_id", F.col("feature").alias("k"), "value").unionByName(rows.select("pair_id", F.lit(-2).alias("k"), F.lit(0.0).alias("value")))
+    return _product(cells, weights.select(F.col("feature").alias("k"), F.col("k").alias("out"), "w"), bias.select(F.col("k").alias("out"), "b"), "out").withColumnRenamed("out", "k")
+
+
+def forward(inputs: DataFrame, encoder: DataFrame, params: DataFrame, decoder: DataFrame, bias: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """Encode and decode, plus an affine skip of the inputs by skip (k, out, w) if there is one."""
+    out = decode(encode(inputs, encoder, params), decoder, bias, inputs.select("pair_id").distinct())
+    if skip is None:
+        return out
+    direct = inputs.join(skip, "k").groupBy("pair_id", F.col("out").alias("k")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    return out.unionByName(direct).groupBy("pair_id", "k").agg(F.sum("value").alias("value"))
+
+
+def is_content(pos: Column, prefix: int, length: Column, most: int) -> Column:
+    """Whether the token at pos is of the content that follows a prefix; content that ends beyond most tokens has none."""
+    return (pos >= prefix) & (pos < length + prefix) & (length + prefix <= most)
+
+
+def flagged_fallbacks(vectors: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (pair_id, ..) with is_fallback: whether vectors has nothing for the row, which thus counts as zeros."""
+    found = vectors.select("pair_id").distinct().withColumn("found", F.lit(True))
+    return rows.join(found, "pair_id", "left").withColumn("is_fallback", F.col("found").isNull()).drop("found")
+
+
+def subset(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The features that wanted (feature) lists."""
+    return vectors.join(wanted.select("feature").distinct(), "feature", "left_semi")
+
+
+def without_dead(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vectors with features numbered anew without gaps, and the numbers (feature, old). A width of features is ranked in one window."""
+    numbers = vectors.select(F.col("feature").alias("old")).distinct().select((F.row_number().over(W.orderBy("old")) - 1).alias("feature"), "old")
+    return vectors.withColumnRenamed("feature", "old").join(numbers, "old").select("pair_id", "feature", "value"), numbers
+
+
+def just_below(vectors: DataFrame, thresholds: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
+    """The k largest positive values below each feature's threshold (feature, threshold), of features with at least least of them."""
+    below = vectors.join(thresholds, "feature").where("value > 0 AND value < threshold")
+    by = W.partitionBy("feature")
+    ranked = below.withColumn("n", F.count("*").over(by)).where(f"n >= {least}")
+    return top_k(ranked.drop("n"), ["feature"], "value", k, "pair_id")
+
+
+def aligned(vectors: DataFrame, rows: DataFrame) -> DataFrame:
+    """vectors joined with the metadata rows (pair_id, ..) of all pairs; a pair of one side only, or of two rows, is an error."""
+    both = vectors.select("pair_id").distinct().withColumn("v", F.lit(1)).join(rows.groupBy("pair_id").agg(F.count("*").alias("r")), "pair_id", "full")
+    no_row, no_vector, twice = both.agg(F.count_if(F.col("r").isNull()), F.count_if(F.col("v").isNull()), F.count_if(F.col("r") > 1)).first()
+    if no_row or no_vector or twice:
+        raise ValueError(f"{no_row} vectors without metadata, {no_vector} rows without a vector, {twice} pairs with several rows")
+    return vectors.join(rows, "pair_id")
 
 
 def max_pool(tokens: DataFrame) -> DataFrame:
@@ -24,6 +88,7 @@ def max_pool(tokens: DataFrame) -> DataFrame:
 
 
 def mean_pool(tokens: DataFrame, k: int) -> DataFrame:
+    """The k features of the largest mean over a text's tokens (pair_id, feature, value)."""
     means = tokens.groupBy("pair_id", "feature").agg(F.avg("value").alias("value"))
     return top_k(means, ["pair_id"], "value", k)
 
@@ -50,7 +115,7 @@ def scale_table(vectors: DataFrame, n_rows: Column | int) -> DataFrame:
 def scaled(vectors: DataFrame, scales: DataFrame, by: str = "scale", floor: float = 0.0) -> DataFrame:
     """Values over their feature's scale; features without one stay as they are."""
     s = F.greatest(F.col(by), F.lit(floor))
-    return vectors.join(F.broadcast(scales.select("feature", by)), "feature").withColumn("value", F.when(s > 0, F.col("value") / s).otherwise(F.col("value"))).drop(by)
+    return vectors.join(scales.select("feature", by), "feature").withColumn("value", F.when(s > 0, F.col("value") / s).otherwise(F.col("value"))).drop(by)
 
 
 def row_profile(vectors: DataFrame, rows: DataFrame) -> DataFrame:
@@ -59,6 +124,12 @@ def row_profile(vectors: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select("pair_id").join(found, "pair_id", "left").na.fill(0, ["nnz"]).na.fill(0.0, ["norm"])
 
 
+def row_summary(profile: DataFrame) -> DataFrame:
+    """Least, median and 95th percentile of row_profile's nnz and norm, and the rows without values."""
+    cols = [F.percentile(c, p).alias(f"{c}_{n}") for c in ("nnz", "norm") for n, p in (("least", 0.0), ("median", 0.5), ("p95", 0.95))]
+    return profile.agg(*cols, F.count_if(F.col("nnz") == 0).alias("zero_rows"), F.count("*").alias("n_rows"))
+
+
 def sparsity(vectors: DataFrame, n_rows: int, width: int) -> DataFrame:
     v = F.col("value")
     return vectors.agg(F.count("*").alias("nnz"), (F.count("*") / (float(n_rows) * width)).alias("density"), (F.lit(width) - F.countDistinct("feature")).alias("dead"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"), F.min(v).alias("least"), F.max(v).alias("most"))
@@ -69,7 +140,7 @@ def column_stats(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     sums = vectors.join(groups, "pair_id").groupBy("grp", "feature").agg(F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
     mean = F.col("total") / F.col("n")
-    return sums.join(F.broadcast(sizes), "grp").select("grp", "feature", mean.alias("mean"), "total", "squares", (F.col("squares") / F.col("n") - mean * mean).alias("variance"))
+    return sums.join(sizes, "grp").select("grp", "feature", mean.alias("mean"), "total", "squares", (F.col("squares") / F.col("n") - mean * mean).alias("variance"))
 
 
 def distinctive(stats: DataFrame, overall: DataFrame, k: int) -> DataFrame:
@@ -84,6 +155,29 @@ def top_k(df: DataFrame, keys: list[str], value: str, k: int, tie: str = "featur
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(order, tie))).where(f"rank <= {k}")
 
 
+def top_overall(df: DataFrame, value: str, k: int, tie: str = "feature") -> DataFrame:
+    """The k largest rows of all, ties by tie."""
+    return df.orderBy(F.desc(value), tie).limit(k)
+
+
+def importance_by_space(importances: DataFrame, width: int) -> DataFrame:
+    """(space, n, mean) of importances (feature, score): features below width, and those from width on."""
+    return importances.groupBy(F.when(F.col("feature") >= width, "diff").otherwise("ctx").alias("space")).agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+
+
+def active_features(coefficients: DataFrame) -> DataFrame:
+    """The features with a coefficient other than 0 in any model of coefficients (model, feature, coef)."""
+    return coefficients.where("coef <> 0").select("feature").distinct()
+
+
+def coefficient_spread(coefficients: DataFrame, k: int = 30) -> DataFrame:
+    """(feature, variance) of the k active features whose coefficients (model, feature, coef) vary most between models; absent ones are 0."""
+    n = coefficients.agg(F.countDistinct("model")).first()[0]
+    mean = F.sum("coef") / n
+    spread = coefficients.where("coef <> 0").groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum(F.col("coef") * F.col("coef")) / n - mean * mean).alias("variance"))
+    return top_overall(spread, "variance", k)
+
+
 def top_positive_or_absolute(vectors: DataFrame, k: int) -> DataFrame:
     """The k largest positive values of each feature; of features without one, the k largest by absolute value."""
     by = W.partitionBy("feature")
@@ -92,8 +186,8 @@ def top_positive_or_absolute(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def split_points(z: DataFrame) -> DataFrame:
-    """Candidate cuts of (z, w, r): distinct z with running sums of w, w r and w r^2, and the midpoint to the next z. Rows are summed by z before the window."""
-    each = z.groupBy("feature", "z").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("wrr"))
+    """Candidate cuts of (z, w, r): distinct z with running counts and sums of w, w r and w r^2, and the midpoint to the next z. Rows are summed by z before the window."""
+    each = z.groupBy("feature", "z").agg(F.count("*").cast("double").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("wrr"))
     by = W.partitionBy("feature").orderBy("z")
     run = by.rowsBetween(W.unboundedPreceding, 0)
-    return each.select("feature", "z", ((F.col("z") + F.lead("z").over(by)) / 2).alias("cut"), *[F.sum(c).over(run).alias(f"sum_{c}") for c in ("w", "wr", "wrr")])
+    return each.select("feature", "z", ((F.col("z") + F.lead("z").over(by)) / 2).alias("cut"), *[F.sum(c).over(run).alias(f"sum_{c}") for c in ("n", "w", "wr", "wrr")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Features with fewer non-zero values get no threshold.
 LEAST_VALUES = 10
@@ -15,7 +15,7 @@ def histogram(vectors: DataFrame, bins: int) -> DataFrame:
     span = span.select("feature", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     span = span.withColumn("step", (F.col("hi") - F.col("lo")) / bins)
     at = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("step")), F.lit(bins - 1)).cast("int")
-    counts = vectors.join(F.broadcast(span), "feature").groupBy("feature", at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = vectors.join(span, "feature").groupBy("feature", at.alias("bin")).agg(F.count("*").alias("n"))
     grid = span.select("feature", "lo", "step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["feature", "bin"], "left").select("feature", "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.col("lo") + (F.col("bin") + 0.5) * F.col("step")).alias("centre"), "step")
 
@@ -62,14 +62,35 @@ def valley_difference(hist: DataFrame) -> DataFrame:
     return ends.where("neg IS NOT NULL OR pos IS NOT NULL").select("feature", F.coalesce("neg", -F.col("pos")).alias("low"), F.coalesce("pos", -F.col("neg")).alias("high"))
 
 
+def percentiles(vectors: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(feature, p0, p1, ..): exact percentiles of each feature's values by linear interpolation.
+
+    Values are counted first; a running count finds the values at the two ranks around each percentile, so what a
+    feature needs is a sort of its distinct values, which spills, and not a buffer of all of them.
+    """
+    counts = vectors.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    by = W.partitionBy("feature")
+    ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy("value"))).withColumn("total", F.sum("n").over(by))
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("value")))
+
+    out = []
+    for k, share in enumerate(shares):
+        place = share * (F.col("total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        out.append((at(low) + (at(high) - at(low)) * F.max(place - low)).alias(f"p{k}"))
+    return ranked.groupBy("feature").agg(*out)
+
+
 def elbow(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("feature").agg(F.percentile("value", 0.25).alias("threshold"))
+    return percentiles(vectors, (0.25,)).select("feature", F.col("p0").alias("threshold"))
 
 
 def central_sigma(vectors: DataFrame) -> DataFrame:
     """(feature, low, high): three deviations, estimated from the quartiles of a normal peak."""
-    reach = 3 * (F.percentile("value", 0.75) - F.percentile("value", 0.25)) / 1.349
-    return vectors.groupBy("feature").agg((-reach).alias("low"), reach.alias("high"))
+    reach = 3 * (F.col("p1") - F.col("p0")) / 1.349
+    return percentiles(vectors, (0.25, 0.75)).select("feature", (-reach).alias("low"), reach.alias("high"))
 
 
 def binarised(vectors: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -79,7 +100,7 @@ def binarised(vectors: DataFrame, thresholds: DataFrame) -> DataFrame:
     Such features are listed by zero_fires, whose constant holds for all rows without a stored value.
     """
     v = F.when(F.col("value") >= F.col("high"), 1).when(F.col("value") <= F.col("low"), -1).otherwise(0)
-    return vectors.join(F.broadcast(thresholds), "feature").select("pair_id", "feature", v.cast("byte").alias("value")).where("value <> 0")
+    return vectors.join(thresholds, "feature").select("pair_id", "feature", v.cast("byte").alias("value")).where("value <> 0")
 
 
 def zero_fires(thresholds: DataFrame) -> DataFrame:
@@ -89,7 +110,11 @@ def zero_fires(thresholds: DataFrame) -> DataFrame:
 
 def binarised_with_zeros(vectors: DataFrame, thresholds: DataFrame, rows: DataFrame) -> DataFrame:
     """binarised, with the implicit zeros of zero_fires' features written out for all rows (pair_id)."""
-    fires = zero_fires(thresholds)
-    stored = vectors.join(F.broadcast(fires.select("feature")), "feature", "left_semi").select("pair_id", "feature")
-    implied = rows.select("pair_id").withColumn("x", F.lit(1)).join(F.broadcast(fires.withColumn("x", F.lit(1))), "x").select("pair_id", "feature", "value")
+    # features that fire at zero become an array of every row: there are at most as many as thresholds
+    fires = zero_fires(thresholds).select(F.struct("feature", "value").alias("f")).collect()
+    if not fires:
+        return binarised(vectors, thresholds)
+    stored = vectors.where(F.col("feature").isin([r.f["feature"] for r in fires])).select("pair_id", "feature")
+    cells = F.array(*[F.struct(F.lit(r.f["feature"]).cast("int").alias("feature"), F.lit(r.f["value"]).cast("byte").alias("value")) for r in fires])
+    implied = rows.select("pair_id", F.explode(cells).alias("f")).select("pair_id", "f.feature", "f.value")
     return binarised(vectors, thresholds).unionByName(implied.join(stored, ["pair_id", "feature"], "left_anti"))

@@ -94,6 +94,11 @@ def group_sizes(spark, sf_dir):
     return A.group_sizes(arms(spark, sf_dir).where("clicks > 20"), "test_id")
 
 
+def arm_group_sizes(spark, sf_dir):
+    """As group_sizes, over all arms; that query's arms have more than 20 clicks, so that some groups have one arm."""
+    return A.group_sizes(arms(spark, sf_dir), "test_id")
+
+
 def winner_agreement(spark, sf_dir):
     rows = arms(spark, sf_dir).withColumn("first_place", F.col("local_idx") == 0)
     both = [A.winner_agreement(rows, v, "first_place").withColumn("by", F.lit(v)) for v in ("ctr", "clicks")]
@@ -150,12 +155,12 @@ def group_leaks(spark, sf_dir):
 
 
 def document_windows(spark, sf_dir):
-    """The longest document of each source and the second, by dense order, as ranks."""
+    """The three longest documents of each source with their ranks, the smaller id first on ties."""
     by = W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     return table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(by)).where("rank <= 3").select("source", "doc_id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (arm_table, pair_table, pair_sample, pair_orientation, pair_enriched, best_worst_pairs, headline_lookup, clean_pages, keep_first, multi_row_groups, rate_profile, group_sizes, winner_agreement, distinct_profile, token_profile, token_exceedance, token_bins, text_forms, feature_names, missing_feature_names, group_split, group_leaks, document_windows)}
+QUERIES = {f.__name__: f for f in (arm_table, pair_table, pair_sample, pair_orientation, pair_enriched, best_worst_pairs, headline_lookup, clean_pages, keep_first, multi_row_groups, rate_profile, group_sizes, arm_group_sizes, winner_agreement, distinct_profile, token_profile, token_exceedance, token_bins, text_forms, feature_names, missing_feature_names, group_split, group_leaks, document_windows)}
 
 _TOKENS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{0B}\x{85}\p{Z}]+'), lambda x: x <> ''))"
 _HASH = "md5('42|' || test_id || '|' || id_first || '|' || id_second)"
@@ -185,6 +190,7 @@ SELECT page_id, md5(clean) AS digest, CAST(length(clean) AS INT) AS size FROM c"
     "multi_row_groups": "SELECT doc_id, md5(text) AS k FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1",
     "rate_profile": f"WITH {ARMS} SELECT count(ctr) AS n, round(min(ctr), 6) AS least, round(max(ctr), 6) AS most, round(avg(ctr), 6) AS mean, round(median(ctr), 6) AS median, round(stddev_pop(ctr), 6) AS std, count(*) FILTER (ctr = 0) AS zeros FROM arms",
     "group_sizes": f"WITH {ARMS}, s AS (SELECT test_id, count(*) AS c FROM arms WHERE clicks > 20 GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (c = 1) AS single, count(*) FILTER (c > 1) AS multi, max(c) AS largest FROM s",
+    "arm_group_sizes": f"WITH {ARMS}, s AS (SELECT test_id, count(*) AS c FROM arms GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (c = 1) AS single, count(*) FILTER (c > 1) AS multi, max(c) AS largest FROM s",
     "winner_agreement": f"""WITH {ARMS}, w AS (SELECT 'ctr' AS "by", local_idx = 0 AS f FROM arms QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY ctr DESC, headline) = 1 AND count(*) OVER (PARTITION BY test_id) > 1
 UNION ALL SELECT 'clicks', local_idx = 0 FROM arms QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY clicks DESC, headline) = 1 AND count(*) OVER (PARTITION BY test_id) > 1) SELECT "by", count(*) AS groups, count(*) FILTER (f) AS agree, round(avg(f::INT), 6) AS rate FROM w GROUP BY 1""",
     "distinct_profile": "WITH c AS (SELECT user_id, count(DISTINCT coalesce(event_type, '') || '|' || coalesce(CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR), '')) AS n FROM events GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (n > 1) AS varied, round(avg(n) FILTER (n > 1), 6) AS mean, round(median(n) FILTER (n > 1), 6) AS median, min(n) FILTER (n > 1) AS least, max(n) FILTER (n > 1) AS most FROM c",

@@ -76,10 +76,16 @@ def bottom_activations(spark, sf_dir):
 
 
 def top_positive_or_absolute(spark, sf_dir):
+    # without the positive values of odd features, so that these reach the second branch
     rows = vectors(spark, sf_dir, None).where("feature % 2 = 0 OR value < 0")
     return _rounded(V.top_positive_or_absolute(rows, 3))
 
 
+def top_positive_activations(spark, sf_dir):
+    """As top_positive_or_absolute, over all values; that query's table lacks the positive values of odd features, to reach the second branch."""
+    return _rounded(V.top_positive_or_absolute(vectors(spark, sf_dir, None), 3))
+
+
 def split_points(spark, sf_dir):
     z = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("feature"), F.col("l_quantity").cast("double").alias("z"), F.lit(1.0).alias("w"), F.col("l_discount").cast("double").alias("r"))
     return _rounded(V.split_points(z), 4)
@@ -103,6 +109,23 @@ def walk_thresholds(spark, sf_dir):
     return _rounded(right.unionByName(out))
 
 
+def published_walk_thresholds(spark, sf_dir):
+    """As walk_thresholds with the published settings: 200 and 300 bins, and 4 bins that must all be higher."""
+    rows = pair_vectors(spark, sf_dir)
+    right = H.walk_right(H.histogram(rows.where(f"feature < {WIDTH}"), 200), 4).select("feature", F.lit(None).cast("double").alias("low"), F.col("threshold").alias("high"))
+    out = H.walk_outward(H.histogram(rows.where(f"feature >= {WIDTH}"), 300), 4)
+    return _rounded(right.unionByName(out))
+
+
+def learned_binarised_counts(spark, sf_dir):
+    """Counts of 1 and -1 by feature under the thresholds that walk_thresholds learns, implicit zeros included."""
+    rows = pair_vectors(spark, sf_dir)
+    right = H.walk_right(H.histogram(rows.where(f"feature < {WIDTH}"), 40), 2).select("feature", F.lit(None).cast("double").alias("low"), F.col("threshold").alias("high"))
+    th = right.unionByName(H.walk_outward(H.histogram(rows.where(f"feature >= {WIDTH}"), 60), 2))
+    pairs = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id")).distinct()
+    return H.binarised_with_zeros(rows, th, pairs).groupBy("feature", "value").agg(F.count("*").alias("n")).withColumn("value", F.col("value").cast("int"))
+
+
 def binarised_counts(spark, sf_dir):
     """Counts of 1 and -1 by feature, implicit zeros included; thresholds are fixed by feature so that some fire at zero."""
     rows = pair_vectors(spark, sf_dir)
@@ -231,7 +254,7 @@ def lasso_coefficients(spark, sf_dir):
 
 
 _SQL = (linear_and_tree_models, cluster_models, rule_models, clusters, partitioned_models, lasso_coefficients)
-QUERIES = {f.__name__: f for f in (sparse_vectors, context_difference, mirrored_vectors, feature_scales, scaled_rows, row_profiles, sparsity, column_stats, distinctive_features, top_activations, bottom_activations, top_positive_or_absolute, split_points, max_pooled, histograms, walk_thresholds, binarised_counts, quartile_thresholds, valley_thresholds, classification_metrics, classification_report, weighted_auc, regression_metrics, leaf_metrics, file_round_trips, *_SQL)}
+QUERIES = {f.__name__: f for f in (sparse_vectors, context_difference, mirrored_vectors, feature_scales, scaled_rows, row_profiles, sparsity, column_stats, distinctive_features, top_activations, bottom_activations, top_positive_or_absolute, top_positive_activations, split_points, max_pooled, histograms, walk_thresholds, published_walk_thresholds, learned_binarised_counts, binarised_counts, quartile_thresholds, valley_thresholds, classification_metrics, classification_report, weighted_auc, regression_metrics, leaf_metrics, file_round_trips, *_SQL)}
 
 _ALL = "x AS (SELECT vec_id AS pair_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS value, label FROM embeddings)"
 VEC = f"{_ALL}, v AS (SELECT pair_id, feature, value, label FROM x WHERE value > {THETA})"
@@ -250,6 +273,16 @@ def _valley(name: str, reach: int) -> str:
     return f"{name}_m AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9.0 AS smooth FROM {name}), {name}_v AS (SELECT * FROM {name}_m QUALIFY {deep})"
 
 
+def _walk(right: int, outward: int, ahead: int) -> str:
+    """hr: bins of context features that the next ones exceed; kr: those of difference features, from the bin nearest 0 on."""
+    rises = " AND ".join(f"lead(n, {j}) OVER q > n" for j in range(1, ahead + 1))
+    up = lambda source: f"(SELECT *, {rises} AS up FROM {source} WINDOW q AS (PARTITION BY feature ORDER BY bin))"
+    return f"""{BOTH}, c AS (SELECT * FROM b WHERE feature < {WIDTH}), d AS (SELECT * FROM b WHERE feature >= {WIDTH}), {_hist('c', right, 'h')}, {_hist('d', outward, 'k')},
+hr AS (SELECT * FROM {up('h')} WHERE up), kz AS (SELECT *, first_value(bin) OVER (PARTITION BY feature ORDER BY abs(centre), bin) AS z FROM k), kr AS (SELECT * FROM {up('kz')} WHERE up AND bin >= z)"""
+
+
+_WALKED = "SELECT feature, NULL::DOUBLE AS low, round(arg_min(centre, bin), 6) AS high FROM hr GROUP BY 1 UNION ALL SELECT feature, round(-arg_min(centre, bin), 6), round(arg_min(centre, bin), 6) FROM kr GROUP BY 1"
+
 _TOP = "SELECT pair_id, feature, round(value, 6) AS value, CAST(rank AS INT) AS rank FROM ({}) WHERE rank <= 3"
 _F1 = "coalesce(2.0 * count(*) FILTER (y = {0} AND p = {0}) / nullif(count(*) FILTER (y = {0}) + count(*) FILTER (p = {0}), 0), 0)"
 _R2 = "1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*))"
@@ -267,13 +300,15 @@ ORACLE_SQL = {
     "top_activations": f"WITH {VEC} " + _TOP.format("SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC, pair_id) AS rank FROM v"),
     "bottom_activations": f"WITH {_ALL} " + _TOP.format("SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value, pair_id) AS rank FROM x WHERE value <> 0"),
     "top_positive_or_absolute": f"WITH {_ALL}, y AS (SELECT *, bool_or(value > 0) OVER (PARTITION BY feature) AS a FROM x WHERE value <> 0 AND (feature % 2 = 0 OR value < 0)) " + _TOP.format("SELECT *, row_number() OVER (PARTITION BY feature ORDER BY abs(value) DESC, pair_id) AS rank FROM y WHERE value > 0 OR NOT a"),
-    "split_points": "WITH e AS (SELECT l_linenumber AS feature, l_quantity::DOUBLE AS z, count(*)::DOUBLE AS w, sum(l_discount::DOUBLE) AS wr, sum(l_discount::DOUBLE * l_discount::DOUBLE) AS wrr FROM lineitem GROUP BY 1, 2) SELECT feature, z, (z + lead(z) OVER p) / 2 AS cut, round(sum(w) OVER p, 4) AS sum_w, round(sum(wr) OVER p, 4) AS sum_wr, round(sum(wrr) OVER p, 4) AS sum_wrr FROM e WINDOW p AS (PARTITION BY feature ORDER BY z)",
+    "top_positive_activations": f"WITH {_ALL}, y AS (SELECT *, bool_or(value > 0) OVER (PARTITION BY feature) AS a FROM x WHERE value <> 0) " + _TOP.format("SELECT *, row_number() OVER (PARTITION BY feature ORDER BY abs(value) DESC, pair_id) AS rank FROM y WHERE value > 0 OR NOT a"),
+    "split_points": "WITH e AS (SELECT l_linenumber AS feature, l_quantity::DOUBLE AS z, count(*)::DOUBLE AS n, count(*)::DOUBLE AS w, sum(l_discount::DOUBLE) AS wr, sum(l_discount::DOUBLE * l_discount::DOUBLE) AS wrr FROM lineitem GROUP BY 1, 2) SELECT feature, z, (z + lead(z) OVER p) / 2 AS cut, round(sum(n) OVER p, 4) AS sum_n, round(sum(w) OVER p, 4) AS sum_w, round(sum(wr) OVER p, 4) AS sum_wr, round(sum(wrr) OVER p, 4) AS sum_wrr FROM e WINDOW p AS (PARTITION BY feature ORDER BY z)",
     "max_pooled": f"WITH {_ALL} SELECT label AS pair_id, feature, round(max(value), 6) AS value FROM x WHERE pair_id % 3 <> 0 GROUP BY 1, 2 HAVING max(value) <> 0",
     "histograms": f"WITH {VEC}, {_hist('v', 20, 'h')} SELECT feature, bin, n FROM h",
-    "walk_thresholds": f"""WITH {BOTH}, c AS (SELECT * FROM b WHERE feature < {WIDTH}), d AS (SELECT * FROM b WHERE feature >= {WIDTH}), {_hist('c', 40, 'h')}, {_hist('d', 60, 'k')},
-hr AS (SELECT * FROM h QUALIFY lead(n, 1) OVER (PARTITION BY feature ORDER BY bin) > n AND lead(n, 2) OVER (PARTITION BY feature ORDER BY bin) > n), kz AS (SELECT *, first_value(bin) OVER (PARTITION BY feature ORDER BY abs(centre), bin) AS z FROM k),
-kr AS (SELECT * FROM (SELECT *, lead(n, 1) OVER q > n AND lead(n, 2) OVER q > n AS up FROM kz WINDOW q AS (PARTITION BY feature ORDER BY bin)) WHERE up AND bin >= z)
-SELECT feature, NULL::DOUBLE AS low, round(arg_min(centre, bin), 6) AS high FROM hr GROUP BY 1 UNION ALL SELECT feature, round(-arg_min(centre, bin), 6), round(arg_min(centre, bin), 6) FROM kr GROUP BY 1""",
+    "walk_thresholds": f"WITH {_walk(40, 60, 2)} {_WALKED}",
+    "published_walk_thresholds": f"WITH {_walk(200, 300, 4)} {_WALKED}",
+    "learned_binarised_counts": f"""WITH {_walk(40, 60, 2)}, t AS (SELECT feature, NULL::DOUBLE AS low, arg_min(centre, bin) AS high FROM hr GROUP BY 1 UNION ALL SELECT feature, -arg_min(centre, bin), arg_min(centre, bin) FROM kr GROUP BY 1),
+p AS (SELECT DISTINCT CAST(floor(vec_id / 2) AS BIGINT) AS pair_id FROM embeddings), f AS (SELECT t.feature, coalesce(b.value, 0) AS val, low, high FROM t CROSS JOIN p LEFT JOIN b ON b.feature = t.feature AND b.pair_id = p.pair_id)
+SELECT feature, CASE WHEN val >= high THEN 1 ELSE -1 END AS value, count(*) AS n FROM f WHERE val >= high OR val <= low GROUP BY 1, 2""",
     "binarised_counts": f"""WITH {BOTH}, p AS (SELECT DISTINCT CAST(floor(vec_id / 2) AS BIGINT) AS pair_id FROM embeddings), t AS (SELECT CAST(range AS INT) AS feature, CASE WHEN range >= {WIDTH} THEN -0.1::DOUBLE * ((range % 5) - 1) END AS low, 0.1::DOUBLE * ((range % 5) - 1) AS high FROM range({2 * WIDTH})),
 f AS (SELECT t.feature, coalesce(b.value, 0) AS val, low, high FROM t CROSS JOIN p LEFT JOIN b ON b.feature = t.feature AND b.pair_id = p.pair_id), r AS (SELECT feature, CASE WHEN val >= high THEN 1 WHEN val <= low THEN -1 ELSE 0 END AS value FROM f) SELECT feature, value, count(*) AS n FROM r WHERE value <> 0 GROUP BY 1, 2""",
     "quartile_thresholds": f"WITH {_ALL} SELECT feature, round(quantile_cont(value, 0.25), 6) AS threshold, round(-3 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349, 6) AS low, round(3 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349, 6) AS high FROM x WHERE value <> 0 GROUP BY 1",

@@ -13,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset, in a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of spark.checkpoint.dir; where that is unset and all runs in one process, in a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="variantlab-"))
     return f"{path}/{name}-{uuid.uuid4().hex}"
 
@@ -44,11 +46,24 @@ def write_shards(df: DataFrame, path: str, rows_a_file: int = 5000) -> None:
     df.write.option("maxRecordsPerFile", rows_a_file).mode("append").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None, first: int | None = None) -> DataFrame:
+    """All shards, or the first ones by name, and all columns, or some."""
     df = spark.read.parquet(path)
+    if first is not None:
+        df = spark.read.schema(df.schema).parquet(*sorted(df.inputFiles())[:first])
     return df.select(*columns) if columns else df
 
 
+def write_vectors(vectors: DataFrame, labels: DataFrame, path: str, rows_a_file: int = 5000) -> None:
+    """Vectors (pair_id, feature, value) and labels (pair_id, label, ..) side by side; read_vectors gives both back."""
+    write_shards(vectors, f"{path}/vectors", rows_a_file)
+    write_shards(labels, f"{path}/labels", rows_a_file)
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_shards(spark, f"{path}/vectors"), read_shards(spark, f"{path}/labels")
+
+
 def write_importances(df: DataFrame, path: str) -> None:
     """feature: score lines of non-zero scores, largest first."""
     lines = df.where("score <> 0").orderBy(F.desc("score"), "feature").select(F.concat(F.col("feature").cast("string"), F.lit(": "), F.col("score").cast("string")))
@@ -58,7 +73,7 @@ def write_importances(df: DataFrame, path: str) -> None:
 def read_importances(spark: SparkSession, path: str) -> DataFrame:
     """(feature, score) of feature: score lines; blank lines are skipped, only the first colon splits."""
     parts = F.split("value", ":", 2)
-    return spark.read.text(path).where(F.trim("value") != "").select(F.trim(parts[0]).cast("int").alias("feature"), F.trim(parts[1]).cast("double").alias("score"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.trim(parts[0]).cast("int").alias("feature"), F.trim(parts[1]).cast("double").alias("score")).orderBy("feature")
 
 
 def write_metrics(spark: SparkSession, metrics: dict[str, float], path: str) -> None:
@@ -70,7 +85,7 @@ def read_metrics(spark: SparkSession, path: str) -> dict[str, float]:
 
 
 def read_names(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(index, description) from a JSON list, or from gzip or plain JSON lines; other fields are dropped."""
+    """(index, description) by number from a JSON list, or from gzip or plain JSON lines; other fields, such as long arrays, are not read."""
     rows = spark.read.schema("index string, description string").option("multiLine", not lines).json(path)
     return rows.select(F.col("index").cast("int").alias("index"), "description").orderBy("index")
 
