@@ -177,7 +177,9 @@ def clustered(train: DataFrame, k: int = 10, starts: int = 10):
 
 def mixture_threshold(values: DataFrame) -> float:
     """The smaller of the lower component's mean plus two deviations and the midpoint of both means, of values (value)."""
-    model = GaussianMixture(k=2, seed=42, maxIter=100).fit(values.select(array_to_vector(F.array("value")).alias("features")))
+    rows = values.select(array_to_vector(F.array("value")).alias("features"))
+    # a start may end where both components are the same, so the likeliest of several is taken
+    model = max((GaussianMixture(k=2, seed=s, maxIter=200, tol=1e-6).fit(rows) for s in range(5)), key=lambda m: m.summary.logLikelihood)
     low, high = sorted((float(r["mean"][0]), float(r["cov"].toArray()[0, 0]) ** 0.5) for r in model.gaussiansDF.collect())
     return min(low[0] + 2 * low[1], (low[0] + high[0]) / 2)
 
