@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from variantlab.llm.frames import new_path
 from variantlab.llm.queries import op8_ring_shards, op10_warc_revisits
-from variantlab.llm.ring_shards import assign_shards, ring
-from variantlab.llm.warc import read_warc, resolved, write_warc
+from variantlab.llm.ring_shards import assign_shards, ring, write_shards
+from variantlab.llm.warc import read_warc, records, resolved, write_warc
 
 from .fixtures import DOCS, odd_docs, odd_texts
 
@@ -97,3 +97,77 @@ def test_archive_of_odd_rows(spark):
     path = new_path(spark, "warc")
     write_warc(spark.createDataFrame([], table.schema), path)
     assert resolved(read_warc(spark, path)).collect() == []
+
+
+def test_files_are_members_that_can_be_reached_alone(spark, tmp_path):
+    """Several bounded files, each with a warcinfo first; every record is a gzip member that reads alone from its offset; a long one is several."""
+    import gzip
+    import io
+    import random
+    import zlib
+
+    rng = random.Random(1)
+    long = "".join(rng.choices("abcdefgh", k=17_000_000))
+    pages = [(k, f"http://p/{k}", f"<p>{k % 40}</p>" * 300) for k in range(120)] + [(500, "http://long", long)]
+    write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w", file_bytes=40_000)
+    files = sorted(p for p in (tmp_path / "w").rglob("part-*"))
+    assert len(files) > 3
+    seen = 0
+    for f in files:
+        data, kinds = f.read_bytes(), []
+        while data:
+            one = zlib.decompressobj(31)
+            text = one.decompress(data)
+            assert one.eof
+            if text.startswith(b"WARC/1.1"):
+                kinds.append(next(records(io.BytesIO(text)))[0]["warc-type"] if text.endswith(b"\r\n\r\n") and len(text) < 1_000_000 else "part of one")
+            data = one.unused_data
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        assert sum(1 for _ in records(gzip.open(f))) == len(kinds)
+        seen += len(kinds) - 1
+    assert seen == len(pages)
+    assert rows_of(resolved(read_warc(spark, f"{tmp_path}/w"))) == brute([(i, h) for i, _, h in pages])
+
+
+def test_archive_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr("variantlab.llm.frames.BROADCAST_ROWS", 0)
+    pages = [(k, f"u{k}", f"<p>{k % 3}</p>") for k in range(30)] + [(None, None, "<p>1</p>")]
+    path = new_path(spark, "warc")
+    write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    assert rows_of(resolved(read_warc(spark, path))) == brute([(i, h) for i, _, h in pages])
+
+
+def placed_one_by_one(keys, owners, capacity):
+    """Documents (arc, key) placed clockwise one after another in ring order: own shards first, then what overflows."""
+    room, out, late = list(capacity), {}, []
+    for arc, key in sorted(keys):
+        if room[owners[arc]]:
+            room[owners[arc]] -= 1
+            out[key] = owners[arc]
+        else:
+            late.append((arc, key))
+    for arc, key in late:
+        step = next(s for s in range(1, len(owners) + 1) if room[owners[(arc + s) % len(owners)]])
+        shard = owners[(arc + step) % len(owners)]
+        room[shard] -= 1
+        out[key] = shard
+    return out
+
+
+def test_flow_equals_placing_documents_one_by_one(spark):
+    docs = spark.range(700).select((F.col("id") * 7).alias("doc_id"), F.lit("x").alias("text"))
+    for shards in (1, 3, 8):
+        nodes = ring(shards)
+        places, owners = [p for p, _ in nodes], [s for _, s in nodes]
+        at = {r.doc_id: r.at for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("at")).collect()}
+        keys = [(sum(p < a for p in places) % len(places), (a, d)) for d, a in at.items()]
+        capacity = [700 // shards + (s < 700 % shards) for s in range(shards)]
+        want = {d: s for (_, d), s in placed_one_by_one(keys, owners, capacity).items()}
+        assert {r.doc_id: r.shard for r in assign_shards(docs, shards).collect()} == want
+
+
+def test_shards_are_written(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    write_shards(docs, f"{tmp_path}/s", 4)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert back.count() == 40 and {r["count"] for r in back.groupBy("shard").count().collect()} == {10}

@@ -6,11 +6,12 @@ shard with room. With the law rows, capacities are equal up to one row, so count
 document moves from its own shard only where that shard is full.
 
 The flow is decided on counts of arcs (one number for each virtual node, a bounded table), not on documents:
-ranks within an arc, in ring order, then tell where each document stays.
+ranks within an arc, in ring order, then tell where each document stays. Ranks are taken within stretches of 1/16384
+of the ring, each from the number of documents before it in its arc, so that windows stay small at any input.
 
 Defined results: a null text has size 1 and the checksum of no bytes; equal rows are told apart by nothing but
-their rank, so each gets a slot of its own; a null doc_id has a fixed position; other columns are ignored;
-an empty table gives an empty result.
+their rank, so each gets a slot of its own; a null doc_id's position is that of its text's checksum; very long texts
+are measured whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .frames import word_text
+from .frames import stored, word_text
 
 VIRTUAL_NODES = 128
+#: The ring has 2^STRETCH_BITS stretches of equal length.
+STRETCH_BITS = 14
 
 
 def ring(shards: int, virtual: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -67,10 +70,12 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     text = word_text()
     key = F.col("doc_id").cast("long")
-    at = F.xxhash64(F.coalesce(key.cast("string"), F.lit("")))
-    counted = docs.select(at.alias("at")).select(arc_of("at").alias("arc")).groupBy("arc").count()
+    crc = F.crc32(text.cast("binary"))
+    at = F.xxhash64(F.coalesce(key.cast("string"), F.concat(F.lit("#"), crc.cast("string"))))
+    stretch = F.shiftright("at", 64 - STRETCH_BITS).cast("int").alias("stretch")
+    counted = stored(docs.select(at.alias("at")).select(arc_of("at").alias("arc"), stretch).groupBy("arc", "stretch").count(), "stretches")
     counts = [0] * len(owners)
-    for arc, n in counted.collect():  # one number for each virtual node
+    for arc, n in counted.groupBy("arc").agg(F.sum("count")).collect():  # one number for each virtual node
         counts[arc] = n
     total = sum(counts)
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
@@ -79,8 +84,11 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         segments.append((arc, shard, owners[arc], first, first + n, base[shard] - first))
         base[shard] += n
     plan = spark.createDataFrame(segments, "arc int, shard int, home_shard int, low long, high long, shift long")
-    rows = docs.select(key.alias("doc_id"), at.alias("at"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).withColumn("arc", arc_of("at"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("arc").orderBy("at", "doc_id", "text_crc32")).cast("long") - 1)
+    # at most as many rows as stretches and virtual nodes
+    before = counted.select("arc", "stretch", (F.sum("count").over(W.partitionBy("arc").orderBy("stretch")) - F.col("count")).alias("before"))
+    rows = docs.select(key.alias("doc_id"), at.alias("at"), (F.octet_length(text).cast("long") + 1).alias("size"), crc.alias("text_crc32")).select("*", arc_of("at").alias("arc"), stretch)
+    own = F.row_number().over(W.partitionBy("arc", "stretch").orderBy("at", "doc_id", "text_crc32")).cast("long") - 1
+    ranked = rows.withColumn("own", own).join(F.broadcast(before), ["arc", "stretch"]).withColumn("rank", F.col("own") + F.col("before"))
     placed = ranked.join(F.broadcast(plan), "arc").where("rank >= low AND rank < high")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
