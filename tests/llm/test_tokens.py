@@ -191,3 +191,33 @@ def test_small_groups_are_packed_as_well_as_can_be():
         start = [packing._packed(lengths, np.argsort(-lengths, kind="stable"), 30), packing._noisy(lengths, 30, np.random.default_rng(seed))]
         best = packing.evolve(lengths, start, 30, seed, packing.GENERATIONS, packing.least_bins(lengths, 30))
         assert best.max() + 1 == least(sorted(lengths.tolist(), reverse=True), [])
+
+
+def test_token_files_have_stripes_row_indexes_and_bloom_filters(spark, tmp_path):
+    """From the files' own metadata: several stripes whose statistics are disjoint id ranges, run-length encoded ids, Bloom filters; and a lookup that reads few rows."""
+    rows = [(k, " ".join(f"w{(k * j) % 9973}" for j in range(12))) for k in range(0, 48_000, 2)]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        write_token_orc(odd_docs(spark, rows), f"{tmp_path}/orc", WORDS, end_id=2, stripe_bytes=1 << 16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    jvm = spark.sparkContext._jvm
+    conf = jvm.org.apache.hadoop.conf.Configuration()
+    stripes, spans = 0, []
+    for f in sorted((tmp_path / "orc").glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        stripes += reader.getStripes().size()
+        spans += [(x.getColumnStatistics()[1].getMinimum(), x.getColumnStatistics()[1].getMaximum()) for x in reader.getStripeStatistics() if x.getColumnStatistics()[1].getNumberOfValues()]
+        inner = reader.rows()
+        blooms = 0
+        for info in reader.getStripes():
+            footer = inner.readStripeFooter(info) if hasattr(inner, "readStripeFooter") else None
+            kinds = [s.getKind().toString() for s in footer.getStreamsList()] if footer else []
+            blooms += any(k.startswith("BLOOM_FILTER") for k in kinds)
+            assert not footer or "ROW_INDEX" in kinds
+        assert blooms == reader.getStripes().size()
+    spans.sort()
+    assert stripes > 2 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    found = read_token_orc(spark, f"{tmp_path}/orc").where("doc_id = 4002")
+    assert found.count() == 1 and read_token_orc(spark, f"{tmp_path}/orc").where("doc_id = 4003").count() == 0

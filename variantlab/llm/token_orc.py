@@ -2,9 +2,10 @@
 
 Documents are range-partitioned and sorted by doc_id before they are encoded, so that files, stripes and row
 groups hold disjoint doc_id ranges: a lookup by id prunes by statistics and Bloom filters, and a scan splits by stripe.
+Rows of one doc_id are counted in the order of their ids' checksums.
 
 Defined results: null and empty texts hold the end id alone; a null doc_id sorts first; repeated rows are kept;
-other columns are ignored; an empty table writes files without rows.
+very long texts are encoded whole; other columns are ignored; an empty table writes files without rows.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(16 << 20),
     "orc.encoding.strategy": "COMPRESSION",
     "compression": "zstd",
 }
 
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 16 << 20) -> None:
     """Writes (doc_id, n_tokens, token_ids) in ascending doc_id order."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,7 +44,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    ordered.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>").write.options(**ORC_OPTIONS).option("orc.stripe.size", stripe_bytes).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
