@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of documents. Toxic documents go, one document of each group of near copies stays (the smallest doc_id),
 contaminated documents go, secrets are replaced in the text, and what is left is packed into sequences.
+
+Defined results of every stage: decisions are on rows, not ids, so null ids, repeated ids and repeated rows are
+decided each (of a group of near copies one row stays, also of equal rows); null and empty texts are kept by all stages
+but toxicity, which scores them as texts without words, and are never near copies, contaminated or changed; very
+long texts are taken whole; extra columns stay as they are, whatever their names but __row, which a stage uses; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
