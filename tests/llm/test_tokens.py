@@ -58,6 +58,14 @@ def test_counts_of_odd_rows_and_of_overlaps_that_must_widen(spark):
     assert rows_of(token_counts(docs, PIECES, chunk=500, overlap=20), *COUNT) == want
 
 
+def test_counts_of_texts_that_normalisation_changes(spark):
+    """Ligatures, full-width letters, combining marks and wide spaces, so dense that chunk ends fall among them."""
+    rng = random.Random(2)
+    parts = ["ﬁ", "ﬀ", "Ａ", "ｂｃ", "e\u0301", "o\u0308\u0304", "\u3000", "½", "①", " ", "x", "the ", "ﷺ", "…"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(1500))) for k in range(4)] + [(9, "e" + "\u0301" * 900), (10, "ﬁ" * 900)]
+    assert rows_of(token_counts(odd_docs(spark, rows), PIECES, chunk=200, overlap=10), *COUNT) == counts(rows)
+
+
 def test_counts_of_an_empty_table(spark):
     assert token_counts(spark.createDataFrame([], DOCS), PIECES).collect() == []
 

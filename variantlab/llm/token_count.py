@@ -3,7 +3,7 @@
 A text of up to chunk characters is encoded as it is. A longer one is cut into overlapping chunks that
 tasks encode separately with offsets. Two neighbours are spliced at a position of their overlap where both
 start a token and that is proven stable: the adjacent characters occur side by side in no vocabulary piece,
-so no merge of the whole text can cross it, and either side's tokens do not depend on the other.
+so no merge of the whole text can cross it (it is never beside characters that normalisation changes), and either side's tokens do not depend on the other.
 Where an overlap holds no such position, the text is cut again with a wider overlap, at last into one chunk.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; every row gives one row, repeated rows too;
@@ -12,6 +12,8 @@ a null doc_id is kept; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -34,8 +36,12 @@ def _model(path: str):
 
 
 def stable(text: str, at: int, pairs: set[str]) -> bool:
-    """Whether no piece can cross from text[at - 1] to text[at]; spaces are written as the model writes them."""
-    return text[at - 1 : at + 1].replace(" ", "▁") not in pairs
+    """Whether no piece can cross from text[at - 1] to text[at]; spaces are written as the model writes them.
+
+    Both characters must be their own normal form, and the second no mark of the first: else pieces hold other characters than the text.
+    """
+    two = text[at - 1 : at + 1]
+    return two.replace(" ", "▁") not in pairs and unicodedata.is_normalized("NFKC", two) and not unicodedata.combining(text[at])
 
 
 def _counts(docs: DataFrame, path: str) -> DataFrame:
@@ -51,11 +57,17 @@ def _counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(key, i, start, part): part i holds chunk characters from i * chunk on and the overlap after them; the last is longer than the overlap."""
-    last = F.greatest(F.lit(0), F.floor((F.char_length("text") - 1 - overlap) / chunk))
-    cut = texts.select("key", "text", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("i"))
-    start = F.col("i") * chunk
-    return cut.select("key", "i", start.alias("start"), F.substr("text", start + 1, F.lit(min(chunk + overlap, 2**31 - 1))).alias("part"))
+    """(key, i, start, part): part i holds chunk characters from i * chunk on and the overlap after them; the last is longer than the overlap.
+
+    A text is cut once, from left to right, and a part is put together from its own piece and those that the overlap reaches.
+    """
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    last = F.greatest(F.lit(0), F.floor((F.char_length("text") - 1 - overlap) / chunk)).cast("int")
+    following = 1 + -(-overlap // chunk)
+    part = lambda i: F.substring(F.array_join(F.slice(F.col("pieces"), i + 1, following), ""), 1, min(chunk + overlap, 2**31 - 1))
+    cut = texts.select("key", pieces.alias("pieces"), last.alias("last"))
+    each = cut.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("last")), part)).alias("i", "part"))
+    return each.select("key", "i", (F.col("i") * F.lit(chunk).cast("long")).alias("start"), "part")
 
 
 def _encode_chunks(parts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
