@@ -7,7 +7,7 @@ import pytest
 
 from variantlab.llm.queries import ORACLE_SQL, QUERIES
 
-from ..test_oracle import canonical
+from test_oracle import canonical
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
