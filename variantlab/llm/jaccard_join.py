@@ -4,15 +4,20 @@ Small sets enumerate fixed-size subsets: two sets of sizes a and b link when the
 elements, so each emits its subsets of every such c, and sets under one subset key need no verification.
 Large sets scan inverted lists of their rarest elements (a prefix that any linked set must meet).
 The boundary between the two is the size that makes a counted cost least.
-Lists longer than LONG_LIST are not expanded into pairs: their members are verified against a few pivots,
-those linked to a pivot are in one component already, and only the rest meets all members,
-with pairs ruled out by the triangle inequality of the Jaccard distance.
-Pairs meet by sketches first (16 bits of about a quarter of the elements), which bound the intersection from above,
-so that whole sets travel for pairs only that may link. Of these, every set is verified against its smallest partner
-before the pairs whose sets are not connected by then. No link between different components is dropped.
-
-Sets are sets of 64-bit shingle hashes; a set is named by the 128-bit digest of its content,
-so exact copies are one node from the start.
+Lists longer than LONG_LIST are not expanded into pairs. Each has a centre, its member with the fewest rare
+elements, and every member is verified against it: those linked to it (near) are in one component already. A member
+far from the centre is compared by differences: |A xor B| = |(A xor C) xor (B xor C)|, so two members link only if
+they share enough of what sets them apart from the centre C, and such elements are rare where members are close to
+it. Differences have inverted lists, prefixes and places as sets do; far members first meet a few representatives of
+each list, and then only members that are not in their component by then. By the triangle inequality of the Jaccard
+distance this covers all pairs of which one member is in the centre's surroundings; the members outside them are a
+list again, with a centre of its own. What is left after LEVELS centres is expanded, as far as sizes and places allow.
+Pairs of short lists meet by sketches first (16 bits of about a quarter of the elements), which bound the intersection
+from above, so that whole sets travel for pairs only that may link. Of these, every set is verified against its
+smallest partner before the pairs whose sets are not connected by then. No link between different components is dropped.
+
+Sets are sets of 64-bit shingle hashes; equal sets are found by the 128-bit digest of their content, and one row of
+each, a node, does the work and is named by its row number.
 
 Defined results: null text, empty text and text of white space have an empty set, 0 shingles and themselves as
 component; repeated rows and equal texts share a component; a null doc_id is kept and never names a component
@@ -29,9 +34,9 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .frames import components, dropped, keyed, stored, word_text
+from .frames import components, dropped, keyed, small, stored, word_text
 from .words import mix, shingle_sets
 
 #: Elements that a task of the first pass sees this often or more are reported as heavy; it only shapes the order of elements.
@@ -39,7 +44,12 @@ LOCAL_HEAVY = 3
 #: Heavy elements kept for the order of elements, most frequent first: a bound on what is broadcast, 16 bytes each.
 HEAVY_KEPT = 1 << 17
 LONG_LIST = 24
-PIVOTS = (1, 4, 16)
+#: Centres that a long list gets, each for the members outside the surroundings of those before.
+LEVELS = 3
+#: How much farther from a centre than a linked set, in Jaccard distance, its surroundings reach.
+SURROUNDINGS = 0.15
+#: Representatives of a list of differences that its far members meet before all others.
+REPRESENTATIVES = 4
 PART_POSTINGS = 1_000_000
 #: Cost of one verification-bound posting against one subset key.
 LIST_COST = 4.0
@@ -83,16 +93,16 @@ def _name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """16 bits of each element of a quarter of all possible elements."""
-    return (s[s & np.uint64(3) == 0] >> np.uint64(16)).astype(np.uint16).tobytes()
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The distinct 16-bit cuts of the elements of a quarter of all possible elements."""
+    return np.unique((s[s & np.uint64(3) == 0] >> np.uint64(16)).astype(np.uint16)).view(np.int16)
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """First pass: kind 0 rows (doc_id, n, node, sketch, uid) for each document (uid, doc_id, text); kind 1 rows (hash, count) for elements often met in one task."""
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("uid", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int16())), ("uid", pa.int64())])
         kept: list[np.ndarray] = []
         many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -105,16 +115,16 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
         for part, sets in _rows(batches, width):
             kept += sets
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()), part.column("uid")], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int16())), part.column("uid")], schema=schema)
             if sum(map(len, kept)) > 2_000_000:
                 many = settle()
         if kept:
             many = settle()
         heavy = many[1] >= LOCAL_HEAVY
         h, n = many[0][heavy], many[1][heavy]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.list_(pa.int16())), pa.nulls(len(h), pa.int64())], schema=schema)
 
-    return docs.select("uid", "doc_id", word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary, sketch binary, uid long")
+    return docs.select("uid", "doc_id", word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary, sketch array<smallint>, uid long")
 
 
 def boundary(histogram: list[tuple[int, int]], rule: Rule) -> int:
@@ -134,7 +144,7 @@ def _subset_keys(s: np.ndarray, c: int) -> np.ndarray:
     return mix(mix(s)[picks].sum(axis=1, dtype=np.uint64) + mix(np.array([c], np.uint64)))
 
 
-_POSTINGS = "part int, kind int, nodes binary, sizes binary, counts binary, places binary, hashes binary"
+_POSTINGS = "part int, kind int, nodes binary, sizes binary, rares binary, counts binary, places binary, hashes binary"
 
 
 def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], x: int, parts: int) -> DataFrame:
@@ -148,13 +158,12 @@ def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, n
         heavy_hash, heavy_rank = link.value
         for part, sets in _rows(batches, width):
             rows: list[tuple] = []
-            for s in sets:
+            for name, s in zip(part.column("uid").to_pylist(), sets, strict=True):
                 n = len(s)
                 if not n:
                     continue
-                name = _name(s)
                 if n <= x:
-                    rows += [(name, n, c + 1, np.zeros(comb(n, c), np.int32), _subset_keys(s, c)) for c in rule.subset_sizes(n)]
+                    rows += [(name, n, 0, c + 1, np.zeros(comb(n, c), np.int32), _subset_keys(s, c)) for c in rule.subset_sizes(n)]
                 if n >= rule.smallest(x + 1):
                     if len(heavy_hash):
                         at = np.minimum(np.searchsorted(heavy_hash, s), len(heavy_hash) - 1)
@@ -164,34 +173,35 @@ def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, n
                     else:
                         order, split = np.arange(rule.prefix(n)), rule.prefix(n)
                     place = np.arange(len(order), dtype=np.int32)
-                    rows.append((name, n, 0, place[:split], s[order[:split]]))
+                    rows.append((name, n, split, 0, place[:split], s[order[:split]]))
                     if split < len(order):
-                        rows.append((name, n, 1, place[split:], s[order[split:]]))
+                        rows.append((name, n, split, 1, place[split:], s[order[split:]]))
             if not rows:
                 continue
-            length = np.array([len(r[4]) for r in rows])
+            length = np.array([len(r[5]) for r in rows])
             owner = np.repeat(np.arange(len(rows)), length)
-            hashes = np.concatenate([r[4] for r in rows])
-            places = np.concatenate([r[3] for r in rows]).astype(np.int32)
-            kinds = np.array([r[2] for r in rows])[owner]
-            names = np.array([r[0] for r in rows], "V16")
+            hashes = np.concatenate([r[5] for r in rows])
+            places = np.concatenate([r[4] for r in rows]).astype(np.int32)
+            kinds = np.array([r[3] for r in rows])[owner]
+            names = np.array([r[0] for r in rows], np.int64)
             sizes = np.array([r[1] for r in rows], np.int32)
+            rares = np.array([r[2] for r in rows], np.int32)
             spread = np.where(kinds == 1, mix(np.arange(len(rows), dtype=np.uint64))[owner], mix(hashes ^ np.uint64(0xA5A5A5A5)))
             goes = (spread % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((owner, kinds, goes))
             goes, kinds, owner, hashes, places = goes[order], kinds[order], owner[order], hashes[order], places[order]
             cut = np.flatnonzero(np.diff(goes * 64 + kinds)) + 1
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for a, b in zip([0, *cut], [*cut, len(goes)], strict=True):
                 own, count = np.unique(owner[a:b], return_counts=True)
-                for col, v in zip(out, (int(goes[a]), int(kinds[a]), names[own].tobytes(), sizes[own].tobytes(), count.astype(np.int32).tobytes(), places[a:b].tobytes(), hashes[a:b].tobytes()), strict=True):
+                for col, v in zip(out, (int(goes[a]), int(kinds[a]), names[own].tobytes(), sizes[own].tobytes(), rares[own].tobytes(), count.astype(np.int32).tobytes(), places[a:b].tobytes(), hashes[a:b].tobytes()), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 2 + [pa.binary()] * 5, strict=True)], names=[c.split()[0] for c in _POSTINGS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 2 + [pa.binary()] * 6, strict=True)], names=[c.split()[0] for c in _POSTINGS.split(", ")])
 
-    return docs.select(word_text().alias("text")).mapInArrow(run, _POSTINGS)
+    return docs.select("uid", word_text().alias("text")).mapInArrow(run, _POSTINGS)
 
 
-_FOUND = "kind int, hash long, a binary, b binary, size_a int, place_a int"
+_FOUND = "kind int, hash long, a long, b long, size_a int, place_a int, rare_a int"
 
 
 def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
@@ -200,19 +210,20 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
 
-        def frame(kind, a, b=None, h=0, size=0, place=0):
+        def frame(kind, a, b=None, h=0, size=0, place=0, rare=0):
             n = len(a)
-            found.append(pd.DataFrame({"kind": np.full(n, kind, np.int32), "hash": h, "a": [v.tobytes() for v in a], "b": [v.tobytes() for v in b] if b is not None else [None] * n, "size_a": size, "place_a": place}))
+            found.append(pd.DataFrame({"kind": np.full(n, kind, np.int32), "hash": h, "a": a, "b": b if b is not None else -1, "size_a": size, "place_a": place, "rare_a": rare}))
 
         for kind, packs in pdf.groupby("kind"):
-            names = np.concatenate([np.frombuffer(v, "V16") for v in packs.nodes])
+            names = np.concatenate([np.frombuffer(v, np.int64) for v in packs.nodes])
             sizes = np.concatenate([np.frombuffer(v, np.int32) for v in packs.sizes])
+            rares = np.concatenate([np.frombuffer(v, np.int32) for v in packs.rares])
             count = np.concatenate([np.frombuffer(v, np.int32) for v in packs.counts])
             places = np.concatenate([np.frombuffer(v, np.int32) for v in packs.places])
             hashes = np.concatenate([np.frombuffer(v, np.uint64) for v in packs.hashes])
             owner = np.repeat(np.arange(len(names)), count)
             if kind == 1:
-                frame(1, names[owner], None, hashes.view(np.int64), sizes[owner], places)
+                frame(1, names[owner], None, hashes.view(np.int64), sizes[owner], places, rares[owner])
                 continue
             order = np.lexsort((sizes[owner], hashes))
             hashes, owner, places = hashes[order], owner[order], places[order]
@@ -225,7 +236,7 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
                 frame(2, names[a[keep]], names[b[keep]])
                 continue
             long = np.repeat(length > LONG_LIST, length)
-            frame(1, names[owner[long]], None, hashes[long].view(np.int64), sizes[owner[long]], places[long])
+            frame(1, names[owner[long]], None, hashes[long].view(np.int64), sizes[owner[long]], places[long], rares[owner[long]])
             left, right = [], []
             for step in range(1, LONG_LIST):
                 here = first[(length > step) & (length <= LONG_LIST)]
@@ -251,60 +262,53 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
     return packs.repartition(parts, "part").groupBy("part").applyInPandas(run, _FOUND)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of pairs (a, b), from sets (node, items)."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(c)] for c in ("items_a", "items_b"))
-            shared = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([len(v) for v in a], pa.int64()), pa.array([len(v) for v in b], pa.int64())], names=["a", "b", "shared", "size_a", "size_b"])
+def _sides(pairs: DataFrame, table: DataFrame, columns: list[str], keys: tuple[str, str] = ("a", "b"), within: str | None = None) -> DataFrame:
+    """pairs with the columns of both sides' rows of table (node, ..), a side's columns ending in its name.
 
+    Where pairs are small they go to the table, so that of its rows only those asked for are shuffled, and by one side only."""
     pairs = stored(pairs, "pairs")
-    one = keyed(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), pairs.select("a").distinct(), "a", "left_semi")
-    two = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    both = keyed(two, pairs, "b", "inner").join(one, "a")
-    return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a binary, b binary, shared long, size_a long, size_b long").distinct()
+    also = [within] if within else []
+    side = lambda key: table.select(*also, F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in columns])
+    one, two = keys
+    asked = pairs.select(*also, one).distinct()
+    if small(pairs):  # then so is what they ask for
+        return side(two).join(F.broadcast(pairs), [*also, two]).join(side(one).join(F.broadcast(asked), [*also, one], "left_semi"), [*also, one])
+    return side(two).join(pairs, [*also, two]).join(side(one), [*also, one])
 
 
-def _linked(percent: int):
-    return F.expr(f"100 * shared >= {percent} * (size_a + size_b - shared)")
+def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sets (node, items) link. Rows are compared one by one in the JVM, so memory holds two sets."""
+    both = _sides(pairs, sets, ["items"])
+    shared, sizes = (x.cast("long") for x in (F.size(F.array_intersect("items_a", "items_b")), F.size("items_a") + F.size("items_b")))
+    return both.where((100 + rule.percent) * shared >= rule.percent * sizes).select("a", "b")
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sketches (node, n, sketch) leave room for a link."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y, na, nb in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "na", "nb")), strict=True):
-                p, q = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-                need, beyond = rule.overlap(na, nb), min(na - len(p), nb - len(q))
-                room = beyond + min(len(p), len(q)) >= need
-                keep.append(room and beyond + min(int(np.isin(p, q).sum()), int(np.isin(q, p).sum())) >= need)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+    """The pairs (a, b) whose sketches (node, n, sketch) leave room for a link: beyond the cuts that both have, at most
+    as many elements are shared as the side that has fewer of them holds without its cuts."""
+    both = _sides(pairs, sketches, ["n", "sketch"])
+    beyond = F.least(F.col("n_a") - F.size("sketch_a"), F.col("n_b") - F.size("sketch_b"))
+    room = beyond + F.size(F.array_intersect("sketch_a", "sketch_b"))
+    return both.where((100 + rule.percent) * room >= rule.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def proven(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that connect whatever pairs (a < b) that link connect: first those to each b's smallest a, then those between what is still apart."""
-    pairs = stored(pairs, "pairs")
-    star = stored(overlaps(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets).where(_linked(percent)).select("a", "b"), "star")
+    pairs = pairs.withColumn("first", F.min("a").over(W.partitionBy("b")) == F.col("a"))
+    pairs = stored(pairs, "candidates")
+    star = stored(linked(pairs.where("first").select("a", "b"), sets, rule), "star")
     label = lambda x: star.select(F.col("b").alias(x), F.col("a").alias(f"label_{x}"))
-    left = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
-    left = keyed(keyed(left, label("a"), "a", "left"), label("b"), "b", "left")
+    left = pairs.where("NOT first").select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left")
     left = left.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    return star.unionByName(stored(overlaps(left, sets).where(_linked(percent)).select("a", "b"), "links"))
+    return star.unionByName(stored(linked(left, sets, rule), "links"))
 
 
 def _set_table(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        for _, sets in _rows(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+        for part, sets in _rows(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.select(word_text().alias("text")).mapInArrow(run, "node binary, items binary")
+    return docs.select("uid", word_text().alias("text")).mapInArrow(run, "node long, items array<bigint>")
 
 
 def _may_link(rule: Rule) -> str:
@@ -325,32 +329,85 @@ def _short_lists(lists: DataFrame, rule: Rule) -> DataFrame:
     return _members(lists, "a").join(_members(lists, "b"), "hash").where(f"a < b AND {_may_link(rule)}").select("a", "b").distinct()
 
 
-def _long_lists(lists: DataFrame, sets: DataFrame, sketches: DataFrame, rule: Rule) -> list[DataFrame]:
+def _within(distance: float) -> str:
+    """Whether a set of n elements is at most this Jaccard distance from one of m, apart by gap elements."""
+    return f"gap * {2 - distance} <= {distance} * (n + m) + 1e-6"
+
+
+def _differences(lists: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Lists (hash, a, ..) with their centre c, and for each distinct (a, c): delta = a's set xor c's (null beyond reach
+    of the surroundings), spread = how far apart they are, far = not linked, outside = not in the surroundings.
+
+    Two members link if (100 + percent) |delta xor delta| <= (100 - percent) (n + n)."""
+    centre = stored(lists.groupBy("hash").agg(F.min(F.struct("rare_a", "a")).alias("m")).select("hash", F.col("m.a").alias("c")), "centres")
+    own = stored(lists.join(centre, "hash"), "own")
+    both = _sides(own.select("a", "c").distinct(), sets, ["items"], ("a", "c"))
+    delta = F.concat(F.array_except("items_a", "items_c"), F.array_except("items_c", "items_a"))
+    both = both.select("a", "c", F.size("items_a").cast("long").alias("n"), F.size("items_c").cast("long").alias("m"), delta.alias("delta"))
+    k, s, link = 100 - rule.percent, 100 + rule.percent, 1 - rule.percent / 100
+    apart = both.withColumn("gap", F.size("delta").cast("long")).withColumn("spread", s * F.col("gap") - k * F.col("n"))
+    reach = F.when(F.expr(_within(2 * link + SURROUNDINGS)), F.col("delta")).alias("delta")
+    return own, stored(apart.select("a", "c", "spread", reach, (F.col("spread") > k * F.col("m")).alias("far"), F.expr(f"NOT ({_within(link + SURROUNDINGS)})").alias("outside")), "deltas")
+
+
+def _delta_lists(deltas: DataFrame, rule: Rule) -> DataFrame:
+    """(c, x, a, spread, room, far): lists of differences x that a far member shares with another one (near, or any if last).
+
+    Linked a and b share t differences, 2 (100 + percent) t >= spread(a) + spread(b); room is twice (100 + percent)
+    times what a has from x on, in an order that all members share, so at their first common difference both rooms
+    reach that sum. A list's least spreads of partners bound it for each member alone.
+    """
+    each = deltas.select("c", "a", "spread", "far", F.explode("delta").alias("x"))
+    lists = each.groupBy("c", "x").agg(F.count("*").alias("count"), F.min("spread").alias("least"), F.min(F.when(F.col("far"), F.col("spread"))).alias("least_far"))
+    lists = lists.where("count > 1 AND least_far IS NOT NULL")
+    partner = F.when(F.col("far"), F.col("least")).otherwise(F.col("least_far"))
+    rows = each.join(lists, ["c", "x"])
+    by = W.partitionBy("c", "a").orderBy("count", "x")
+    rows = rows.withColumn("after", F.count("*").over(W.partitionBy("c", "a")) - F.row_number().over(by) + 1)
+    room = 2 * (100 + rule.percent) * F.col("after")
+    return rows.select("c", "x", "a", "spread", "far", room.alias("room"), partner.alias("partner")).where("room >= spread + partner").drop("partner")
+
+
+def _meet(ones: DataFrame, others: DataFrame, extra: str = "true") -> DataFrame:
+    """Distinct (c, a, b) of members of one list of differences with room for a link."""
+    side = lambda df, x: df.select("c", "x", F.col("a").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in df.columns if k not in ("c", "x", "a")])
+    met = side(ones, "a").join(side(others, "b"), ["c", "x"]).where(f"a <> b AND least(room_a, room_b) >= spread_a + spread_b AND {extra}")
+    return met.select("c", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, deltas: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (c, a, b) that link, by their differences from c."""
+    pairs = _sides(pairs, deltas.withColumnRenamed("a", "node"), ["delta", "spread"], within="c")
+    shared = F.size(F.array_intersect("delta_a", "delta_b")).cast("long")
+    return pairs.where(2 * (100 + rule.percent) * shared >= F.col("spread_a") + F.col("spread_b")).select("a", "b")
+
+
+def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame]:
     """Links among members (hash, a) of long lists that connect whatever a full comparison would connect."""
-    percent, tables = rule.percent, []
-    rest, near = lists, None
-    for k in PIVOTS:
-        source = lists if near is None else near
-        pivot = source.groupBy("hash", F.pmod(F.xxhash64("a", F.lit(k)), F.lit(k)).alias("slot")).agg(F.min_by("a", F.xxhash64("a", F.lit(-k))).alias("b")).select("hash", "b")
-        tried = stored(rest.select("hash", "a").join(pivot, "hash").where("a <> b"), "tried")
-        asked = tried.select("a", "b").distinct()
-        scored = stored(overlaps(asked if near is None else plausible(asked, sketches, rule), sets), "scored")
-        links = scored.where(_linked(percent)).select("a", "b")
-        tables.append(links)
-        done = tried.join(links, ["a", "b"]).select("hash", "a").distinct()
-        if near is None:
-            far = tried.join(scored, ["a", "b"]).select("hash", "a", (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
-            distance = stored(far.unionByName(pivot.select("hash", F.col("b").alias("a"), F.lit(0.0).alias("d"))), "distance")
-            near = stored(done.unionByName(pivot.select("hash", F.col("b").alias("a"))), "near")
-            rest = stored(lists.join(near, ["hash", "a"], "left_anti"), "rest")
-        else:
-            rest = stored(rest.join(done, ["hash", "a"], "left_anti"), "rest")
-    limit = 1 - percent / 100 + 1e-9
-    one = _members(rest, "a").join(distance.select("hash", "a", F.col("d").alias("da")), ["hash", "a"])
-    two = _members(lists, "b").join(distance.select("hash", F.col("a").alias("b"), F.col("d").alias("db")), ["hash", "b"])
-    left = one.join(two, "hash").where(f"a <> b AND abs(da - db) <= {limit} AND {_may_link(rule)}")
-    pairs = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tables.append(proven(plausible(pairs, sketches, rule), sets, percent))
+    tables: list[DataFrame] = []
+    for level in range(LEVELS):
+        own, deltas = _differences(lists, sets, rule)
+        star = deltas.where("NOT far AND a <> c").select("a", F.col("c").alias("b"))
+        tables.append(star)
+        near = deltas.where("delta IS NOT NULL")
+        if not near.where("far").isEmpty():
+            met = stored(_delta_lists(near, rule), "differences")
+            slot = F.pmod(F.xxhash64("a"), F.lit(REPRESENTATIVES))
+            few = met.groupBy("c", "x", slot.alias("slot")).agg(F.min(F.struct("spread", "a", "far", "room")).alias("m")).select("c", "x", "m.*")
+            tables.append(stored(_apart(_meet(met.where("far"), few), near, rule), "links"))
+            roots = components(star.unionByName(tables[-1])).select(F.col("node").alias("a"), "root")
+            named = stored(met.join(roots, "a", "left").withColumn("label", F.coalesce("root", "a")).drop("root"), "named")
+            most = named.groupBy("c", "x", "label").count().groupBy("c", "x").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+            named = stored(named.join(stored(most.where("labels > 1").drop("labels"), "most"), ["c", "x"]), "named")
+            pairs = _meet(named.where("label <> most"), named, "label_a <> label_b AND (far_a OR far_b)")
+            tables.append(stored(_apart(pairs, near, rule), "links"))
+        rest = stored(own.join(deltas.where("outside").select("a", "c"), ["a", "c"]).drop("c", "n"), "rest")
+        rest = stored(rest.join(stored(rest.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "lengths"), "hash"), "rest")
+        ends = level == LEVELS - 1
+        tables.append(proven(_short_lists(rest if ends else rest.where(f"n <= {LONG_LIST}"), rule), sets, rule))
+        lists = rest.where(f"n > {LONG_LIST}")
+        if ends or lists.isEmpty():
+            break
     return tables
 
 
@@ -371,33 +428,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     order = np.argsort(hashes)
     heavy = hashes[order], np.array([r[1] for r in top], np.int64)[order]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * (100 - percent) / 100 / PART_POSTINGS))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.count("*").alias("n_rows"))
+    # one row of each set does the work; the aggregate is stored so that joins with it can split a large group of copies
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.count("*").alias("n_rows")), "nodes")
     copies = stored(rows.join(nodes.where("n_rows > 1").select("node", F.col("uid").alias("kept")), "node").where("uid > kept").select("uid"), "copies")
     single = keyed(docs, copies, "uid", "left_anti")
     found = stored(gather(postings(single, width, rule, heavy, x, parts), rule, x, parts), "found")
-    heavy_rows = found.where("kind = 1").select("hash", "a", "size_a", "place_a").distinct()
-    lengths = heavy_rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    lists = stored(heavy_rows.join(lengths, "hash"), "lists")
+    heavy_rows = found.where("kind = 1").select("hash", "a", "size_a", "place_a", "rare_a").distinct()
+    lengths = stored(heavy_rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("size_a").alias("least")).where("n > 1"), "lengths")
+    room = f"{100 + percent} * (size_a - place_a) >= {percent} * (size_a + greatest(least, {percent} * size_a / 100))"
+    lists = stored(heavy_rows.join(lengths, "hash").where(room).drop("least"), "lists")
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.unionByName(_short_lists(lists.where(f"n <= {LONG_LIST}"), rule)).distinct(), "candidates")
     long = lists.where(f"n > {LONG_LIST}")
-    asked = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct(), "asked")
-    sketches = first.where("kind = 0 AND node IS NOT NULL").select("node", "n", "sketch", "uid")
-    sketches = keyed(keyed(sketches, copies, "uid", "left_anti"), asked.withColumnRenamed("a", "node"), "node", "left_semi")
-    sketches = stored(sketches.dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
+    asked = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "asked")
+    sketches = first.where("kind = 0 AND node IS NOT NULL").select(F.col("uid").alias("node"), "n", "sketch")
+    sketches = stored(keyed(sketches, asked.withColumnRenamed("a", "node"), "node", "left_semi"), "sketches")
     pairs = stored(plausible(pairs, sketches, rule), "plausible")
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct()
-    met = stored(asked.join(nodes, F.col("a") == F.col("node")).select("uid"), "met")
-    sets = stored(_set_table(keyed(single, met, "uid", "left_semi"), width), "items")
+    sets = stored(_set_table(keyed(docs, asked.withColumnRenamed("a", "uid"), "uid", "left_semi"), width), "items")
     dropped(docs)
-    links = proven(pairs, sets, percent).unionByName(found.where("kind = 2").select("a", "b"))
+    links = proven(pairs, sets, rule).unionByName(found.where("kind = 2").select("a", "b"))
     if not long.isEmpty():
-        for table in _long_lists(long, sets, sketches, rule):
+        for table in _long_lists(long, sets, rule):
             links = links.unionByName(table)
     roots = stored(components(links), "roots")
     dropped(sets)
-    named = roots.join(nodes, "node", "left")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    class_of = named.join(smallest, "root").select("node", "component")
-    every = nodes.join(class_of, "node", "left").select("node", F.coalesce("component", "doc_id").alias("component_id"))
+    named = stored(nodes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
+    smallest = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    every = stored(named.join(smallest, "root").select("node", "component_id"), "classes")
     return rows.join(every, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
