@@ -236,10 +236,11 @@ def clusters(spark, sf_dir):
 
 
 def _mob_rows(spark, sf_dir):
+    """All components: the first 8 are model terms, the others split features; y has a slope that changes with one of these."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.col("embedding").cast("array<double>").alias("v"))
-    x, z = F.slice("v", 1, 4), F.slice("v", 5, 10)
+    x, z = F.slice("v", 1, 8), F.slice("v", 9, WIDTH - 8)
     slope = F.when(F.col("z")[2] > 0, 2.0).otherwise(-2.0)
-    return e.select("pair_id", F.lit(1.0).alias("w"), x.alias("x"), z.alias("z")).withColumn("y", slope * F.col("x")[0] + 0.1 * F.col("x")[1])
+    return e.select("pair_id", F.lit(1.0).alias("w"), x.alias("x"), z.alias("z"), "v").withColumn("y", slope * F.col("x")[0] + 0.1 * F.col("x")[1])
 
 
 def partitioned_models(spark, sf_dir):
@@ -248,7 +249,7 @@ def partitioned_models(spark, sf_dir):
 
 
 def lasso_coefficients(spark, sf_dir):
-    rows = _mob_rows(spark, sf_dir).withColumn("features", M.array_to_vector("x"))
+    rows = _mob_rows(spark, sf_dir).withColumn("features", M.array_to_vector("v"))
     model = M.lasso(rows, 0.001)
     return spark.createDataFrame([(j, float(c)) for j, c in enumerate(model.coefficients)], "term int, coef double")
 
