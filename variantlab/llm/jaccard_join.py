@@ -51,6 +51,8 @@ SURROUNDINGS = 0.15
 #: Representatives of a list of differences that its far members meet before all others.
 REPRESENTATIVES = 4
 PART_POSTINGS = 1_000_000
+#: Parts of the postings at least: a set's postings are then in a part of their own mostly, at any input, so that bytes follow postings.
+LEAST_PARTS = 64
 #: Cost of one verification-bound posting against one subset key.
 LIST_COST = 4.0
 MAX_SUBSET_SIZE = 16
@@ -259,7 +261,8 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
         out = pd.concat(found, ignore_index=True)
         return out[~((out.kind != 1) & (out.a == out.b))]
 
-    return packs.repartition(parts, "part").groupBy("part").applyInPandas(run, _FOUND)
+    tasks = max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 8)
+    return packs.repartition(tasks, "part").groupBy("part").applyInPandas(run, _FOUND)
 
 
 def _sides(pairs: DataFrame, table: DataFrame, columns: list[str], keys: tuple[str, str] = ("a", "b"), within: str | None = None) -> DataFrame:
@@ -427,7 +430,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     heavy = hashes[order], np.array([r[1] for r in top], np.int64)[order]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * (100 - percent) / 100 / PART_POSTINGS))
+    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * (100 - percent) / 100 / PART_POSTINGS))
     # one row of each set does the work; the aggregate is stored so that joins with it can split a large group of copies
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.count("*").alias("n_rows")), "nodes")
     copies = stored(rows.join(nodes.where("n_rows > 1").select("node", F.col("uid").alias("kept")), "node").where("uid > kept").select("uid"), "copies")
