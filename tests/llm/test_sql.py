@@ -14,7 +14,7 @@ from test_oracle import canonical
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_equals_sql(spark, name, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, f"/root/testdata/{sf}").toPandas()

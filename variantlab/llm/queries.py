@@ -17,6 +17,7 @@ from .secret_scan import RULES, digests, secret_spans
 from .token_count import token_counts
 from .token_orc import read_token_orc, token_digests, write_token_orc
 from .toxicity import toxicity
+from .vector_codes import compressed
 from .warc import read_warc, resolved, write_warc
 
 
@@ -70,11 +71,16 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(read_warc(spark, path))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compressed(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return codes.drop("label").withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_collision_ann, op2_token_counts, op3_ngram_jaccard_join, op4_decontamination, op5_best_fit_packing,
-        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits,
+        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits, op12_vector_codes,
     )
 }
 
@@ -117,6 +123,19 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY 1, 2"""
 
 
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """q: integer parts; each round assigns them (a) by distance, then index, and averages (c); materialised, as a round is read twice."""
+    nearest = lambda books: f"SELECT q.rid, q.part, arg_min({{'e': entry, 'd': d}}, {{'d': d, 'e': entry}}) AS m FROM (SELECT q.rid, q.part, b.entry, list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM q JOIN {books} b ON b.part = q.part) q GROUP BY 1, 2"
+    steps = "".join(f""", a{r} AS MATERIALIZED ({nearest(f"c{r}")}), s{r} AS (SELECT q.part, m.e AS entry, generate_subscripts(q.x, 1) AS k, unnest(q.x) AS x FROM a{r} JOIN q USING (rid, part)),
+f{r} AS (SELECT part, entry, list(v ORDER BY k) AS x FROM (SELECT part, entry, k, floor(sum(x) / count(*))::BIGINT AS v FROM s{r} GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(f{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN f{r} USING (part, entry))""" for r in range(rounds))
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT rid, p AS part, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM k, range({parts}) t(p)), c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM q WHERE rid <= {entries}){steps},
+z AS MATERIALIZED ({nearest(f"c{rounds}")}), e AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM z GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN e USING (rid), h"""
+
+
 _BASE32 = "array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((('0x' || substr(h, CAST(1 + 5 * (j // 4) AS INT), 5))::UBIGINT >> (15 - 5 * (j % 4))::UBIGINT) & 31) AS INT), 1)), '')"
 
 #: Tokens, learning, hash rings and approximate search are beyond SQL; tests hold those queries against libraries and brute force.
@@ -124,6 +143,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": _jaccard_sql(5, 75),
     "op4_decontamination": _decontamination_sql(10),
     "op9_secret_scan": _secrets_sql(),
+    "op12_vector_codes": _codes_sql(16, 64, 2),
     "op10_warc_revisits": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
 }
