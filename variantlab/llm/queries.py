@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .packing import pack
 from .ring_shards import assign_shards
 from .secret_scan import RULES, digests, secret_spans
+from .tandem_runs import periodic_runs
 from .token_count import token_counts
 from .token_orc import read_token_orc, token_digests, write_token_orc
 from .toxicity import toxicity
@@ -76,11 +77,33 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.drop("label").withColumn("codebooks_sha256", F.lit(books.sha256()))
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words of a tenth of the documents, by the checksum of doc_id, repeat from a place on."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", number.alias("h"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    rows = rows.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.transform("w", lambda w, i: F.when(i >= F.col("a"), F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(w))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_repeated(_table(spark, sf_dir, "documents")), least=6, times=4)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    rows = found.withColumn("top", longest).withColumn("length", -F.col("top.less"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "length", "top.period", F.expr("1000 * length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_collision_ann, op2_token_counts, op3_ngram_jaccard_join, op4_decontamination, op5_best_fit_packing,
-        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits, op12_vector_codes,
+        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits, op12_vector_codes, op13_tandem_runs,
     )
 }
 
@@ -136,6 +159,20 @@ h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN e USING (rid), h"""
 
 
+def _runs_sql(least: int, times: int) -> str:
+    """c: crc32 of doc_id, bit by bit; e: equal words q apart; stretches of these are runs, once for each period that they have, and the smallest stays."""
+    bits = "list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda s: list_concat([ascii(s)::BIGINT], list_transform(range(8), lambda k: -1)))), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, 4294967295::BIGINT)"
+    return f"""WITH c AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor({bits}, 4294967295::BIGINT) AS h FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c), b AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+x AS MATERIALIZED (SELECT rid, doc_id, n, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM b, unnest(range(n)) t(i)),
+e AS (SELECT l.rid, l.n, l.i, r.i - l.i AS q FROM x l JOIN x r ON r.rid = l.rid AND r.word = l.word AND r.i > l.i AND {times} * (r.i - l.i) <= l.n),
+g AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e) GROUP BY rid, q, island),
+r AS MATERIALIZED (SELECT rid, start, length, min(q) AS period FROM g WHERE length >= greatest({least}, {times} * q) GROUP BY 1, 2, 3),
+t AS (SELECT rid, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, {{'l': -length, 's': start, 'p': period}}) AS m, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+f AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r), k AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN f USING (rid, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, m.s AS start, m.l AS length, m.p AS period, 1000 * m.l // m.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM c LEFT JOIN t USING (rid) LEFT JOIN k USING (rid)"""
+
+
 _BASE32 = "array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((('0x' || substr(h, CAST(1 + 5 * (j // 4) AS INT), 5))::UBIGINT >> (15 - 5 * (j % 4))::UBIGINT) & 31) AS INT), 1)), '')"
 
 #: Tokens, learning, hash rings and approximate search are beyond SQL; tests hold those queries against libraries and brute force.
@@ -143,6 +180,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": _jaccard_sql(5, 75),
     "op4_decontamination": _decontamination_sql(10),
     "op9_secret_scan": _secrets_sql(),
+    "op13_tandem_runs": _runs_sql(6, 4),
     "op12_vector_codes": _codes_sql(16, 64, 2),
     "op10_warc_revisits": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
