@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .packing import pack
 from .ring_shards import assign_shards
 from .secret_scan import RULES, digests, secret_spans
+from .suffix_dedup import without_repeats
 from .tandem_runs import periodic_runs
 from .token_count import token_counts
 from .token_orc import read_token_orc, token_digests, write_token_orc
@@ -72,6 +73,12 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(read_warc(spark, path))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = compressed(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
     return codes.drop("label").withColumn("codebooks_sha256", F.lit(books.sha256()))
@@ -103,7 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_collision_ann, op2_token_counts, op3_ngram_jaccard_join, op4_decontamination, op5_best_fit_packing,
-        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits, op12_vector_codes, op13_tandem_runs,
+        op6_token_orc, op7_toxicity, op8_ring_shards, op9_secret_scan, op10_warc_revisits, op11_suffix_dedup, op12_vector_codes,
+        op13_tandem_runs,
     )
 }
 
@@ -146,6 +154,17 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY 1, 2"""
 
 
+def _repeats_sql(length: int) -> str:
+    """Bytes as two hex digits each, in pieces c as a place in a long text is slow to find: windows w, the first of equal ones stays, and the others' bytes are joined into spans and cut out."""
+    return rf"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT rid, 500 * b AS base, substr(x, 1000 * b + 1, {1000 + 2 * length - 2}) AS y FROM d, unnest(range(len(x) // 1000 + 1)) t(b)),
+w AS (SELECT rid, base + s AS s, md5_number(substr(y, 2 * s + 1, {2 * length})) AS m FROM c, unnest(range(len(y) // 2 - {length - 1})) t(s)), r AS (SELECT rid, s FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY rid, s) > 1),
+i AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS island FROM (SELECT rid, s, CAST(s > coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s), -1000000) + {length} AS INT) AS new FROM r)),
+p AS (SELECT rid, min(s) AS a, max(s) + {length} AS b FROM i GROUP BY rid, island),
+k AS (SELECT rid, count(*) AS n, sum(b - a) AS gone, string_agg(substr(x, 2 * a0 + 1, 2 * (a - a0)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM (SELECT p.*, x, coalesce(lag(b) OVER (PARTITION BY p.rid ORDER BY a), 0) AS a0 FROM p JOIN d USING (rid)) GROUP BY 1)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (rid)"""
+
+
 def _codes_sql(parts: int, entries: int, rounds: int) -> str:
     """q: integer parts; each round assigns them (a) by distance, then index, and averages (c); materialised, as a round is read twice."""
     nearest = lambda books: f"SELECT q.rid, q.part, arg_min({{'e': entry, 'd': d}}, {{'d': d, 'e': entry}}) AS m FROM (SELECT q.rid, q.part, b.entry, list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM q JOIN {books} b ON b.part = q.part) q GROUP BY 1, 2"
@@ -181,6 +200,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": _decontamination_sql(10),
     "op9_secret_scan": _secrets_sql(),
     "op13_tandem_runs": _runs_sql(6, 4),
+    "op11_suffix_dedup": _repeats_sql(100),
     "op12_vector_codes": _codes_sql(16, 64, 2),
     "op10_warc_revisits": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
