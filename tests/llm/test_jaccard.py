@@ -9,6 +9,7 @@ import pytest
 from variantlab.llm import jaccard_join
 from variantlab.llm.jaccard_join import jaccard_components
 from variantlab.llm.queries import op3_ngram_jaccard_join
+from variantlab.llm.words import shingle_sets
 
 from .fixtures import DOCS, odd_docs, odd_texts, sentence
 
@@ -158,3 +159,17 @@ def test_nested_groups_of_near_copies(spark):
 
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("words", range(8))
+def test_few_words_alone_in_a_batch(words):
+    """Batches that hold 0 to 7 words together, in one text or several."""
+    text = " ".join("abcdefg"[:words])
+    assert [len(s) for s in shingle_sets([text], 5)] == [max(1, words - 4) if words else 0]
+    assert [len(s) for s in shingle_sets([text, None, text, ""], 5)] == 2 * [max(1, words - 4) if words else 0, 0]
+
+
+def test_few_words_alone_in_a_partition(spark):
+    rows = [(0, "a b c"), (1, "d e f"), (2, "A b c"), (3, "a b c d"), (4, "a b c d e f"), (5, ""), (6, "x")]
+    docs = odd_docs(spark, rows).repartitionByRange(len(rows), "doc_id")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()) == brute(rows)

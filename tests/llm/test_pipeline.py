@@ -109,3 +109,16 @@ def test_stages_of_an_empty_table(spark, tmp_path):
         out = stage(spark, docs, path)
         assert out.columns == docs.columns and out.count() == 0
     assert pipeline.run(spark, path).count() == 0
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    text = sentence(random.Random(2), 30)
+    rows = [(1, text, 5, "r", 1, 2), (2, text + " end", 6, "s", 3, 4), (3, "x password=abcdefgh1 y", 7, "t", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row int, row string, __group int, blob int")
+    path = tables(spark, tmp_path, [(k, 0, k % 2) for k in range(9)], [(1, "nothing of these documents at all")])
+    kept = docs
+    for _, stage in pipeline.STAGES[1:-1]:
+        kept = stored(stage(spark, kept, path), "kept")
+        assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], (3, "x [SECRET] y", *rows[2][2:])]
+    assert pipeline.toxicity_stage(spark, docs, path).columns == docs.columns

@@ -116,3 +116,10 @@ def test_sides_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr("variantlab.llm.frames.BROADCAST_ROWS", 0)
     docs = odd_texts() + SECRETS
     assert rows_of(secret_spans(odd_docs(spark, docs))) == sorted(((i, *brute(t)) for i, t in docs), key=str)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "x password=abcdefgh1 y", "b", 1, 2, "B", "c", 3), (2, None, "b2", 4, 5, None, "c2", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, blob string, cuts int, tail int, __blob string, __cuts string, CUTS_ int")
+    out = sorted(map(tuple, redacted(docs, secret_spans(docs)).collect()))
+    assert out == [(1, "x [SECRET] y", *rows[0][2:]), rows[1]]

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from variantlab.llm import packing
@@ -229,3 +230,18 @@ def test_token_files_have_stripes_row_indexes_and_bloom_filters(spark, tmp_path)
     assert stripes > 2 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
     found = read_token_orc(spark, f"{tmp_path}/orc").where("doc_id = 4002")
     assert found.count() == 1 and read_token_orc(spark, f"{tmp_path}/orc").where("doc_id = 4003").count() == 0
+
+
+def test_rows_of_one_id_start_where_they_lie(spark, tmp_path):
+    """Physical rows, read file by file, begin at start also where several share a doc_id."""
+    rows = [(7, f"{'word ' * (k * 7 % 5 + 3)}{k}") for k in range(8)] + [(k, "other words") for k in range(5, 10)] + [(None, "x"), (None, "y z")]
+    write_token_orc(odd_docs(spark, rows).repartition(3), f"{tmp_path}/orc", WORDS, end_id=2)
+    files = read_token_orc(spark, f"{tmp_path}/orc")
+    digests = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in token_digests(files).collect()}
+    at, seen = 0, 0
+    key = lambda t: (t.column("doc_id")[0].as_py() is not None, t.column("doc_id")[0].as_py() or 0)
+    for table in sorted((orc.read_table(p) for p in tmp_path.glob("orc/*.orc") if orc.read_table(p).num_rows), key=key):
+        for doc_id, ids in zip(table.column("doc_id").to_pylist(), table.column("token_ids").to_pylist(), strict=True):
+            assert digests[doc_id, at] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at, seen = at + len(ids), seen + 1
+    assert seen == len(rows) == len(digests)

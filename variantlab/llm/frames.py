@@ -65,6 +65,18 @@ def small(table: DataFrame) -> bool:
     return size <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df lacks, whatever the case of its own: the given ones, longer where they are taken."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keyed(df: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """A join with keys that broadcasts them only where they are stored and small; else both sides are shuffled. Keys that are not stored yet are."""
     keys = keys if hasattr(keys, _STORED) else stored(keys, "keys")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .frames import keyed, new_path, stored, word_text
+from .frames import fresh, keyed, new_path, stored, word_text
 
 
 @dataclass(frozen=True)
@@ -129,9 +129,10 @@ def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataF
     reach = F.coalesce(F.max("s.end").over(W.partitionBy("blob").orderBy("s.start", "s.end").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
     each = each.select("blob", reach.alias("reach"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     stretch = F.when(F.col("start") > F.col("reach"), F.struct(F.greatest("reach", F.lit(0)).alias("at"), F.col("start").alias("to")))
-    cuts = each.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_list(stretch)).alias("__cuts"), F.max("end").alias("__tail"))
+    blob, cuts, tail = fresh(docs, "blob", "cuts", "tail")
+    table = each.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(stretch)).alias(cuts), F.max("end").alias(tail))
     text, wide = F.col("text"), F.encode(F.col("text"), "UTF-32")
     piece = lambda at, to: F.decode(F.substr(wide, 4 * at + 1, 4 * (to - at)), "UTF-32")
-    pieces = F.concat(F.transform("__cuts", lambda c: piece(c["at"], c["to"])), F.array(piece(F.col("__tail"), F.char_length(text))))
-    joined = keyed(docs.withColumn("__blob", F.sha2(word_text(), 256)), cuts, "__blob", "left")
-    return joined.withColumn("text", F.when(F.col("__cuts").isNotNull() & text.isNotNull(), F.array_join(pieces, mark)).otherwise(text)).select(*docs.columns)
+    pieces = F.concat(F.transform(cuts, lambda c: piece(c["at"], c["to"])), F.array(piece(F.col(tail), F.char_length(text))))
+    joined = keyed(docs.withColumn(blob, F.sha2(word_text(), 256)), table, blob, "left")
+    return joined.withColumn("text", F.when(F.col(cuts).isNotNull() & text.isNotNull(), F.array_join(pieces, mark)).otherwise(text)).select(*docs.columns)

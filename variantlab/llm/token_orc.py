@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by doc_id before they are encoded, so that files, stripes and row
 groups hold disjoint doc_id ranges: a lookup by id prunes by statistics and Bloom filters, and a scan splits by stripe.
-Rows of one doc_id are counted in the order of their ids' checksums.
+Rows are numbered as they are written, so rows of one doc_id keep their places in the file.
 
 Defined results: null and empty texts hold the end id alone; a null doc_id sorts first; repeated rows are kept;
 very long texts are encoded whole; other columns are ignored; an empty table writes files without rows.
@@ -27,11 +27,16 @@ ORC_OPTIONS = {
 }
 
 
+_COLUMNS = ["doc_id", "place", "n_tokens", "token_ids"]
+_SCHEMA = "doc_id long, place long, n_tokens long, token_ids array<int>"
+
+
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 16 << 20) -> None:
-    """Writes (doc_id, n_tokens, token_ids) in ascending doc_id order."""
+    """Writes (doc_id, place, n_tokens, token_ids) in ascending doc_id order; place numbers the rows of a task, which writes one file after another."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
+        place = 0
         for part, ids in encoded(batches, tokenizer):
             size = np.array([len(x) + 1 for x in ids])
             flat = np.full(int(size.sum()), end_id, np.int32)
@@ -40,15 +45,16 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, str
             own[stops - 1] = False
             flat[own] = np.concatenate(ids)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), lists], names=["doc_id", "n_tokens", "token_ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(place, place + len(ids))), pa.array(size.astype(np.int64)), lists], names=_COLUMNS)
+            place += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>").write.options(**ORC_OPTIONS).option("orc.stripe.size", stripe_bytes).orc(path)
+    ordered.mapInArrow(run, _SCHEMA).write.options(**ORC_OPTIONS).option("orc.stripe.size", stripe_bytes).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, token_ids array<int>").orc(path)
+    return spark.read.schema(_SCHEMA).orc(path)
 
 
 def token_digests(files: DataFrame) -> DataFrame:
@@ -61,10 +67,10 @@ def token_digests(files: DataFrame) -> DataFrame:
             size = np.asarray(lists.value_lengths())
             stops = np.cumsum(size)
             crc = [zlib.crc32(flat[b - n : b]) for b, n in zip(stops.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("place"), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    each = files.select(F.col("_metadata.file_name").alias("file"), "doc_id", "token_ids").mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    each = files.select(F.col("_metadata.file_name").alias("file"), "doc_id", "place", "token_ids").mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
     totals = each.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
     before = totals.select("file", (F.sum("total").over(W.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("total")).alias("before"))
-    own = F.sum("n_tokens").over(W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
+    own = F.sum("n_tokens").over(W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     return each.withColumn("own", own).join(before, "file").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")

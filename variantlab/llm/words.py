@@ -76,7 +76,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     words, bounds = word_hashes(texts)
     factor = powers(width + 1)[1:]
     total = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for k in range(width):
+    for k in range(width if len(total) else 0):
         total += words[k : len(words) - width + 1 + k] * factor[k]
     total = mix(total)
     out = []
