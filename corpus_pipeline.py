@@ -7,8 +7,7 @@ contaminated documents go, secrets are replaced in the text, and what is left is
 Defined results of every stage: decisions are on rows, not ids, so null ids, repeated ids and repeated rows are
 decided each (of a group of near copies one row stays, also of equal rows); null and empty texts are kept by all stages
 but toxicity, which scores them as texts without words, and are never near copies, contaminated or changed; very
-long texts are taken whole; extra columns stay as they are, whatever their names but __row, which a stage uses; an
-empty table gives an empty result.
+long texts are taken whole; extra columns stay as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,50 +18,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from variantlab.llm.decontaminate import decontaminate
-from variantlab.llm.frames import keyed, stored
+from variantlab.llm.frames import fresh, keyed, stored
 from variantlab.llm.jaccard_join import jaccard_components
 from variantlab.llm.packing import pack
 from variantlab.llm.secret_scan import redacted, secret_spans
 from variantlab.llm.toxicity import toxicity
 
 
-ROW = "__row"
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs stored with a number for each row, since ids may be null, repeated or stand for several texts, and the number's column."""
+    (row,) = fresh(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs stored with a number for each row, since ids may be null, repeated or stand for several texts."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def _by_row(rows: DataFrame) -> DataFrame:
+def _by_row(rows: DataFrame, row: str) -> DataFrame:
     """rows as an operator's input, whose doc_id is the row's number."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+    return rows.select(F.col(row).alias("doc_id"), "text")
 
 
-def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    return keyed(rows, stored(rejected.select(ROW), "rejected"), ROW, "left_anti").drop(ROW)
+def _without(rows: DataFrame, rejected: DataFrame, row: str) -> DataFrame:
+    return keyed(rows, stored(rejected.select(row), "rejected"), row, "left_anti").drop(row)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    rows = _numbered(docs)
-    return _without(rows, toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), named_by=(ROW,)).where("predicted = 1"))
+    rows, row = _numbered(docs)
+    named = rows.select("doc_id", "text", F.col(row).alias("__row"))
+    found = toxicity(named, spark.read.parquet(f"{sf_dir}/labels.parquet"), named_by=("__row",))
+    return _without(rows, found.where("predicted = 1").select(F.col("__row").alias(row)), row)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: the smallest id, null ids last, and of equal ids the first row."""
-    rows = _numbered(docs)
-    groups = jaccard_components(_by_row(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__group"))
-    groups = stored(rows.select(ROW, "doc_id").join(groups, ROW).select(ROW, "__group", F.col("doc_id").isNull().alias("__last"), "doc_id"), "groups")
-    first = groups.groupBy("__group").agg(F.min(F.struct("__last", "doc_id", ROW)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return _without(rows, groups.join(first, "__group").where(F.col(ROW) != F.col(f"first.{ROW}")))
+    rows, row = _numbered(docs)
+    groups = jaccard_components(_by_row(rows, row)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").isNull().alias("last"), "doc_id")
+    groups = stored(ids.join(groups, "row"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct("last", "doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return _without(rows, groups.join(first, "group").where("row <> first.row").select(F.col("row").alias(row)), row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    rows = _numbered(docs)
-    found = decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
+    rows, row = _numbered(docs)
+    found = decontaminate(_by_row(rows, row), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(row)), row)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
