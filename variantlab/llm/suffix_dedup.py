@@ -33,19 +33,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import dropped, keyed, stored, word_text
+from .frames import dropped, stored, word_text
 from .words import mix
 
 LENGTH = 100
 #: Bytes that are hashed at once.
 PIECE = 1 << 18
 #: Stretches that a task reduces at once.
-REDUCED = 2_000_000
+REDUCED = 500_000
 #: Keys of this many bodies in one task are reported, and cut into windows if they have HEAVY in all; the most frequent ones, at most HEAVY_KEPT, 8 bytes each.
 LOCAL_HEAVY, HEAVY, HEAVY_KEPT = 8, 1000, 1 << 17
-PART_STRETCHES, LEAST_PARTS = 1_000_000, 32
+PART_STRETCHES, LEAST_PARTS = 400_000, 32
 #: Bodies that one task sorts.
-PART_BODIES = 20_000
+PART_BODIES = 8_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -511,11 +511,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_STRETCHES)
     found = stored(gather(packs(docs, length, heavy, parts), parts), "stretches")
     asked = stored(found.where("kind = 1").groupBy("tag").agg(F.collect_list(F.struct("start", "windows", "key")).alias("asked")), "asked")
-    rows = keyed(docs, asked, "tag", "inner").select("tag", "doc_id", "text", "asked")
+    rows = docs.join(asked, "tag").select("tag", "doc_id", "text", "asked")
     wanted = found.where("kind = 1").count()
     again = stored(repeated_windows(bodies(rows, length, 1 + wanted // PART_BODIES), length), "windows")
     every = found.where("kind = 0").select("tag", "start", "windows").unionByName(again)
     repeats = stored(every.groupBy("tag").agg(F.collect_list(F.struct("start", "windows")).alias("repeats")), "repeats")
     for table in (found, asked, again):
         dropped(table)
-    return _cut(keyed(docs, repeats, "tag", "left").select("doc_id", "text", "repeats"), length)
+    return _cut(docs.join(repeats, "tag", "left").select("doc_id", "text", "repeats"), length)
