@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -71,8 +72,6 @@ def test_odd_rows(spark, seed):
 
 def test_ids_that_name_several_texts_or_none(spark):
     """One id with two texts, of which one is a copy, and near copies that only null-id rows hold."""
-    import random
-
     rng = random.Random(3)
     near = lambda t, k: " ".join([*t.split()[:k], "other", *t.split()[k + 1 :]])
     one, two, three, four = (sentence(rng, 80) for _ in range(4))
@@ -83,8 +82,6 @@ def test_ids_that_name_several_texts_or_none(spark):
 
 def test_long_lists_and_chains(spark):
     """Hundreds of variants that drift from one text, so that links chain, and a passage that many texts share."""
-    import random
-
     rng = random.Random(5)
     words = sentence(rng, 100).split()
     rows, passage = [], sentence(rng, 60)
@@ -108,8 +105,6 @@ def test_sides_beyond_the_limit(spark, monkeypatch):
 
 def test_verified_pairs_follow_a_group_of_near_copies(spark, monkeypatch):
     """Twice the near copies of one text, 1 to 6 words changed in each: the pairs compared, those with centres included, stay in proportion."""
-    import random
-
     seen = {}
 
     def counted(name):
@@ -141,10 +136,54 @@ def test_verified_pairs_follow_a_group_of_near_copies(spark, monkeypatch):
     assert compared[1] <= 600 and sum(figures[1].values()) <= 2.5 * sum(figures[0].values())
 
 
+def boilerplate(n, seed):
+    """Texts of a random half of 30 sentences in their order, and near copies of some of them."""
+    rng = random.Random(seed)
+    sentences = [sentence(rng, 10) for _ in range(30)]
+    rows = []
+    for k in range(n):
+        words = " ".join(sentences[i] for i in sorted(rng.sample(range(30), 15))).split()
+        if k % 40 == 39:
+            words = rows[rng.randrange(k)][1].split()
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_boilerplate_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Twice and four times the texts of shared sentences: comparisons stay in proportion to them."""
+    seen = []
+    for name in ("linked", "_apart", "plausible", "_differences"):
+
+        def run(pairs, *more, own=getattr(jaccard_join, name)):
+            seen.append(pairs.count())
+            return own(pairs, *more)
+
+        monkeypatch.setattr(jaccard_join, name, run)
+    figures = []
+    for n in (200, 400, 800):
+        seen.clear()
+        rows = boilerplate(n, 3)
+        got = sorted((tuple(r) for r in jaccard_components(odd_docs(spark, rows)).collect()), key=str)
+        assert got == brute(rows)
+        figures.append(sum(seen))
+    assert figures[2] < 0.1 * 800 * 799 / 2
+    assert figures[1] <= 2.5 * figures[0] and figures[2] <= 2.5 * figures[1]
+
+
+def test_combinations_of_few_elements(spark, monkeypatch):
+    """Short lists count as long ones, so that most pairs are met under combinations and in the lists that these leave."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "TAKEN", 1.0)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    rows = boilerplate(120, 8) + [(k + 500, t) for k, t in odd_texts(5) if k is not None and k < 50]
+    got = sorted((tuple(r) for r in jaccard_components(odd_docs(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_nested_groups_of_near_copies(spark):
     """Three groups of near copies whose texts share most words with each other, so that they share long lists too."""
-    import random
-
     rng = random.Random(11)
     common, rows = sentence(rng, 90).split(), []
     own = [sentence(rng, 25).split() for _ in range(3)]

@@ -11,7 +11,11 @@ they share enough of what sets them apart from the centre C, and such elements a
 it. Differences have inverted lists, prefixes and places as sets do; far members first meet a few representatives of
 each list, and then only members that are not in their component by then. By the triangle inequality of the Jaccard
 distance this covers all pairs of which one member is in the centre's surroundings; the members outside them are a
-list again, with a centre of its own. What is left after LEVELS centres is expanded, as far as sizes and places allow.
+list again, with a centre of its own, for as long as a centre takes in at least a quarter of the postings.
+What is left then shares passages without being close. Elements that always occur together become one element with a
+weight, and members meet under combinations of such elements: the first that a linked pair shares leaves each of the two
+enough weight for the rest, so does the second, and so on; combinations grow until few members are left
+under each. A common passage alone brings nobody together.
 Pairs of short lists meet by sketches first (16 bits of about a quarter of the elements), which bound the intersection
 from above, so that whole sets travel for pairs only that may link. Of these, every set is verified against its
 smallest partner before the pairs whose sets are not connected by then. No link between different components is dropped.
@@ -44,8 +48,10 @@ LOCAL_HEAVY = 3
 #: Heavy elements kept for the order of elements, most frequent first: a bound on what is broadcast, 16 bytes each.
 HEAVY_KEPT = 1 << 17
 LONG_LIST = 24
-#: Centres that a long list gets, each for the members outside the surroundings of those before.
-LEVELS = 3
+#: Long lists get another centre if the last one took in this share of the postings.
+TAKEN = 0.25
+#: Members under a combination of elements that are compared with one another.
+FEW = 4
 #: How much farther from a centre than a linked set, in Jaccard distance, its surroundings reach.
 SURROUNDINGS = 0.15
 #: Representatives of a list of differences that its far members meet before all others.
@@ -385,10 +391,68 @@ def _apart(pairs: DataFrame, deltas: DataFrame, rule: Rule) -> DataFrame:
     return pairs.where(2 * (100 + rule.percent) * shared >= F.col("spread_a") + F.col("spread_b")).select("a", "b")
 
 
+def _weighted(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, n, s, w, rank, rest) of members (a): elements s that other members have too, w of them that occur in the same members as one; rest is the weight from rank on, the rarest first."""
+    each = sets.join(members.select(F.col("a").alias("node")), "node").select(F.col("node").alias("a"), F.size("items").cast("long").alias("n"), F.explode("items").alias("x"))
+    shared = each.groupBy("x").agg(F.count("*").alias("c"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("who")).where("c > 1")
+    shared = stored(shared.select("x", "c", F.xxhash64("c", "who").alias("s")), "shared")
+    profile = stored(each.join(shared, "x").groupBy("a", "n", "s", "c").agg(F.count("*").alias("w")), "profile")
+    by = W.partitionBy("a").orderBy("c", "s")
+    rest = F.sum("w").over(W.partitionBy("a")) - F.sum("w").over(by) + F.col("w")
+    return stored(profile.select("a", "n", "s", "w", F.row_number().over(by).alias("rank"), rest.alias("rest")), "weighted")
+
+
+def _combined(members: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (a, b) of members (a) that may link, and lists (hash, a) of members that share what a link needs and are too many for pairs.
+
+    Members under a key share elements of a weight; a member's partners there are no smaller than the least of them, which
+    bounds what a link needs from below, and after is the weight of a member's elements that may still be shared.
+    """
+    weighted = _weighted(members, sets)
+    overlap = lambda a, b: f"-floor(-{rule.percent} * ({a} + {b}) / {100 + rule.percent})"
+    needs = F.expr(overlap("n", f"greatest(low, -floor(-{rule.percent} * n / 100))"))
+    every = weighted.groupBy("a", "n").agg(F.lit(0).alias("last"), F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("key"))
+    state = every.withColumn("low", F.lit(0).cast("long"))
+    pairs: list[DataFrame] = []
+    lists: list[DataFrame] = []
+
+    def side(few: DataFrame, x: str) -> DataFrame:
+        return few.select("key", F.col("a").alias(x), F.col("n").alias(f"n{x}"), F.col("after").alias(f"after{x}"), F.col("weight").alias(f"weight{x}"))
+
+    def meet(few: DataFrame) -> DataFrame:
+        sizes = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) AND weighta + least(aftera, afterb) >= {overlap('na', 'nb')}"
+        return side(few, "a").join(side(few, "b"), "key").where(f"a < b AND {sizes}").select("a", "b").distinct()
+
+    while True:
+        longer = state.join(weighted.drop("n"), "a").where(F.col("rank") > F.col("last")).where(F.col("weight") + F.col("rest") >= needs)
+        longer = stored(longer.select("a", "n", (F.col("weight") + F.col("w")).alias("weight"), (F.col("rest") - F.col("w")).alias("after"), F.col("rank").alias("last"), F.xxhash64("key", "s").alias("key")), "combinations")
+        groups = stored(longer.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1"), "groups")
+        longer = stored(longer.join(groups, "key").where(F.col("weight") + F.col("after") >= needs), "combinations")
+        pairs.append(stored(meet(longer.where(f"m <= {FEW}")), "few"))
+        many = longer.where(f"m > {FEW}")
+        full = many.where(F.col("weight") >= needs).select("key").distinct()
+        if not full.isEmpty():
+            full = stored(full, "full")
+            lists.append(many.join(full, "key").select(F.col("key").alias("hash"), "a", "n"))
+            many = many.join(full, "key", "left_anti")
+        state = many.drop("m", "after")
+        if state.isEmpty():
+            break
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.unionByName(more)
+    rest = None
+    for more in lists:
+        rest = more if rest is None else rest.unionByName(more)
+    return stored(found.distinct(), "pairs"), rest
+
+
 def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame]:
     """Links among members (hash, a) of long lists that connect whatever a full comparison would connect."""
     tables: list[DataFrame] = []
-    for level in range(LEVELS):
+    combined = False
+    while True:
+        postings = lists.count()
         own, deltas = _differences(lists, sets, rule)
         star = deltas.where("NOT far AND a <> c").select("a", F.col("c").alias("b"))
         tables.append(star)
@@ -406,11 +470,23 @@ def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame
             tables.append(stored(_apart(pairs, near, rule), "links"))
         rest = stored(own.join(deltas.where("outside").select("a", "c"), ["a", "c"]).drop("c", "n"), "rest")
         rest = stored(rest.join(stored(rest.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "lengths"), "hash"), "rest")
-        ends = level == LEVELS - 1
-        tables.append(proven(_short_lists(rest if ends else rest.where(f"n <= {LONG_LIST}"), rule), sets, rule))
-        lists = rest.where(f"n > {LONG_LIST}")
-        if ends or lists.isEmpty():
+        tables.append(proven(_short_lists(rest.where(f"n <= {LONG_LIST}"), rule), sets, rule))
+        lists = stored(rest.where(f"n > {LONG_LIST}"), "lists")
+        left = lists.count()
+        if not left:
             break
+        if left > (1 - TAKEN) * postings:
+            if combined:  # each shares with some member what a link with it needs
+                tables.append(proven(_short_lists(lists, rule), sets, rule))
+                break
+            combined = True
+            pairs, full = _combined(stored(lists.select("a").distinct(), "members"), sets, rule)
+            tables.append(proven(pairs, sets, rule))
+            if full is None:
+                break
+            # members that share what a link needs are near one another, and centres are made for these; the largest set of a list is one
+            size = F.col("n").cast("int")
+            lists = stored(full.select("hash", "a", size.alias("size_a"), F.lit(0).alias("place_a"), (-size).alias("rare_a")).distinct(), "lists")
     return tables
 
 
