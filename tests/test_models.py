@@ -69,19 +69,6 @@ def test_clusters_of_one_class_get_that_class(spark, data):
     assert {r.score for r in out.where("cluster = 1").collect()} == {1.0} and {r.p for r in out.where("cluster = 2").collect()} == {0}
 
 
-def test_rules_support_and_paths(spark, data):
-    x, _, _ = data
-    y = ((x[:, 0] > 0) & (x[:, 1] > 0)).astype(float)
-    rows = frame(spark, x, y)
-    model, rules = M.rule_fit(rows, 4, 2, 40, 0.005)
-    table = M.rule_table(model, rules, rows, 4).collect()
-    text = {" & ".join(f"f{f} {op} {cut:g}" for f, op, cut in r): r for r in rules}
-    met = lambda r: np.all([x[:, f] <= cut if op == "<=" else x[:, f] > cut for f, op, cut in r], axis=0)
-    found = [r for r in table if r.type == "rule"]
-    assert found and all(abs(r.support - met(text[r.rule]).mean()) < 1e-9 for r in found)
-    assert [r.importance for r in table] == sorted((r.importance for r in table), reverse=True)
-
-
 def test_singular_vectors_and_clusters_equal_numpy(spark):
     rng = np.random.default_rng(5)
     centre = np.repeat(np.eye(6)[:3] * 8, 40, axis=0)
@@ -100,13 +87,6 @@ def test_singular_vectors_and_clusters_equal_numpy(spark):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
 
 
-def test_mixture_threshold_lies_between_the_components(spark):
-    rng = np.random.default_rng(2)
-    v = np.concatenate([rng.normal(1, 0.1, 300), rng.normal(3, 0.2, 300)])
-    got = M.mixture_threshold(spark.createDataFrame([(float(a),) for a in v], "value double"))
-    assert abs(got - min(v[:300].mean() + 2 * v[:300].std(), (v[:300].mean() + v[300:].mean()) / 2)) < 0.05
-
-
 def test_segments_of_a_planted_residual(spark, data):
     x, w, rng = data
     residual = np.where(x[:, 0] > 0, 1.0, -1.0) + 0.05 * rng.normal(size=400)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import duckdb
 import pandas as pd
 import pytest
 
-from variantlab.plans import experiments, features, profiles
+from variantlab.plans import experiments, features, profiles, trained
 
-SQL = experiments.ORACLE_SQL | features.ORACLE_SQL | profiles.ORACLE_SQL
-QUERIES = experiments.QUERIES | features.QUERIES | profiles.QUERIES
+SQL = experiments.ORACLE_SQL | features.ORACLE_SQL | profiles.ORACLE_SQL | trained.ORACLE_SQL
+QUERIES = experiments.QUERIES | features.QUERIES | profiles.QUERIES | trained.QUERIES
 TABLES = ("events", "documents", "embeddings", "pages", "conversations", "part", "lineitem", "labels", "nation")
 
 
@@ -36,5 +38,6 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_model_query_gives_rows(spark, sf_dir, name):
+def test_model_query_gives_rows(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(trained, "SETTINGS", replace(trained.SETTINGS, trees=3))  # a job for each level of each tree
     assert QUERIES[name](spark, sf_dir).count() > 0

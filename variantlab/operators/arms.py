@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rates import rate
 from ..functions.text import clean_text
+from .ordered import quantiles
 
 #: The columns of a raw package table.
 RAW = ("clickability_test_id", "headline", "lede", "impressions", "clicks")
@@ -72,13 +73,10 @@ def best_and_worst(arms: DataFrame, key: str = "test_id", value: str = "ctr") ->
 
 
 def rate_profile(arms: DataFrame, value: str = "ctr") -> DataFrame:
-    """Moments, median and zeros. Values are counted first, so the exact median takes distinct values with their counts."""
-    v, k = F.col(value), F.col("k")
-    counts = arms.groupBy(value).agg(F.count(value).alias("k"), F.sum(value).alias("s"), F.sum(v * v).alias("ss"))
-    n = F.sum("k")
-    mean = F.sum("s") / n
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / n - mean * mean))
-    return counts.agg(n.alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), mean.alias("mean"), F.percentile(v, F.lit(0.5), k).alias("median"), spread.alias("std"), F.coalesce(F.sum(F.when(v == 0, k)), F.lit(0)).alias("zeros"))
+    """Moments, median and zeros; the exact median comes from ranges of counted values."""
+    v = F.col(value)
+    (median,) = quantiles(arms, value, (0.5,))
+    return arms.agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.lit(median).cast("double").alias("median"), F.stddev_pop(v).alias("std"), F.count_if(v == 0).alias("zeros"))
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:

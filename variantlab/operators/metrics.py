@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ordered import ranged
+
 
 def accuracy(y: Column, p: Column, w: Column) -> list[Column]:
     hit = (y == p).cast("double")
@@ -30,28 +34,26 @@ def report(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def running_below(steps: DataFrame, order: str, value: str, parts: int = 0) -> DataFrame:
-    """steps with below: the sum of value over all rows of smaller order, which must be distinct. Rows are dealt into
-    ranges of order; each range's window starts from the sum of the ranges before it, of which there are few."""
-    spark = steps.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [r[0] for r in steps.agg(F.explode(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000))).collect()] if parts > 1 else []
-    cuts = sorted({float(c) for c in cuts if c is not None})
-    which = F.lit(0)
-    for c in cuts:
-        which = which + (F.col(order) > c).cast("int")
-    dealt = steps.withColumn("__range", which)
-    before = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    before = before.select("__range", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
-    own = F.coalesce(F.sum(value).over(W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return dealt.withColumn("below", own).join(F.broadcast(before), "__range").withColumn("below", F.col("below") + F.col("__before")).drop("__range", "__before")
-
-
 def weighted_auc(df: DataFrame) -> DataFrame:
-    """Area under the weighted ROC curve, tied scores as one step; null with one class. Scores are summed before the running sum, which goes by ranges of scores."""
+    """Area under the weighted ROC curve, tied scores as one step; null with one class. Scores are summed, then dealt into
+    ranges; each range gives its own area, and what lies below it is added from the few rows of the ranges."""
     steps = df.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("neg"))
-    summed = running_below(steps, "score", "neg")
-    return summed.withColumn("area", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg(F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+    def run(batches):
+        first, pos, neg, area, seen = None, 0.0, 0.0, 0.0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, seen = batch.column("score")[0].as_py() if not seen else first, True
+            p, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg"))
+            area += float((p * (neg + np.cumsum(n) - n / 2)).sum())
+            pos, neg = pos + float(p.sum()), neg + float(n.sum())
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (first, pos, neg, area)], names=["first", "pos", "neg", "area"])
+
+    rows = ranged(steps.select(F.col("score").cast("double"), F.col("pos").cast("double"), F.col("neg").cast("double")), "score").mapInArrow(run, "first double, pos double, neg double, area double")
+    below = F.coalesce(F.sum("neg").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumn("area", F.col("area") + F.col("pos") * below).agg(F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def deltas(metrics: DataFrame, base: str) -> DataFrame:

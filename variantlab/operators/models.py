@@ -1,29 +1,36 @@
-"""Interpretable models through Spark ML: linear, trees, boosting, rules, clusters; features enter as sparse vectors."""
+"""Interpretable models through Spark ML: linear, trees, boosting, clusters; features enter as sparse vectors."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def assembled(vectors: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """rows (pair_id, ..) with a sparse vector column features; rows without values get an empty vector."""
+    """rows (pair_id, ..) with a sparse vector column features; rows without values get an empty vector. Cells are sorted in the JVM and become vectors in Arrow batches."""
+    names = rows.columns
 
-    @F.udf(VectorUDT())
-    def vector(cells):
-        return SparseVector(width, [(c["feature"], c["value"]) for c in cells or []])
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), batch.column("__index"), batch.column("__value")], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], vector], names=[*names, "features"])
 
-    cells = vectors.groupBy("pair_id").agg(F.collect_list(F.struct(F.col("feature").cast("int").alias("feature"), F.col("value").cast("double").alias("value"))).alias("cells"))
-    return rows.join(cells, "pair_id", "left").withColumn("features", vector("cells")).drop("cells")
+    cell = F.struct(F.col("feature").cast("int").alias("f"), F.col("value").cast("double").alias("v"))
+    cells = vectors.groupBy("pair_id").agg(F.array_sort(F.collect_list(cell)).alias("__cells"))
+    lists = rows.join(cells, "pair_id", "left").withColumn("__cells", F.coalesce("__cells", F.array().cast("array<struct<f:int,v:double>>")))
+    lists = lists.select(*names, F.col("__cells.f").alias("__index"), F.col("__cells.v").alias("__value"))
+    return lists.mapInArrow(run, StructType([*rows.schema, StructField("features", VectorUDT())]))
 
 
 def logistic(train: DataFrame, l2: float = 1e-4, tol: float = 1e-4):
@@ -114,47 +121,77 @@ def path_score(values: Column, scales: list[float], path: tuple[tuple[int, str,
     return total
 
 
-def rule_fit(train: DataFrame, trees: int = 25, depth: int = 2, most: int = 500, l1: float = 0.01) -> tuple[object, list]:
-    """Rules from boosted trees, then an L1 logistic model over rules and linear terms; the fit is unweighted.
+def normalised(rows: DataFrame) -> DataFrame:
+    return Normalizer(inputCol="features", outputCol="unit", p=2.0).transform(rows).drop("features").withColumnRenamed("unit", "features")
 
-    Returns the linear model over [features, rules] and the rules.
-    """
-    model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42).fit(train)
-    rules = list(dict.fromkeys(r for t in model.trees for r in rule_paths(t.toDebugString)))[:most]
-    wide = with_rules(train, rules)
-    return LogisticRegression(labelCol="y", regParam=l1, elasticNetParam=1.0, maxIter=200).fit(wide), rules
 
+def _entries(batch: pa.RecordBatch, column: str = "features") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of a batch of vectors, sparse or dense."""
+    vectors = batch.column(column)
+    kind, index, value = (vectors.field(c) for c in ("type", "indices", "values"))
+    count = np.asarray(value.value_lengths())
+    row = np.repeat(np.arange(batch.num_rows), count)
+    dense = np.repeat(np.asarray(kind) == 1, count)
+    feature = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    feature[~dense] = np.asarray(index.flatten())
+    return row, feature, np.asarray(value.flatten())
 
-def with_rules(rows: DataFrame, rules: list) -> DataFrame:
-    values = rows.withColumn("values", vector_to_array("features"))
-    terms = F.array(*[path_predicate(F.col("values"), r).cast("double") for r in rules]) if rules else F.array().cast("array<double>")
-    return values.withColumn("features", array_to_vector(F.concat("values", terms))).drop("values")
 
+def _times(rows: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
+    """A'A basis, or basis' A'A basis if gram, for the matrix A of rows' features: one pass, sums of tasks are added up in Spark.
 
-def rule_table(model, rules: list, train: DataFrame, width: int) -> DataFrame:
-    """(type, rule, coef, importance, support) of non-zero terms, the most important first."""
-    wide = with_rules(train, rules).withColumn("v", vector_to_array("features")).select(F.posexplode("v").alias("term", "value"))
-    stats = wide.groupBy("term").agg(F.avg(F.when(F.col("value") != 0, 1.0).otherwise(0.0)).alias("support"), F.stddev_pop("value").alias("spread"))
-    text = lambda r: " & ".join(f"f{f} {op} {cut:g}" for f, op, cut in r)
-    coefs = [(int(i), "linear" if i < width else "rule", f"f{i}" if i < width else text(rules[i - width]), float(c)) for i, c in enumerate(model.coefficients.toArray()) if c]
-    terms = train.sparkSession.createDataFrame(coefs, "term int, type string, rule string, coef double")
-    return stats.join(F.broadcast(terms), "term").select("type", "rule", "coef", (F.abs("coef") * F.col("spread")).alias("importance"), "support").orderBy(F.desc("importance"), "rule")
+    A batch is multiplied column by column of the basis, which travels with the task: features times its columns numbers."""
+    width, k = basis.shape
 
+    def run(batches):
+        total = np.zeros((k if gram else width, k))
+        for batch in batches:
+            row, feature, value = _entries(batch)
+            y = np.stack([np.bincount(row, weights=value * basis[feature, j], minlength=batch.num_rows) for j in range(k)], axis=1)
+            if gram:
+                total += y.T @ y
+            else:
+                for j in range(k):
+                    total[:, j] += np.bincount(feature, weights=value * y[row, j], minlength=width)
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["at", "v"])
 
-def normalised(rows: DataFrame) -> DataFrame:
-    return Normalizer(inputCol="features", outputCol="unit", p=2.0).transform(rows).drop("features").withColumnRenamed("unit", "features")
+    sums = rows.select("features").mapInArrow(run, "at int, v array<double>")
+    out = np.zeros((k if gram else width, k))
+    for r in sums.groupBy("at").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(k)]).alias("v")).collect():
+        out[r.at] = r.v
+    return out
+
+
+#: Vectors beyond the wanted ones, and power steps, of the randomised range finder.
+SPARE, STEPS = 10, 8
 
 
-def right_vectors(rows: DataFrame, k: int) -> tuple[DataFrame, list[float], float]:
-    """The k leading right singular vectors (feature, v) of uncentred rows, v an array, the singular values, and the share of the squared norm that they explain."""
-    matrix = RowMatrix(rows.select("features").rdd.map(lambda r: OldVectors.fromML(r[0])))
-    found = matrix.computeSVD(k, computeU=False)
-    table = rows.sparkSession.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(found.V.toArray())], "feature int, v array<double>")
-    values = [float(s) for s in found.s]
-    total = rows.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("q")).agg(F.sum("q")).first()[0] or 0.0
+def right_vectors(rows: DataFrame, k: int, seed: int = 7) -> tuple[DataFrame, list[float], float]:
+    """The k leading right singular vectors (feature, v) of uncentred rows, v an array, the singular values, and the share of the squared norm that they explain.
+
+    A random basis is multiplied by A'A and made orthogonal again, STEPS times; the small matrix of what A does to it has
+    the singular values and turns it to the vectors. The driver holds features times (k + SPARE) numbers.
+    """
+    first = rows.select(F.col("features")).first()
+    width = first[0].size if first else 0
+    size = min(width, k + SPARE)
+    basis = np.random.default_rng(seed).standard_normal((width, size))
+    for _ in range(STEPS if size else 0):
+        basis, _ = np.linalg.qr(_times(rows, basis, False))
+    level, turn = np.linalg.eigh(_times(rows, basis, True)) if size else (np.zeros(0), np.zeros((0, 0)))
+    order = np.argsort(level)[::-1][:k]
+    values = np.sqrt(np.maximum(level[order], 0)).tolist()
+    v = basis @ turn[:, order]
+    table = rows.sparkSession.createDataFrame([(j, [float(x) for x in r]) for j, r in enumerate(v)], "feature int, v array<double>")
+    total = _squares(rows)
     return table, values, sum(s * s for s in values) / total if total else 0.0
 
 
+def _squares(rows: DataFrame) -> float:
+    return rows.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("q")).agg(F.sum("q")).first()[0] or 0.0
+
+
 def reduced(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """rows (pair_id, features) projected on the k leading right singular vectors, uncentred, with the singular values."""
     table, values, _ = right_vectors(rows, k)
@@ -175,15 +212,6 @@ def clustered(train: DataFrame, k: int = 10, starts: int = 10):
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def mixture_threshold(values: DataFrame) -> float:
-    """The smaller of the lower component's mean plus two deviations and the midpoint of both means, of values (value)."""
-    rows = values.select(array_to_vector(F.array("value")).alias("features"))
-    # a start may end where both components are the same, so the likeliest of several is taken
-    model = max((GaussianMixture(k=2, seed=s, maxIter=200, tol=1e-6).fit(rows) for s in range(5)), key=lambda m: m.summary.logLikelihood)
-    low, high = sorted((float(r["mean"][0]), float(r["cov"].toArray()[0, 0]) ** 0.5) for r in model.gaussiansDF.collect())
-    return min(low[0] + 2 * low[1], (low[0] + high[0]) / 2)
-
-
 def regression_tree(train: DataFrame, depth: int, leaf: int, features: str = "features", label: str = "y", gain: float = 0.0):
     return DecisionTreeRegressor(featuresCol=features, labelCol=label, weightCol="w", maxDepth=depth, minInstancesPerNode=leaf, minInfoGain=gain, leafCol="leaf", seed=42).fit(train)
 

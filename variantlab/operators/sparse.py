@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ordered import quantiles
+
 
 def from_arrays(rows: DataFrame, key: str, values: str, theta: float | None = None) -> DataFrame:
     """(pair_id, feature, value) of an array column; with theta, only values above it stay (a thresholded rectifier)."""
@@ -11,27 +15,59 @@ def from_arrays(rows: DataFrame, key: str, values: str, theta: float | None = No
     return each.where(F.col("value") > theta) if theta is not None else each.where("value <> 0")
 
 
-def _product(values: DataFrame, weights: DataFrame, bias: DataFrame, to: str) -> DataFrame:
-    """(pair_id, to, value): values (pair_id, k, value) times weights (k, to, w), plus bias (to, b) for every row of values.
+#: Rows and outputs of a tile.
+TILE_ROWS, TILE_OUTPUTS = 512, 512
+
+
+def _tiles(values: DataFrame, rows: DataFrame, weights: DataFrame, outputs: DataFrame, finish: str) -> DataFrame:
+    """(pair_id, out, value): values (pair_id, k, value) times weights (k, out, w) plus outputs' b, by tiles of rows and outputs.
 
-    The bias is the weight of a constant input, so that an output without any other input has it too.
+    rows (pair_id) and outputs (out, b, theta) are all rows and outputs of the product. A tile is one dense product of its
+    rows' and its outputs' inputs, so what is shuffled are rows, once for each block of outputs, and weights, once for
+    each block of rows; no input meets a weight as a row. finish: above keeps values over theta and 0, other those other than 0.
     """
-    constant = values.select("pair_id").distinct().select("pair_id", F.lit(-1).alias("k"), F.lit(1.0).alias("value"))
-    rows = values.select("pair_id", F.col("k").cast("int").alias("k"), "value").unionByName(constant)
-    sides = weights.select(F.col("k").cast("int").alias("k"), to, "w").unionByName(bias.select(F.lit(-1).alias("k"), to, F.col("b").alias("w")).where("w <> 0"))
-    return rows.join(sides, "k").groupBy("pair_id", to).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    r, o = (max(1, -(-df.count() // size)) for df, size in ((rows, TILE_ROWS), (outputs, TILE_OUTPUTS)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = lambda a, b: F.collect_list(F.struct(F.col(a).cast("int").alias("k"), F.col(b).cast("double").alias("v")))
+    left = rows.select("pair_id").join(values.groupBy("pair_id").agg(cell("k", "value").alias("c")), "pair_id", "left")
+    left = left.select(block("pair_id", r).alias("r"), every(o).alias("o"), F.col("pair_id").cast("long").alias("pair_id"), F.col("c.k").alias("k"), F.col("c.v").alias("v"))
+    right = outputs.join(weights.groupBy("out").agg(cell("k", "w").alias("c")), "out", "left")
+    right = right.select(every(r).alias("r"), block("out", o).alias("o"), F.col("out").cast("int").alias("out"), F.col("b").cast("double").alias("b"), F.col("theta").cast("double").alias("theta"), F.col("c.k").alias("k"), F.col("c.v").alias("v"))
+
+    def matrix(pdf: pd.DataFrame, inputs: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(pdf), len(inputs)))
+        for i, (k, v) in enumerate(zip(pdf["k"], pdf["v"], strict=True)):
+            if k is not None and len(k):
+                k, v = np.asarray(k), np.asarray(v)
+                at = np.minimum(np.searchsorted(inputs, k), len(inputs) - 1) if len(inputs) else np.zeros(len(k), int)
+                hit = inputs[at] == k if len(inputs) else np.zeros(len(k), bool)
+                np.add.at(out[i], at[hit], v[hit])
+        return out
+
+    def product(rows: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.asarray(k) for k in rows["k"] if k is not None and len(k)]
+        inputs = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        out = matrix(rows, inputs) @ matrix(columns, inputs).T + columns["b"].to_numpy()[None]
+        i, j = np.nonzero((out > columns["theta"].to_numpy()[None]) & (out > 0) if finish == "above" else out != 0)
+        return pd.DataFrame({"pair_id": rows["pair_id"].to_numpy()[i], "out": columns["out"].to_numpy()[j], "value": out[i, j]})
+
+    return left.groupBy("r", "o").cogroup(right.groupBy("r", "o")).applyInPandas(product, "pair_id long, out int, value double")
 
 
 def encode(inputs: DataFrame, weights: DataFrame, params: DataFrame) -> DataFrame:
     """inputs (pair_id, k, value) times weights (k, feature, w) plus bias, kept where positive and above the feature's own threshold; params: feature, b, theta."""
-    pre = _product(inputs, weights, params, "feature")
-    return pre.join(params.select("feature", "theta"), "feature").where("value > theta AND value > 0").select("pair_id", "feature", "value")
+    found = _tiles(inputs, inputs.select("pair_id").distinct(), weights.select("k", F.col("feature").alias("out"), "w"), params.select(F.col("feature").alias("out"), "b", "theta"), "above")
+    return found.select("pair_id", F.col("out").alias("feature"), "value")
 
 
 def decode(codes: DataFrame, weights: DataFrame, bias: DataFrame, rows: DataFrame) -> DataFrame:
-    """(pair_id, k, value): codes (pair_id, feature, value) times weights (feature, k, w) plus bias (k, b), for every row (pair_id), one without codes too."""
-    cells = codes.select("pair_id", F.col("feature").alias("k"), "value").unionByName(rows.select("pair_id", F.lit(-2).alias("k"), F.lit(0.0).alias("value")))
-    return _product(cells, weights.select(F.col("feature").alias("k"), F.col("k").alias("out"), "w"), bias.select(F.col("k").alias("out"), "b"), "out").withColumnRenamed("out", "k")
+    """(pair_id, k, value): codes (pair_id, feature, value) times weights (feature, k, w) plus bias (k, b), for every row (pair_id), one without codes too; zeros are left out."""
+    values = codes.select("pair_id", F.col("feature").alias("k"), "value")
+    sides = weights.select(F.col("feature").alias("k"), F.col("k").alias("out"), "w")
+    outputs = sides.select("out").unionByName(bias.select(F.col("k").alias("out"))).distinct().join(bias.select(F.col("k").alias("out"), "b"), "out", "left")
+    outputs = outputs.select("out", F.coalesce("b", F.lit(0.0)).alias("b"), F.lit(0.0).alias("theta"))
+    return _tiles(values, rows.select("pair_id").distinct(), sides, outputs, "other").select("pair_id", F.col("out").alias("k"), "value")
 
 
 def forward(inputs: DataFrame, encoder: DataFrame, params: DataFrame, decoder: DataFrame, bias: DataFrame, skip: DataFrame | None = None) -> DataFrame:
@@ -125,9 +161,10 @@ def row_profile(vectors: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def row_summary(profile: DataFrame) -> DataFrame:
-    """Least, median and 95th percentile of row_profile's nnz and norm, and the rows without values."""
-    cols = [F.percentile(c, p).alias(f"{c}_{n}") for c in ("nnz", "norm") for n, p in (("least", 0.0), ("median", 0.5), ("p95", 0.95))]
-    return profile.agg(*cols, F.count_if(F.col("nnz") == 0).alias("zero_rows"), F.count("*").alias("n_rows"))
+    """Least, median and 95th percentile of row_profile's nnz and norm, and the rows without values; percentiles come from ranges of counted values."""
+    names = ("least", "median", "p95")
+    cols = [F.lit(x).cast("double").alias(f"{c}_{n}") for c in ("nnz", "norm") for n, x in zip(names, quantiles(profile, c, (0.0, 0.5, 0.95)), strict=True)]
+    return profile.agg(F.count_if(F.col("nnz") == 0).alias("zero_rows"), F.count("*").alias("n_rows")).select(*cols, "zero_rows", "n_rows")
 
 
 def sparsity(vectors: DataFrame, n_rows: int, width: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Features with fewer non-zero values get no threshold.
@@ -110,11 +112,59 @@ def zero_fires(thresholds: DataFrame) -> DataFrame:
 
 def binarised_with_zeros(vectors: DataFrame, thresholds: DataFrame, rows: DataFrame) -> DataFrame:
     """binarised, with the implicit zeros of zero_fires' features written out for all rows (pair_id)."""
-    # features that fire at zero become an array of every row: there are at most as many as thresholds
-    fires = zero_fires(thresholds).select(F.struct("feature", "value").alias("f")).collect()
-    if not fires:
-        return binarised(vectors, thresholds)
-    stored = vectors.where(F.col("feature").isin([r.f["feature"] for r in fires])).select("pair_id", "feature")
-    cells = F.array(*[F.struct(F.lit(r.f["feature"]).cast("int").alias("feature"), F.lit(r.f["value"]).cast("byte").alias("value")) for r in fires])
-    implied = rows.select("pair_id", F.explode(cells).alias("f")).select("pair_id", "f.feature", "f.value")
+    fires = zero_fires(thresholds)
+    # one row that holds the features which fire at zero, at most as many as thresholds
+    cells = fires.select(F.struct(F.col("feature").cast("int").alias("feature"), "value").alias("f")).agg(F.collect_list("f").alias("fs"))
+    stored = vectors.join(F.broadcast(fires.select("feature")), "feature", "left_semi").select("pair_id", "feature")
+    implied = rows.select("pair_id").join(F.broadcast(cells)).select("pair_id", F.explode("fs").alias("f")).select("pair_id", "f.feature", "f.value")
     return binarised(vectors, thresholds).unionByName(implied.join(stored, ["pair_id", "feature"], "left_anti"))
+
+
+def mixture_fits(vectors: DataFrame, bins: int = 512, steps: int = 500) -> DataFrame:
+    """(feature, threshold, low_mean, low_deviation, low_share, high_mean, high_deviation): two normal components of every feature's values, all at once.
+
+    Values are counted in bins, and expectation maximisation runs on a feature's bins, of which there are at most bins
+    whatever the number of values; it starts from several cuts and keeps the likeliest end. threshold is the smaller of
+    the lower component's mean plus two deviations and the midpoint of both means. A bin's values count as spread evenly over it, so means are within a
+    bin of those of the values.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n, step = pdf["centre"].to_numpy(), pdf["n"].to_numpy(np.float64), float(pdf["step"].iloc[0])
+        total, within = n.sum(), step * step / 12
+        mean = (x * n).sum() / total
+        floor = max(within, 1e-6 * ((x - mean) ** 2 * n).sum() / total, 1e-300)
+        best = None
+        order = np.argsort(x)
+        upto = np.cumsum(n[order]) / total
+        for share in (0.1, 0.25, 0.5, 0.75, 0.9):
+            low = np.zeros(len(x))
+            low[order] = upto <= max(share, upto[0])
+            if low.all():
+                low[order[-1]] = 0
+            r = np.stack((low, 1 - low)) * 0.98 + 0.01
+            last = -np.inf
+            for _ in range(steps):
+                weight = (r * n).sum(axis=1)
+                mu = (r * n * x).sum(axis=1) / weight
+                var = np.maximum((r * n * (x - mu[:, None]) ** 2).sum(axis=1) / weight + within, floor)
+                log = np.log(weight / total)[:, None] - (np.log(2 * np.pi * var)[:, None] + ((x - mu[:, None]) ** 2 + within) / var[:, None]) / 2
+                peak = log.max(axis=0)
+                likelihood = (n * (peak + np.log(np.exp(log - peak).sum(axis=0)))).sum()
+                r = np.exp(log - peak)
+                r /= r.sum(axis=0)
+                if likelihood - last < 1e-9 * total:
+                    break
+                last = likelihood
+            if best is None or likelihood > best[0] + 1e-9 * total:
+                best = likelihood, mu, np.sqrt(var), weight / total
+        _, mu, deviation, share = best
+        a, b = np.argsort(mu, kind="stable")
+        threshold = min(mu[a] + 2 * deviation[a], (mu[a] + mu[b]) / 2)
+        return pd.DataFrame([(int(pdf["feature"].iloc[0]), threshold, mu[a], deviation[a], share[a], mu[b], deviation[b])], columns=[c.split()[0] for c in _FITS.split(", ")])
+
+    counted = histogram(vectors, bins).where("n > 0")
+    return counted.groupBy("feature").applyInPandas(fit, _FITS)
+
+
+_FITS = "feature int, threshold double, low_mean double, low_deviation double, low_share double, high_mean double, high_deviation double"

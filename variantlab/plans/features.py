@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import metrics as K, mob, models as M, pairs as P, sparse as V, thresholds as H
+from ..operators import metrics as K, mob, models as M, pairs as P, rules as R, sparse as V, thresholds as H
 from ..sources import files
 from .experiments import PAIRS, _rounded, arms, table
 
@@ -224,8 +224,8 @@ def cluster_models(spark, sf_dir):
 
 def rule_models(spark, sf_dir):
     train, _ = _halves(spark, sf_dir)
-    model, rules = M.rule_fit(train, trees=5, depth=2)
-    return M.rule_table(model, rules, train, WIDTH)
+    cells, rows = vectors(spark, sf_dir).where("pair_id % 4 <> 0"), train.select("pair_id", "y")
+    return R.rule_table(R.rule_fit(cells, rows, WIDTH, trees=5, depth=2), cells, rows)
 
 
 def clusters(spark, sf_dir):
