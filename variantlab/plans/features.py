@@ -179,7 +179,7 @@ def file_round_trips(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     path = files.scratch(spark, "csv")
     files.write_csv(pages, path)
-    same = files.read_csv(spark, path, "page_id long, html string").join(pages.withColumnRenamed("html", "was"), "page_id").where("html = was").count()
+    same = files.read_csv_ranges(spark, path, "page_id long, html string").join(pages.withColumnRenamed("html", "was"), "page_id").where("html = was").count()
     path = files.scratch(spark, "shards")
     rows = vectors(spark, sf_dir)
     files.write_shards(rows, path)

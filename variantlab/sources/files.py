@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -32,6 +32,40 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, value): records of quoted text by number, line breaks within quotes kept; any number of tasks share a file.
+
+    Lines are read by byte ranges, whose order is known. A line begins a record if the quotes before it are even: those
+    of earlier ranges come from a sum for each range, those of its own from a running sum. Lines that are a record go on
+    as they are; only pieces of longer records are brought together.
+    """
+    at = scratch(spark, "lines")
+    found = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"), "value")
+    found.withColumn("quotes", F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))).write.parquet(at)
+    lines = spark.read.parquet(at)
+
+    def before(rows: DataFrame, column: str, name: str) -> DataFrame:
+        """The sum of column over a file's earlier ranges, of which there is a row each."""
+        sums = rows.groupBy("file", "range").agg(F.sum(column).alias(name))
+        return sums.select("file", "range", (F.sum(name).over(W.partitionBy("file").orderBy("range")) - F.col(name)).alias(name))
+
+    own = W.partitionBy("file", "range").orderBy("place")
+    lines = lines.join(F.broadcast(before(lines, "quotes", "earlier")), ["file", "range"])
+    lines = lines.withColumn("begins", ((F.col("earlier") + F.sum("quotes").over(own) - F.col("quotes")) % 2 == 0).cast("int"))
+    lines = lines.join(F.broadcast(before(lines, "begins", "records")), ["file", "range"]).withColumn("record", F.col("records") + F.sum("begins").over(own))
+    whole = (F.col("begins") == 1) & (F.col("quotes") % 2 == 0)
+    pieces = lines.where(~whole).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("range", "place", "value"))).alias("parts"))
+    joined = pieces.select("file", "record", F.array_join(F.col("parts.value"), "\n").alias("value"))
+    return lines.where(whole).select("file", "record", "value").unionByName(joined)
+
+
+def read_csv_ranges(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As read_csv, with files shared between tasks."""
+    text = F.regexp_replace("value", "\r$", "")
+    records = quoted_records(spark, path).where("record > 1").select(text.alias("value")).where("value <> ''")
+    return records.select(F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"'}).alias("row")).select("row.*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
 
@@ -54,6 +88,17 @@ def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
+def write_by_feature(vectors: DataFrame, path: str, row_group_bytes: int = 4 << 20) -> None:
+    """Vectors (pair_id, feature, value) in ranges of features and sorted by feature, in small row groups whose statistics tell which features they hold."""
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors.repartitionByRange(tasks, "feature").sortWithinPartitions("feature", "pair_id").write.option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+def read_features(spark: SparkSession, path: str, features: list[int]) -> DataFrame:
+    """The cells of some features, which are pushed down to files and row groups."""
+    return spark.read.parquet(path).where(F.col("feature").isin([int(f) for f in features]))
+
+
 def write_vectors(vectors: DataFrame, labels: DataFrame, path: str, rows_a_file: int = 5000) -> None:
     """Vectors (pair_id, feature, value) and labels (pair_id, label, ..) side by side; read_vectors gives both back."""
     write_shards(vectors, f"{path}/vectors", rows_a_file)
