@@ -205,7 +205,9 @@ def _halves(spark, sf_dir):
 def linear_and_tree_models(spark, sf_dir):
     """Metrics of logistic, tree, boosted and stump models on held-out rows."""
     train, test = _halves(spark, sf_dir)
-    train = train.cache()
+    path = files.scratch(spark, "train")
+    train.write.parquet(path)
+    train = spark.read.parquet(path)
     fits = {"logistic": M.logistic(train), "tree": M.tree(train, 4, 5), "boosted": M.boosted(train, 10, 3, columns="0.7"), "stumps": M.boosted(train, 20, 1, rate=0.3, columns="0.5", rows=0.8)}
     parts = None
     for name, model in fits.items():
