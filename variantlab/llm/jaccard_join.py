@@ -12,7 +12,8 @@ it. Differences have inverted lists, prefixes and places as sets do; far members
 each list, and then only members that are not in their component by then. By the triangle inequality of the Jaccard
 distance this covers all pairs of which one member is in the centre's surroundings; the members outside them are a
 list again, with a centre of its own, for as long as a centre takes in at least a quarter of the postings.
-What is left then shares passages without being close. Elements that always occur together become one element with a
+What is left then shares passages without being close. Where the lists stand for fewer pairs than their members have
+elements, these pairs are compared. Otherwise elements that always occur together become one element with a
 weight, and members meet under combinations of such elements: the first that a linked pair shares leaves each of the two
 enough weight for the rest, so does the second, and so on; combinations grow until few members are left
 under each. A common passage alone brings nobody together.
@@ -447,6 +448,17 @@ def _combined(members: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFram
     return stored(found.distinct(), "pairs"), rest
 
 
+def _pairs_in(lists: DataFrame) -> int:
+    """A bound on the pairs of lists (hash, a)."""
+    n = F.col("count")
+    return lists.groupBy("hash").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+
+
+def _elements_in(lists: DataFrame) -> int:
+    """The elements of the members of lists (a, size_a), which combinations read."""
+    return lists.select("a", "size_a").distinct().agg(F.sum("size_a")).first()[0] or 0
+
+
 def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame]:
     """Links among members (hash, a) of long lists that connect whatever a full comparison would connect."""
     tables: list[DataFrame] = []
@@ -476,7 +488,7 @@ def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame
         if not left:
             break
         if left > (1 - TAKEN) * postings:
-            if combined:  # each shares with some member what a link with it needs
+            if combined or _pairs_in(lists) <= _elements_in(lists):  # after combinations, each shares with some member what a link with it needs
                 tables.append(proven(_short_lists(lists, rule), sets, rule))
                 break
             combined = True
