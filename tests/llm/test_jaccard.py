@@ -162,13 +162,13 @@ def test_boilerplate_is_not_compared_pair_by_pair(spark, monkeypatch):
 
         monkeypatch.setattr(jaccard_join, name, run)
     figures = []
-    for n in (200, 400, 800):
+    for n in (300, 600, 1200):
         seen.clear()
         rows = boilerplate(n, 3)
         got = sorted((tuple(r) for r in jaccard_components(odd_docs(spark, rows)).collect()), key=str)
         assert got == brute(rows)
         figures.append(sum(seen))
-    assert figures[2] < 0.1 * 800 * 799 / 2
+    assert figures[2] < 0.1 * 1200 * 1199 / 2
     assert figures[1] <= 2.5 * figures[0] and figures[2] <= 2.5 * figures[1]
 
 
