@@ -90,6 +90,19 @@ def winner_agreement(arms: DataFrame, value: str, flag: str, key: str = "test_id
     return rows.agg(F.count("*").alias("groups"), F.count_if(F.col(flag)).alias("agree"), F.coalesce(F.try_divide(F.count_if(F.col(flag)), F.count("*")), F.lit(0.0)).alias("rate"))
 
 
+def winner_disagreements(arms: DataFrame, value: str, flag: str, text: str, key: str = "test_id", order: str = "row_ord", most: int = 60) -> DataFrame:
+    """(key, best_value, flagged_value, flagged_text) of each group of more than one row whose row of the largest value lacks flag.
+
+    Of equal values the first row in order is the best, of several flagged rows the first is taken, and groups without
+    a flagged row are left out. Null values are never best; a null text is 'N/A', longer ones are cut to most characters.
+    Rows are reduced by partial aggregates, so that a large group is not gathered.
+    """
+    best = F.min(F.when(F.col(value).isNotNull(), F.struct((-F.col(value)).alias("v"), F.col(order).alias("o"), F.coalesce(F.col(flag), F.lit(False)).alias("f"))))
+    flagged = F.min(F.when(F.col(flag), F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col(text).alias("t"))))
+    found = arms.groupBy(key).agg(F.count("*").alias("n"), best.alias("best"), flagged.alias("flagged")).where("n > 1 AND NOT best.f AND flagged IS NOT NULL")
+    return found.select(key, (-F.col("best.v")).alias("best_value"), F.col("flagged.v").alias("flagged_value"), F.coalesce(F.substring("flagged.t", 1, most), F.lit("N/A")).alias("flagged_text"))
+
+
 def distinct_profile(df: DataFrame, key: str, value: Column) -> DataFrame:
     """Distinct values by group, profiled over groups with more than one."""
     counts = df.groupBy(key).agg(F.countDistinct(value).alias("n"))

@@ -154,6 +154,57 @@ def scaled(vectors: DataFrame, scales: DataFrame, by: str = "scale", floor: floa
     return vectors.join(scales.select("feature", by), "feature").withColumn("value", F.when(s > 0, F.col("value") / s).otherwise(F.col("value"))).drop(by)
 
 
+def scale_diagnostics(vectors: DataFrame, n_rows: Column | int, width: int, small: float = 0.01) -> DataFrame:
+    """(kind, least, most, mean, std, scale_least, scale_most, scale_mean, small_scales, dead) of the non-zero values as they are, over deviations, and over largest absolute values.
+
+    Values after scaling follow from each feature's count, sums and range, so cells are read once and shuffled as partial
+    sums. A deviation of 0 up to rounding, also that of a feature without values, scales by 1; such a feature's largest value is 0.
+    Without values least, most, mean and std are null.
+    """
+    n, v = n_rows if isinstance(n_rows, Column) else F.lit(n_rows), F.col("value")
+    sums = vectors.where("value <> 0").groupBy("feature").agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    square = F.col("ss") / n
+    variance = square - (F.col("s") / n) * (F.col("s") / n)
+    scales = {"original": F.lit(None).cast("double"), "standard": F.when(variance > 1e-12 * square, F.sqrt(variance)).otherwise(1.0), "largest": F.greatest(F.abs("lo"), F.abs("hi"))}
+    each = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.coalesce(s, F.lit(1.0)).alias("by"), s.alias("scale")) for kind, s in scales.items()]))
+    rows = sums.select("*", each)
+    kinds = rows.sparkSession.createDataFrame([("original", None), ("standard", 1.0), ("largest", 0.0)], "kind string, of_dead double")
+    by, s = F.col("by"), F.col("scale")
+    found = rows.groupBy("kind").agg(F.count("*").alias("live"), F.sum("n").alias("n"), F.min(F.col("lo") / by).alias("least"), F.max(F.col("hi") / by).alias("most"), F.sum(F.col("s") / by).alias("s"), F.sum(F.col("ss") / by / by).alias("ss"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.sum(s).alias("total"), F.count_if(s < small).alias("low"))
+    dead = F.lit(width) - F.coalesce("live", F.lit(0))
+    other, mean = F.when(dead > 0, F.col("of_dead")), F.col("s") / F.col("n")
+    return kinds.join(found, "kind", "left").select(
+        "kind", "least", "most", mean.alias("mean"), F.when(F.col("n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean))).alias("std"), F.least("lo", other).alias("scale_least"), F.greatest("hi", other).alias("scale_most"),
+        ((F.coalesce("total", F.lit(0.0)) + dead * F.col("of_dead")) / width).alias("scale_mean"), F.when(F.col("of_dead").isNotNull(), F.coalesce("low", F.lit(0)) + F.when(F.col("of_dead") < small, dead).otherwise(0)).alias("small_scales"), dead.alias("dead"),
+    )
+
+
+Path = tuple[tuple[int, str, float], ...]
+
+
+def path_rows(vectors: DataFrame, rows: DataFrame, scales: DataFrame, paths: list[Path], floor: float = 1e-10) -> DataFrame:
+    """(path, pair_id, score) of all rows (pair_id) that meet every condition (feature, operator, cut) of a path, absent values as 0.
+
+    The score adds a condition's value over its feature's scale (of scale_table, fitted on all rows), less it for
+    < and <=. A scale of 0 or none is 1, smaller ones than floor are floor. Only cells of the paths' features are read on,
+    and only their scales reach the driver; a path without conditions is met by all, with score 0.
+    """
+    features = sorted({f for path in paths for f, _, _ in path})
+    scale = {r.feature: r.scale for r in scales.where(F.col("feature").isin(features)).collect()}
+    cells = vectors.where(F.col("feature").isin(features)).groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature").cast("int"), F.col("value").cast("double")))).alias("values"))
+    known = rows.select("pair_id").join(cells, "pair_id", "left")
+    found = []
+    for number, path in enumerate(paths):
+        met, score = F.lit(True), F.lit(0.0)
+        for feature, op, cut in path:
+            v = F.coalesce(F.try_element_at("values", F.lit(feature)), F.lit(0.0))
+            met = met & {"<=": v <= cut, ">": v > cut, "<": v < cut, ">=": v >= cut}[op]
+            part = v / max(scale.get(feature) or 1.0, floor)
+            score = score + part if op in (">", ">=") else score - part
+        found.append(F.struct(F.lit(number).alias("path"), met.alias("met"), score.alias("score")))
+    return known.select("pair_id", F.inline(F.array(*found))).where("met").select("path", "pair_id", "score")
+
+
 def row_profile(vectors: DataFrame, rows: DataFrame) -> DataFrame:
     """(pair_id, nnz, norm) of every row of rows (pair_id), zero rows too."""
     found = vectors.groupBy("pair_id").agg(F.count("*").alias("nnz"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

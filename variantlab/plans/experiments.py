@@ -105,6 +105,11 @@ def winner_agreement(spark, sf_dir):
     return _rounded(both[0].unionByName(both[1]))
 
 
+def winner_disagreements(spark, sf_dir):
+    """All tests whose arm of the highest rate isn't the first one, with both rates and the first one's text."""
+    return _rounded(A.winner_disagreements(arms(spark, sf_dir).withColumn("first_place", F.col("local_idx") == 0), "ctr", "first_place", "headline"))
+
+
 def distinct_profile(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("level", F.floor(F.col("value") / 10))
     return _rounded(A.distinct_profile(events, "user_id", T.signature("event_type", "level")))
@@ -160,7 +165,7 @@ def document_windows(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(by)).where("rank <= 3").select("source", "doc_id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (arm_table, pair_table, pair_sample, pair_orientation, pair_enriched, best_worst_pairs, headline_lookup, clean_pages, keep_first, multi_row_groups, rate_profile, group_sizes, arm_group_sizes, winner_agreement, distinct_profile, token_profile, token_exceedance, token_bins, text_forms, feature_names, missing_feature_names, group_split, group_leaks, document_windows)}
+QUERIES = {f.__name__: f for f in (arm_table, pair_table, pair_sample, pair_orientation, pair_enriched, best_worst_pairs, headline_lookup, clean_pages, keep_first, multi_row_groups, rate_profile, group_sizes, arm_group_sizes, winner_agreement, winner_disagreements, distinct_profile, token_profile, token_exceedance, token_bins, text_forms, feature_names, missing_feature_names, group_split, group_leaks, document_windows)}
 
 _TOKENS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{0B}\x{85}\p{Z}]+'), lambda x: x <> ''))"
 _HASH = "md5('42|' || test_id || '|' || id_first || '|' || id_second)"
@@ -193,6 +198,8 @@ SELECT page_id, md5(clean) AS digest, CAST(length(clean) AS INT) AS size FROM c"
     "arm_group_sizes": f"WITH {ARMS}, s AS (SELECT test_id, count(*) AS c FROM arms GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (c = 1) AS single, count(*) FILTER (c > 1) AS multi, max(c) AS largest FROM s",
     "winner_agreement": f"""WITH {ARMS}, w AS (SELECT 'ctr' AS "by", local_idx = 0 AS f FROM arms QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY ctr DESC, headline) = 1 AND count(*) OVER (PARTITION BY test_id) > 1
 UNION ALL SELECT 'clicks', local_idx = 0 FROM arms QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY clicks DESC, headline) = 1 AND count(*) OVER (PARTITION BY test_id) > 1) SELECT "by", count(*) AS groups, count(*) FILTER (f) AS agree, round(avg(f::INT), 6) AS rate FROM w GROUP BY 1""",
+    "winner_disagreements": f"""WITH {ARMS}, r AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY ctr DESC, headline) AS t, count(*) OVER (PARTITION BY test_id) AS n FROM arms)
+SELECT a.test_id, round(a.ctr, 6) AS best_value, round(b.ctr, 6) AS flagged_value, coalesce(substr(b.headline, 1, 60), 'N/A') AS flagged_text FROM r a JOIN r b ON b.test_id = a.test_id AND b.local_idx = 0 WHERE a.t = 1 AND a.n > 1 AND a.local_idx <> 0""",
     "distinct_profile": "WITH c AS (SELECT user_id, count(DISTINCT coalesce(event_type, '') || '|' || coalesce(CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR), '')) AS n FROM events GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (n > 1) AS varied, round(avg(n) FILTER (n > 1), 6) AS mean, round(median(n) FILTER (n > 1), 6) AS median, min(n) FILTER (n > 1) AS least, max(n) FILTER (n > 1) AS most FROM c",
     "token_profile": f"WITH t AS (SELECT {_TOKENS} AS v FROM documents) SELECT count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, CAST(min(v) AS INT) AS least, CAST(max(v) AS INT) AS most, " + ", ".join(f"round(quantile_cont(v, {p}), 6) AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM t",
     "token_exceedance": f"WITH t AS (SELECT {_TOKENS} AS v FROM documents), l AS (SELECT unnest([64.0, 128.0, 256.0, 512.0, 1024.0])::DOUBLE AS lim) SELECT lim AS \"limit\", count(*) FILTER (v > lim) AS n, round(100.0 * count(*) FILTER (v > lim) / count(*), 6) AS percent FROM t, l GROUP BY lim",

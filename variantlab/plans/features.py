@@ -44,6 +44,27 @@ def feature_scales(spark, sf_dir):
     return _rounded(V.scale_table(vectors(spark, sf_dir), table(spark, sf_dir, "embeddings").count()))
 
 
+def scale_diagnostics(spark, sf_dir):
+    """Values before and after both scalings, over the sparse side of the pairs."""
+    pairs = F.lit(table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2)).distinct().count())
+    return _rounded(V.scale_diagnostics(pair_vectors(spark, sf_dir), pairs, 2 * WIDTH + 2), 5)
+
+
+#: Two paths over differences, whose features are numbered from WIDTH.
+DIFFERENCE_PATHS = [((WIDTH, "<", 0.02), (WIDTH + 3, ">=", 0.0)), ((WIDTH + 10, ">=", 0.05), (WIDTH, "<", 0.1), (WIDTH + 5, "<", 0.3))]
+
+
+def path_rows(spark, sf_dir):
+    """All pairs that meet a path, scored with scales of all pairs."""
+    cells, rows = pair_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id")).distinct()
+    return _rounded(V.path_rows(cells, rows, V.scale_table(cells, rows.count()), DIFFERENCE_PATHS))
+
+
+def path_leaders(spark, sf_dir):
+    """The three pairs of the highest score of each path."""
+    return V.top_k(path_rows(spark, sf_dir), ["path"], "score", 3, "pair_id").select("path", "pair_id", "score", "rank")
+
+
 def scaled_rows(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     return _rounded(V.scaled(rows, V.scale_table(rows, table(spark, sf_dir, "embeddings").count()), "largest").groupBy("pair_id").agg(F.sum("value").alias("total"), F.max("value").alias("largest")))
@@ -257,7 +278,7 @@ def lasso_coefficients(spark, sf_dir):
 
 
 _SQL = (linear_and_tree_models, cluster_models, rule_models, clusters, partitioned_models, lasso_coefficients)
-QUERIES = {f.__name__: f for f in (sparse_vectors, context_difference, mirrored_vectors, feature_scales, scaled_rows, row_profiles, sparsity, column_stats, distinctive_features, top_activations, bottom_activations, top_positive_or_absolute, top_positive_activations, split_points, max_pooled, histograms, walk_thresholds, published_walk_thresholds, learned_binarised_counts, binarised_counts, quartile_thresholds, valley_thresholds, classification_metrics, classification_report, weighted_auc, regression_metrics, leaf_metrics, file_round_trips, *_SQL)}
+QUERIES = {f.__name__: f for f in (sparse_vectors, context_difference, mirrored_vectors, feature_scales, scale_diagnostics, path_rows, path_leaders, scaled_rows, row_profiles, sparsity, column_stats, distinctive_features, top_activations, bottom_activations, top_positive_or_absolute, top_positive_activations, split_points, max_pooled, histograms, walk_thresholds, published_walk_thresholds, learned_binarised_counts, binarised_counts, quartile_thresholds, valley_thresholds, classification_metrics, classification_report, weighted_auc, regression_metrics, leaf_metrics, file_round_trips, *_SQL)}
 
 _ALL = "x AS (SELECT vec_id AS pair_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS value, label FROM embeddings)"
 VEC = f"{_ALL}, v AS (SELECT pair_id, feature, value, label FROM x WHERE value > {THETA})"
@@ -290,7 +311,26 @@ _TOP = "SELECT pair_id, feature, round(value, 6) AS value, CAST(rank AS INT) AS
 _F1 = "coalesce(2.0 * count(*) FILTER (y = {0} AND p = {0}) / nullif(count(*) FILTER (y = {0}) + count(*) FILTER (p = {0}), 0), 0)"
 _R2 = "1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*))"
 
+def _paths() -> str:
+    """p: all pairs, sc: deviations, f: the values of the paths' features, r: rows that meet a path."""
+    used = sorted({f for path in DIFFERENCE_PATHS for f, _, _ in path})
+    pivot = ", ".join(f"coalesce(max(value) FILTER (feature = {f}), 0) AS v{f}" for f in used)
+    scale = ", ".join(f"coalesce(nullif(max(scale) FILTER (feature = {f}), 0), 1) AS s{f}" for f in used)
+    each = [f"SELECT {k} AS path, pair_id, round({' '.join(('+' if op[0] == '>' else '-') + f' v{f} / greatest(s{f}, 1e-10)' for f, op, _ in path)}, 6) AS score FROM f, sc WHERE {' AND '.join(f'v{f} {op} {cut}::DOUBLE' for f, op, cut in path)}" for k, path in enumerate(DIFFERENCE_PATHS)]
+    return f"""{BOTH}, p AS (SELECT DISTINCT CAST(floor(vec_id / 2) AS BIGINT) AS pair_id FROM embeddings), n AS (SELECT count(*) AS n FROM p),
+d0 AS (SELECT feature, sqrt(greatest(0, sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2)) AS scale FROM b, n GROUP BY 1), sc AS (SELECT {scale} FROM d0),
+f AS (SELECT p.pair_id, {pivot} FROM p LEFT JOIN b USING (pair_id) GROUP BY 1), r AS ({' UNION ALL '.join(each)})"""
+
+
 ORACLE_SQL = {
+    "path_rows": f"WITH {_paths()} SELECT CAST(path AS INT) AS path, pair_id, score FROM r",
+    "path_leaders": f"WITH {_paths()} SELECT CAST(path AS INT) AS path, pair_id, score, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, pair_id) AS INT) AS rank FROM r QUALIFY rank <= 3",
+    "scale_diagnostics": f"""WITH {BOTH}, n AS (SELECT count(DISTINCT floor(vec_id / 2)) AS n FROM embeddings), g AS (SELECT range::INT AS feature FROM range({2 * WIDTH + 2})),
+c AS (SELECT g.feature, coalesce(nullif(sqrt(greatest(0, coalesce(sum(value * value), 0) / any_value(n) - (coalesce(sum(value), 0) / any_value(n)) ** 2)), 0), 1) AS scale, coalesce(max(abs(value)), 0) AS largest FROM g CROSS JOIN n LEFT JOIN b USING (feature) GROUP BY 1),
+k AS (SELECT 'original' AS kind, feature, 1.0::DOUBLE AS x, NULL::DOUBLE AS scale FROM c UNION ALL SELECT 'standard', feature, scale, scale FROM c UNION ALL SELECT 'largest', feature, largest, largest FROM c),
+v1 AS (SELECT kind, min(value / x) AS least, max(value / x) AS most, avg(value / x) AS mean, stddev_pop(value / x) AS std FROM b JOIN k USING (feature) GROUP BY 1),
+k1 AS (SELECT kind, min(scale) AS lo, max(scale) AS hi, avg(scale) AS mean, CASE WHEN kind <> 'original' THEN count(*) FILTER (scale < 0.01) END AS small, (SELECT count(*) FROM c WHERE largest = 0) AS dead FROM k GROUP BY 1)
+SELECT kind, round(least, 5) AS least, round(most, 5) AS most, round(v1.mean, 5) AS mean, round(std, 5) AS std, round(lo, 5) AS scale_least, round(hi, 5) AS scale_most, round(k1.mean, 5) AS scale_mean, small AS small_scales, dead FROM k1 LEFT JOIN v1 USING (kind)""",
     "sparse_vectors": f"WITH {VEC} SELECT pair_id, feature, round(value, 6) AS value FROM v",
     "context_difference": f"WITH {BOTH} SELECT pair_id, feature, round(value, 6) AS value FROM b",
     "mirrored_vectors": f"WITH {BOTH} SELECT CAST(l AS INT) AS label, count(*) AS n, round(sum(value * (2 * l - 1)), 5) AS total FROM b, (VALUES (0), (1)) t(l) WHERE feature >= {WIDTH} GROUP BY l",
