@@ -7,8 +7,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from variantlab.operators import boosting as B
+from variantlab.operators import boosting as B, metrics as K
 from variantlab.operators.boosting import Settings, boost, drawn
 
 UNIT = 1 << B.SCALE_BITS
@@ -125,3 +126,95 @@ def test_odd_tables(spark):
         boost(many, rows, 1)
     one = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0)], "pair_id long, feature int, value double")
     assert [len(t.feature) for t in boost(one, rows, 1, Settings(2, 3, child=0.0)).trees] == [1, 1]
+
+
+def grouped(spark, table, y, w, group):
+    cells, rows = frames(spark, table, y, w)
+    keys = spark.createDataFrame([(i, g) for i, g in enumerate(group)], "pair_id long, cluster int")
+    return cells, rows.join(keys, "pair_id")
+
+
+@pytest.mark.parametrize("settings", [Settings(3, 3, 0.3, 0.7), Settings(2, 3, 0.5, rows=0.7), Settings(1, 3, 1.0, l2=0.0, child=3.0, squared=True)])
+def test_groups_grow_as_they_would_alone(spark, settings):
+    """Trees and scores of each group equal those of a fit on its rows alone; null is a group."""
+    table, y, w = made(240, 9, (-1, 1), 8)
+    group = [(None, 3, 7)[i % 3] for i in range(len(y))]
+    cells, rows = grouped(spark, table, y, w, group)
+    model = B.boost_each(cells, rows, 9, "cluster", settings)
+    assert list(model.groups) == [None, 3, 7] and model.constant == {}
+    got = {r.pair_id: (r.score, r.p, r.features) for r in B.predicted_each(model, cells, rows, "cluster").collect()}
+    nodes = B.group_nodes(spark, model, "int").collect()
+    for key in model.groups:
+        own = rows.where(F.col("cluster").eqNullSafe(F.lit(key).cast("int")))
+        alone = boost(cells.join(own.select("pair_id"), "pair_id", "left_semi"), own, 9, settings)
+        assert alone.levels == model.levels
+        assert [nested(t, model.levels, model.groups[key]) for t in model.trees] == [nested(t, alone.levels) for t in alone.trees]
+        assert any(t.used() for t in alone.trees)
+        for r in B.predicted(alone, cells, own.drop("features")).collect():
+            assert got[r.pair_id] == (pytest.approx(r.score, abs=1e-12), r.p if not settings.squared else pytest.approx(r.p), "x")
+        assert sum(n.grp == key for n in nodes) == sum(len(t.feature) for t in alone.trees)
+
+
+def test_groups_of_one_class_and_unknown_groups(spark):
+    table, y, w = made(150, 6, (-1, 1), 9)
+    group = [i % 5 for i in range(len(y))]
+    y = np.array([(1 if g == 1 else 0 if g == 2 else v) for g, v in zip(group, y, strict=True)])
+    cells, rows = grouped(spark, table, y, w, group)
+    model = B.boost_each(cells, rows.where("cluster < 4"), 6, "cluster", Settings(2, 2))
+    assert list(model.groups) == [0, 3] and model.constant == {1: 1.0, 2: 0.0}
+    got = B.predicted_each(model, cells, rows, "cluster").collect()
+    assert len(got) == len(y)
+    assert {(r.cluster, r.score, r.p) for r in got if r.cluster in (1, 2, 4)} == {(1, 1.0, 1), (2, 0.0, 0), (4, 0.0, 0)}
+    single = B.boost_each(cells, rows.where("cluster = 1"), 6, "cluster")
+    assert single.trees == [] and {r.score for r in B.predicted_each(single, cells, rows, "cluster").collect()} == {0.0, 1.0}
+    nothing = B.boost_each(cells, rows.where("false"), 6, "cluster", Settings(squared=True))
+    assert nothing.groups == {} and {r.score for r in B.predicted_each(nothing, cells, rows, "cluster").collect()} == {0.0}
+
+
+def test_too_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(B, "MOST_GROUPS", 3)
+    table, y, w = made(20, 4, (-1, 1), 1)
+    cells, rows = grouped(spark, table, y, w, range(20))
+    with pytest.raises(ValueError):
+        B.boost_each(cells, rows, 4, "cluster")
+
+
+def test_regression_tree_takes_weighted_means(spark):
+    """One tree of squared loss: every leaf is the weighted mean of its rows, and the first cut the best of all."""
+    rng = np.random.default_rng(2)
+    table, _, _ = made(200, 5, (-1, 1), 4)
+    w = np.array([float(1 + i % 3) for i in range(200)])
+    y = np.array([2.0 * (row.get(3, 0) > 0) + 0.5 * row.get(0, 0) for row in table]) + rng.integers(-2, 3, 200) / 8
+    cells = spark.createDataFrame([(i, f, float(v)) for i, row in enumerate(table) for f, v in row.items()], "pair_id long, feature int, value double")
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, w, strict=True))], "pair_id long, y double, w double").repartition(3)
+    model = boost(cells, rows, 5, Settings(1, 3, 1.0, l2=0.0, child=20.0, squared=True))
+    leaf = {r.pair_id: r.leaf for r in B.leaf_of(model, cells, rows).collect()}
+    at = np.array([leaf[i] for i in range(200)])
+    assert len(set(at)) > 3
+    for k in set(at):
+        assert model.trees[0].value[k] == pytest.approx(np.average(y[at == k], weights=w[at == k])) and w[at == k].sum() >= 20
+    loss = lambda m: (w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum()
+    sides = []
+    for f in range(5):
+        x = np.array([row.get(f, np.nan) for row in table])
+        sides += [m for m in (x <= -1, (x <= -1) | np.isnan(x), x <= 1) if w[m].sum() >= 20 and w[~m].sum() >= 20]
+    best = min(loss(m) + loss(~m) for m in sides)
+    assert model.trees[0].gain[0] == pytest.approx((loss(np.ones(200, bool)) - best) / 2)
+    got = {r.pair_id: r.p for r in B.predicted(model, cells, rows).collect()}
+    assert [got[i] for i in range(200)] == pytest.approx([model.trees[0].value[k] for k in at])
+    assert {r.leaf for r in B.leaf_of(boost(cells.where("false"), rows, 5), cells, rows).collect()} == {0}
+
+
+def test_areas_by_group_equal_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(2), rng.randrange(6) / 5, rng.choice([0.5, 1.0, 2.0])) for _ in range(300)] + [("c", 1, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "cluster string, y int, score double, w double").withColumn("p", (F.col("score") > 0.5).cast("int")).repartition(3)
+    got = {r.cluster: r for r in K.classification_by(df, "cluster").collect()}
+    for key in ("a", "b", None):
+        own = [r for r in rows if r[0] == key]
+        pos, neg = [r for r in own if r[1]], [r for r in own if not r[1]]
+        area = sum(p[3] * n[3] * (1.0 if p[2] > n[2] else 0.5 if p[2] == n[2] else 0.0) for p in pos for n in neg) / (sum(p[3] for p in pos) * sum(n[3] for n in neg))
+        assert got[key].auc == pytest.approx(area) and got[key].n == len(own)
+        assert got[key].accuracy == pytest.approx(sum(r[1] == (r[2] > 0.5) for r in own) / len(own))
+    assert got["c"].auc is None and len(got) == 4
+    assert K.classification_by(df.where("false"), "cluster").count() == 0 and K.weighted_auc(df.where("false")).first().auc is None

@@ -39,5 +39,6 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_model_query_gives_rows(spark, sf_dir, name, monkeypatch):
-    monkeypatch.setattr(trained, "SETTINGS", replace(trained.SETTINGS, trees=3))  # a job for each level of each tree
+    for c in ("SETTINGS", "EACH"):
+        monkeypatch.setattr(trained, c, replace(getattr(trained, c), trees=3))  # a job for each level of each tree
     assert QUERIES[name](spark, sf_dir).count() > 0

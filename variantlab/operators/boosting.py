@@ -1,4 +1,4 @@
-"""Second-order boosted trees over sparse vectors of few distinct values, for the logistic loss.
+"""Second-order boosted trees over sparse vectors of few distinct values, for the logistic and the squared loss.
 
 Every level of a tree is one pass over the rows. A task scores its rows with the trees so far (they travel with it, so no
 margins are stored and a lost executor costs its own share), adds up gradients and Hessians by (node, feature, value)
@@ -6,6 +6,9 @@ and sends these sums by blocks of features; blocks are added up and searched for
 meet, and the driver receives one candidate for each node and block. Absent values are never written out: their
 sums are a node's total less those of its present values, and every cut is tried with them on either side.
 
+Groups of rows, such as clusters, can have a model each and still grow together: a tree then has a root for each group, and one
+pass grows a level of all of them. Each group's trees are those that its rows alone would give.
+
 Gradients and Hessians are rounded to multiples of 2**-SCALE_BITS and summed as integers, so sums do not depend on their
 order, and equal gains are ties: they go to the smaller feature, then the smaller value, then to absent values on the left.
 """
@@ -19,19 +22,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.files import scratch
 
 SCALE_BITS = 24
 #: Features of a block, sums of one kind that a task keeps at once, and the most distinct values.
 BLOCK, MOST_SUMS, MOST_LEVELS = 2048, 1 << 23, 255
+#: Most groups that have models of their own: these are kept on the driver and sent with tasks.
+MOST_GROUPS = 1024
 #: Gains up to this are no split.
 LEAST_GAIN = 1e-6
 
 
 @dataclass(frozen=True)
 class Settings:
-    """l2 is added to Hessians; child is the least Hessian of a child; columns is the share of features drawn for each tree; gamma is a split's cost."""
+    """l2 is added to Hessians; child is the least Hessian of a child; columns is the share of features drawn for each tree; gamma is a split's cost.
+
+    With squared loss the Hessian is the weight, so one tree at rate 1 without l2 is a regression tree of weighted means.
+    """
 
     trees: int = 100
     depth: int = 6
@@ -42,11 +51,12 @@ class Settings:
     child: float = 1.0
     gamma: float = 0.0
     seed: int = 42
+    squared: bool = False
 
 
 @dataclass
 class Tree:
-    """Nodes by number; a node with a feature goes left at values up to level cut, or without a value if absent_left."""
+    """Nodes by number, first the root of each group; a node with a feature goes left at values up to level cut, or without a value if absent_left."""
 
     feature: list[int] = field(default_factory=list)
     cut: list[int] = field(default_factory=list)
@@ -66,12 +76,12 @@ class Tree:
     def used(self) -> list[int]:
         return [f for f in self.feature if f >= 0]
 
-    def leaves(self, table: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """The node that each row of table (level + 1 of every used feature, 0: absent) ends in."""
+    def leaves(self, table: np.ndarray, used: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The node that each row of table (level + 1 of every used feature, 0: absent) ends in, from its root on."""
         feature, cut = np.array(self.feature), np.array(self.cut)
         absent, left, right = np.array(self.absent_left), np.array(self.left), np.array(self.right)
         column = np.where(feature >= 0, np.searchsorted(used, np.maximum(feature, 0)), 0)
-        at = np.zeros(len(table), np.int64)
+        at = root.astype(np.int64)
         moving = np.flatnonzero(feature[at] >= 0)
         while len(moving):
             node = at[moving]
@@ -84,22 +94,27 @@ class Tree:
 
 @dataclass
 class Boosted:
-    """Trees over values levels (sorted); features are numbered below width."""
+    """Trees over values levels (sorted); features are numbered below width. groups holds the root of each group, constant the score of groups without trees."""
 
     levels: list[float]
     width: int
     settings: Settings
     trees: list[Tree] = field(default_factory=list)
+    groups: dict = field(default_factory=lambda: {None: 0})
+    constant: dict = field(default_factory=dict)
 
     def used(self) -> np.ndarray:
         return np.array(sorted({f for t in self.trees for f in t.used()}), np.int64)
 
-    def margin(self, table: np.ndarray, used: np.ndarray) -> np.ndarray:
+    def margin(self, table: np.ndarray, used: np.ndarray, root: np.ndarray) -> np.ndarray:
         out = np.zeros(len(table))
         for t in self.trees:
-            out += np.array(t.value)[t.leaves(table, used)]
+            out += np.array(t.value)[t.leaves(table, used, root)]
         return out
 
+    def score(self, margin: np.ndarray) -> np.ndarray:
+        return margin if self.settings.squared else 1 / (1 + np.exp(-margin))
+
 
 def drawn(features: np.ndarray, tree: int, settings: Settings) -> np.ndarray:
     """Which features a tree may use: those whose md5 with seed and tree is below the share."""
@@ -140,14 +155,16 @@ def _table(row: np.ndarray, feature: np.ndarray, level: np.ndarray, n: int, used
     return out
 
 
-def _derivatives(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = 1 / (1 + np.exp(-margin))
+def _derivatives(model: Boosted, margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = model.score(margin)
     unit = 1 << SCALE_BITS
+    if model.settings.squared:
+        return np.rint((p - y) * w * unit), np.rint(w * unit)
     return np.rint((p - y) * w * unit), np.rint(p * (1 - p) * w * unit)
 
 
 def _batches(batches, model: Boosted, tree: Tree | None, used: np.ndarray):
-    """(batch, cells, g, h, node) with the rows that the tree's sample leaves out at weight 0; the tree is the one that grows, after model's."""
+    """(root, cells, g, h, node) with the rows that the tree's sample leaves out at weight 0; the tree is the one that grows, after model's."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -156,21 +173,24 @@ def _batches(batches, model: Boosted, tree: Tree | None, used: np.ndarray):
             w = np.asarray(part.column("w"), np.float64)
             if model.settings.rows < 1:
                 w = w * _sampled(part.column("pair_id").to_pylist(), len(model.trees), model.settings)
-            g, h = _derivatives(model.margin(table, used), np.asarray(part.column("y"), np.float64), w)
-            yield part, cells, g, h, tree.leaves(table, used) if tree else np.zeros(part.num_rows, np.int64)
+            root = np.asarray(part.column("__root"))
+            g, h = _derivatives(model, model.margin(table, used, root), np.asarray(part.column("y"), np.float64), w)
+            yield root, cells, g, h, tree.leaves(table, used, root) if tree else root
 
 
-def _totals(rows: DataFrame, model: Boosted) -> tuple[int, int]:
-    used = model.used()
+def _totals(rows: DataFrame, model: Boosted) -> list[tuple[int, int]]:
+    """Sums of gradients and Hessians of each root."""
+    used, roots = model.used(), max(1, len(model.groups))
 
     def run(batches):
-        total = [0, 0]
-        for _, _, g, h, _ in _batches(batches, model, None, used):
-            total = [total[0] + int(g.sum()), total[1] + int(h.sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=["g", "h"])
+        total = np.zeros((2, roots))
+        for root, _, g, h, _ in _batches(batches, model, None, used):
+            for k, x in enumerate((g, h)):
+                total[k] += np.bincount(root, weights=x, minlength=roots)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(roots)), *[pa.array(x.astype(np.int64)) for x in total]], names=["root", "g", "h"])
 
-    got = rows.mapInArrow(run, "g long, h long").agg(F.sum("g"), F.sum("h")).first()
-    return got[0] or 0, got[1] or 0
+    got = {r.root: (r.g, r.h) for r in rows.mapInArrow(run, "root long, g long, h long").groupBy("root").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
+    return [got.get(k, (0, 0)) for k in range(roots)]
 
 
 def _score(g, h, settings: Settings):
@@ -252,7 +272,7 @@ def grown(rows: DataFrame, model: Boosted) -> Tree:
     """The next tree of a model over packed rows (pair_id, y, w, features, levels), level by level."""
     settings = model.settings
     tree = Tree()
-    frontier = [tree.add(_totals(rows, model), settings)]
+    frontier = [tree.add(sums, settings) for sums in _totals(rows, model)]
     at_once = max(1, MOST_SUMS // max(1, model.width * len(model.levels)))
     for _ in range(settings.depth):
         frontier = [k for k in frontier if tree.sums[k][1] >= 2 * round(settings.child * (1 << SCALE_BITS))]
@@ -270,46 +290,119 @@ def grown(rows: DataFrame, model: Boosted) -> Tree:
     return tree
 
 
-def boost(cells: DataFrame, rows: DataFrame, width: int, settings: Settings = Settings()) -> Boosted:
-    """A model of y (0 or 1) with weights w: rows (pair_id, y, w), cells (pair_id, feature below width, value) of at most MOST_LEVELS values."""
+def _fitted(cells: DataFrame, rows: DataFrame, model: Boosted) -> Boosted:
+    """model with its trees over rows (pair_id, y, w, __root); the packed rows are written once and read for each level of each tree."""
     spark = rows.sparkSession
-    levels = [float(r[0]) for r in cells.select(F.col("value").cast("double")).distinct().orderBy("value").limit(MOST_LEVELS + 1).collect()]
-    if len(levels) > MOST_LEVELS:
+    model.levels = [float(r[0]) for r in cells.select(F.col("value").cast("double")).distinct().orderBy("value").limit(MOST_LEVELS + 1).collect()]
+    if len(model.levels) > MOST_LEVELS:
         raise ValueError(f"more than {MOST_LEVELS} distinct values; binarise or bin them first")
     path = scratch(spark, "boosting")
-    packed(cells, rows.select("pair_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")), levels).write.parquet(path)
+    packed(cells, rows.select("pair_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), "__root"), model.levels).write.parquet(path)
     table = spark.read.parquet(path)
-    model = Boosted(levels, width, settings)
-    for _ in range(settings.trees if levels else 0):
+    for _ in range(model.settings.trees if model.levels else 0):
         model.trees.append(grown(table, model))
     return model
 
 
-def predicted(model: Boosted, cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with score, the probability of 1, and p, the likelier class."""
-    used, names = model.used(), rows.columns
+def boost(cells: DataFrame, rows: DataFrame, width: int, settings: Settings = Settings()) -> Boosted:
+    """A model of y (0 or 1; any number with squared loss) with weights w: rows (pair_id, y, w), cells (pair_id, feature below width, value) of at most MOST_LEVELS values."""
+    return _fitted(cells, rows.withColumn("__root", F.lit(0)), Boosted([], width, settings))
+
+
+def _roots(model: Boosted, rows: DataFrame, group: str, how: str) -> DataFrame:
+    known = rows.sparkSession.createDataFrame(list(model.groups.items()), f"`__group` {rows.schema[group].dataType.simpleString()}, `__root` int")  # at most MOST_GROUPS
+    return rows.join(F.broadcast(known), F.col(group).eqNullSafe(F.col("__group")), how).drop("__group")
+
+
+def boost_each(cells: DataFrame, rows: DataFrame, width: int, group: str, settings: Settings = Settings()) -> Boosted:
+    """As boost, a model for each of at most MOST_GROUPS values of the column group (null is a group), all grown in the same passes.
+
+    With logistic loss a group of one class has no trees and always scores that class; with squared loss every group has trees.
+    """
+    stats = rows.groupBy(group).agg(F.min("y").alias("low"), F.max("y").alias("high")).limit(MOST_GROUPS + 1).collect()
+    if len(stats) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    constant = {} if settings.squared else {r[group]: float(r.low) for r in stats if r.low == r.high}
+    keys = sorted((r[group] for r in stats if r[group] not in constant), key=lambda k: (k is not None, k))
+    model = Boosted([], width, settings, groups={k: number for number, k in enumerate(keys)}, constant=constant)
+    return _fitted(cells, _roots(model, rows, group, "inner"), model) if keys else model
+
+
+def _walked(model: Boosted, cells: DataFrame, rows: DataFrame, name: str, kind: str, walk) -> DataFrame:
+    """rows (.., __root, null for none) with a column of walk(table, used, root) over those that have a root, else null; other columns may have any name."""
+    used = model.used()
 
     def run(batches):
         for batch in batches:
-            margin = model.margin(_table(*_cells(batch), batch.num_rows, used), used)
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-margin)))], names=[*names, "score"])
+            root = batch.column("__root")
+            none = np.asarray(root.is_null())
+            found = walk(_table(*_cells(batch), batch.num_rows, used), used, np.asarray(root.fill_null(0)))
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(found, mask=none)], names=["__row", "__found"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kept = rows.select("pair_id", "__root", F.struct(*[c for c in rows.columns if c != "__root"]).alias("__row"))
     wanted = rows.sparkSession.createDataFrame([(int(f),) for f in used], "feature int")  # at most as many as splits
     own = cells.join(F.broadcast(wanted), "feature", "left_semi")
-    return packed(own, rows, model.levels).mapInArrow(run, f"{kind}, score double").withColumn("p", (F.col("score") > 0.5).cast("int"))
+    found = packed(own, kept, model.levels).mapInArrow(run, StructType().add("__row", kept.schema["__row"].dataType).add("__found", kind))
+    return found.select("__row.*", F.col("__found").alias(name))
 
 
-def node_table(spark: SparkSession, model: Boosted) -> DataFrame:
-    """(tree, node, feature, cut, absent_left, left_node, right_node, gain, hessian, value) of all nodes; leaves have no feature."""
+def _with_class(df: DataFrame, model: Boosted) -> DataFrame:
+    return df.withColumn("p", F.col("score") if model.settings.squared else (F.col("score") > 0.5).cast("int"))
+
+
+def predicted(model: Boosted, cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with score, the probability of 1, and p, the likelier class; with squared loss both are the prediction."""
+    found = _walked(model, cells, rows.withColumn("__root", F.lit(0)), "score", "double", lambda *at: model.score(model.margin(*at)))
+    return _with_class(found, model)
+
+
+def predicted_each(model: Boosted, cells: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """As predicted, each row by the model of its group; groups of one class score that class, groups that were not trained 0."""
+    if not model.groups:
+        found = rows.withColumn("score", F.lit(None).cast("double"))
+    else:
+        found = _walked(model, cells, _roots(model, rows, group, "left"), "score", "double", lambda *at: model.score(model.margin(*at)))
+    fixed = rows.sparkSession.createDataFrame(list(model.constant.items()), f"`__group` {rows.schema[group].dataType.simpleString()}, `__fixed` double")  # at most MOST_GROUPS
+    found = found.join(F.broadcast(fixed), F.col(group).eqNullSafe(F.col("__group")), "left")
+    return _with_class(found.withColumn("score", F.coalesce("score", "__fixed", F.lit(0.0))).drop("__group", "__fixed"), model)
+
+
+def leaf_of(model: Boosted, cells: DataFrame, rows: DataFrame, tree: int = 0) -> DataFrame:
+    """rows with leaf, the node of one tree that each ends in (0 where the model has no trees)."""
+    rows = rows.withColumn("__root", F.lit(0))
+    if not model.trees:
+        return rows.withColumn("leaf", F.lit(0).cast("long")).drop("__root")
+    return _walked(model, cells, rows, "leaf", "long", model.trees[tree].leaves)
+
+
+_NODES = "tree int, node int, feature int, cut double, absent_left boolean, left_node int, right_node int, gain double, hessian double, value double"
+
+
+def _node_rows(model: Boosted) -> list[tuple]:
     unit = 1 << SCALE_BITS
     rows = []
     for number, t in enumerate(model.trees):
         for k, f in enumerate(t.feature):
             split = (f, model.levels[t.cut[k]], t.absent_left[k], t.left[k], t.right[k], t.gain[k]) if f >= 0 else (None,) * 6
             rows.append((number, k, *split, t.sums[k][1] / unit, t.value[k]))
-    return spark.createDataFrame(rows, "tree int, node int, feature int, cut double, absent_left boolean, left_node int, right_node int, gain double, hessian double, value double")
+    return rows
+
+
+def node_table(spark: SparkSession, model: Boosted) -> DataFrame:
+    """(tree, node, feature, cut, absent_left, left_node, right_node, gain, hessian, value) of all nodes; leaves have no feature."""
+    return spark.createDataFrame(_node_rows(model), _NODES)
+
+
+def group_nodes(spark: SparkSession, model: Boosted, kind: str = "long") -> DataFrame:
+    """node_table with grp, the group (of type kind) whose tree a node is in."""
+    keys, owner = list(model.groups), {}
+    for number, t in enumerate(model.trees):
+        own = list(range(len(t.feature)))
+        for k, f in enumerate(t.feature):  # children come after their parent
+            owner[number, k] = keys[own[k]]
+            if f >= 0:
+                own[t.left[k]] = own[t.right[k]] = own[k]
+    return spark.createDataFrame([(*r, owner[r[0], r[1]]) for r in _node_rows(model)], f"{_NODES}, grp {kind}")
 
 
 def importances(nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .ordered import ranged
 
@@ -20,10 +21,21 @@ def f1_of(y: Column, p: Column, label: int) -> Column:
     return F.coalesce(F.try_divide(2.0 * both, either.cast("double")), F.lit(0.0))
 
 
-def classification(df: DataFrame) -> DataFrame:
+def _classified() -> list[Column]:
     y, p, w = F.col("y"), F.col("p"), F.col("w")
     one, zero = f1_of(y, p, 1), f1_of(y, p, 0)
-    return df.agg(*accuracy(y, p, w), one.alias("f1_binary"), ((one + zero) / 2).alias("f1_macro"))
+    return [*accuracy(y, p, w), one.alias("f1_binary"), ((one + zero) / 2).alias("f1_macro")]
+
+
+def classification(df: DataFrame) -> DataFrame:
+    return df.agg(*_classified())
+
+
+def classification_by(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, classification's metrics, auc) of each value of key; auc is null with one class."""
+    found = df.groupBy(key).agg(F.count("*").alias("n"), *_classified())
+    areas = weighted_auc_by(df, key).select(F.col(key).alias("__key"), "auc")
+    return found.join(areas, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -35,25 +47,36 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def weighted_auc(df: DataFrame) -> DataFrame:
-    """Area under the weighted ROC curve, tied scores as one step; null with one class. Scores are summed, then dealt into
-    ranges; each range gives its own area, and what lies below it is added from the few rows of the ranges."""
-    steps = df.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("neg"))
+    """Area under the weighted ROC curve, tied scores as one step; null with one class."""
+    return weighted_auc_by(df.withColumn("__all", F.lit(0)), "__all").agg(F.max("auc").alias("auc"))
+
+
+def weighted_auc_by(df: DataFrame, key: str) -> DataFrame:
+    """(key, auc) of each value of key, as weighted_auc. Scores are summed, then dealt into ranges of key and score; each range
+    gives an area for each key in it, and what lies below it is added from the few rows of the ranges."""
+    steps = df.groupBy(F.col(key).alias("key"), F.col("score").cast("double").alias("score")).agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).cast("double").alias("pos"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).cast("double").alias("neg"))
+    names = ("first", "pos", "neg", "area")
 
     def run(batches):
-        first, pos, neg, area, seen = None, 0.0, 0.0, 0.0, False
+        done, open_key, at = [], None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            first, seen = batch.column("score")[0].as_py() if not seen else first, True
-            p, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg"))
-            area += float((p * (neg + np.cumsum(n) - n / 2)).sum())
-            pos, neg = pos + float(p.sum()), neg + float(n.sum())
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (first, pos, neg, area)], names=["first", "pos", "neg", "area"])
-
-    rows = ranged(steps.select(F.col("score").cast("double"), F.col("pos").cast("double"), F.col("neg").cast("double")), "score").mapInArrow(run, "first double, pos double, neg double, area double")
-    below = F.coalesce(F.sum("neg").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("area", F.col("area") + F.col("pos") * below).agg(F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auc"))
+            keys = batch.column("key").to_pylist()
+            score, pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("score", "pos", "neg"))
+            cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if at is None or keys[a] != open_key:
+                    open_key, at = keys[a], [float(score[a]), 0.0, 0.0, 0.0]
+                    done.append((open_key, at))
+                p, n = pos[a:b], neg[a:b]
+                at[3] += float((p * (at[2] + np.cumsum(n) - n / 2)).sum())
+                at[1], at[2] = at[1] + float(p.sum()), at[2] + float(n.sum())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), *[pa.array([x[i] for _, x in done], pa.float64()) for i in range(4)]], names=["key", *names])
+
+    kind = to_arrow_type(steps.schema["key"].dataType)
+    rows = ranged(steps, "key", "score").mapInArrow(run, f"key {steps.schema['key'].dataType.simpleString()}, first double, pos double, neg double, area double")
+    below = F.coalesce(F.sum("neg").over(W.partitionBy("key").orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumn("area", F.col("area") + F.col("pos") * below).groupBy(F.col("key").alias(key)).agg(F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def deltas(metrics: DataFrame, base: str) -> DataFrame:

@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def ranged(df: DataFrame, order: str) -> DataFrame:
+def ranged(df: DataFrame, *order: str) -> DataFrame:
     """df dealt into ranges of order and sorted within each; Spark samples the cuts, as many as there are shuffle partitions."""
-    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
 
 def _range_sums(counts: DataFrame) -> list[tuple[float, float, int]]:
