@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from variantlab.operators import boosting as B, metrics as K
 from variantlab.operators.boosting import Settings, boost, drawn
+from variantlab.sources import files
 
 UNIT = 1 << B.SCALE_BITS
 
@@ -155,6 +156,37 @@ def test_groups_grow_as_they_would_alone(spark, settings):
         assert sum(n.grp == key for n in nodes) == sum(len(t.feature) for t in alone.trees)
 
 
+@pytest.mark.parametrize("settings", [Settings(3, 3, 0.3, 0.7), Settings(2, 2, 0.5, rows=0.7)])
+def test_a_model_of_all_rows_grows_beside_those_of_groups(spark, settings):
+    """Both are what separate fits give; a group of one class has the model of all rows alone."""
+    table, y, w = made(160, 9, (-1, 1), 8)
+    group = [(None, 3, 7, 9)[i % 4] for i in range(len(y))]
+    y = np.array([1 if g == 9 else v for g, v in zip(group, y, strict=True)])
+    cells, rows = grouped(spark, table, y, w, group)
+    whole, each = B.boost_both(cells, rows, 9, "cluster", settings)
+    alone, apart = boost(cells, rows, 9, settings), B.boost_each(cells, rows, 9, "cluster", settings)
+    assert whole.trees == alone.trees and whole.levels == alone.levels and whole.groups == alone.groups
+    assert each.trees == apart.trees and each.groups == apart.groups == {None: 0, 3: 1, 7: 2} and each.constant == apart.constant == {9: 1.0}
+    assert any(t.used() for t in whole.trees) and any(t.used() for t in each.trees)
+    single, none = B.boost_both(cells, rows.where("cluster = 9"), 9, "cluster", settings)
+    assert single.trees == boost(cells, rows.where("cluster = 9"), 9, settings).trees and none.trees == [] and none.constant == {9: 1.0}
+
+
+def test_passes_do_not_score_all_trees_anew(spark, monkeypatch):
+    """A pass walks the trees since margins were stored, one pass grows a level, the trees do not depend on it, and no chunks are left behind."""
+    table, y, w = made(150, 6, (-1, 1), 7)
+    cells, rows = frames(spark, table, y, w)
+    monkeypatch.setattr(B, "CHUNK_ROWS", 7)
+    whole = boost(cells, rows, 6, Settings(7, 2))
+    passes, splits, paths = [], B._splits, []
+    monkeypatch.setattr(B, "STORED", 2)
+    monkeypatch.setattr(B, "_splits", lambda table, model, done, *rest: passes.append(len(model.trees) - done) or splits(table, model, done, *rest))
+    monkeypatch.setattr(B, "scratch", lambda *at, f=B.scratch: paths.append(f(*at)) or paths[-1])
+    assert boost(cells, rows, 6, Settings(7, 2)).trees == whole.trees
+    assert len(passes) == 7 * 2 and max(passes) == 1
+    assert len(paths) == 4 and not any(files.exists(spark, p) for p in paths)
+
+
 def test_groups_of_one_class_and_unknown_groups(spark):
     table, y, w = made(150, 6, (-1, 1), 9)
     group = [i % 5 for i in range(len(y))]

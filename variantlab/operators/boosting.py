@@ -1,13 +1,16 @@
 """Second-order boosted trees over sparse vectors of few distinct values, for the logistic and the squared loss.
 
-Every level of a tree is one pass over the rows. A task scores its rows with the trees so far (they travel with it, so no
-margins are stored and a lost executor costs its own share), adds up gradients and Hessians by (node, feature, value)
+Every level of a tree is one pass over the rows, which are stored in chunks of binary columns, with their margins. A task scores
+its rows with the trees since the margins were stored (they travel with it; after every STORED trees the chunks are written
+anew, so a pass costs the same at the last tree as at the first), adds up gradients and Hessians by (node, feature, value)
 and sends these sums by blocks of features; blocks are added up and searched for their best split where they
-meet, and the driver receives one candidate for each node and block. Absent values are never written out: their
-sums are a node's total less those of its present values, and every cut is tried with them on either side.
+meet, and the driver receives one candidate for each node and block, and with the first level the totals of the roots. Absent
+values are never written out: their sums are a node's total less those of its present values, and every cut is tried with them on
+either side.
 
 Groups of rows, such as clusters, can have a model each and still grow together: a tree then has a root for each group, and one
-pass grows a level of all of them. Each group's trees are those that its rows alone would give.
+pass grows a level of all of them. Each group's trees are those that its rows alone would give. A row can have several roots,
+such as its cluster's and that of a model of all rows.
 
 Gradients and Hessians are rounded to multiples of 2**-SCALE_BITS and summed as integers, so sums do not depend on their
 order, and equal gains are ties: they go to the smaller feature, then the smaller value, then to absent values on the left.
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.files import scratch
+from ..sources.files import remove, scratch
 
 SCALE_BITS = 24
 #: Features of a block, sums of one kind that a task keeps at once, and the most distinct values.
 BLOCK, MOST_SUMS, MOST_LEVELS = 2048, 1 << 23, 255
 #: Most groups that have models of their own: these are kept on the driver and sent with tasks.
 MOST_GROUPS = 1024
+#: Trees after which margins are stored anew, and the most rows and (if there is more than one row) cells of a chunk.
+STORED, CHUNK_ROWS, CHUNK_CELLS = 5, 4096, 1 << 20
 #: Gains up to this are no split.
 LEAST_GAIN = 1e-6
 
@@ -68,11 +73,28 @@ class Tree:
     value: list[float] = field(default_factory=list)
 
     def add(self, sums: tuple[int, int], settings: Settings) -> int:
-        g, h = (x / (1 << SCALE_BITS) for x in sums)
-        for column, x in ((self.feature, -1), (self.cut, 0), (self.absent_left, False), (self.left, -1), (self.right, -1), (self.gain, 0.0), (self.sums, sums), (self.value, -g / (h + settings.l2) * settings.rate if h + settings.l2 else 0.0)):
+        for column, x in ((self.feature, -1), (self.cut, 0), (self.absent_left, False), (self.left, -1), (self.right, -1), (self.gain, 0.0), (self.sums, sums), (self.value, 0.0)):
             column.append(x)
+        self.put(len(self.feature) - 1, sums, settings)
         return len(self.feature) - 1
 
+    def put(self, node: int, sums: tuple[int, int], settings: Settings) -> None:
+        """Gives a node its sums, and the value that follows from them."""
+        g, h = (x / (1 << SCALE_BITS) for x in sums)
+        self.sums[node], self.value[node] = sums, -g / (h + settings.l2) * settings.rate if h + settings.l2 else 0.0
+
+    def part(self, roots: list[int]) -> Tree:
+        """The nodes below some roots, numbered as if they had grown alone."""
+        number = {k: i for i, k in enumerate(roots)}
+        for k, f in enumerate(self.feature):  # children come after their parent
+            if k in number and f >= 0:
+                number[self.left[k]] = number[self.right[k]] = -1
+        number = {k: i for i, k in enumerate(sorted(number))}
+        kept = list(number)
+        pick = lambda column: [column[k] for k in kept]
+        left, right = ([number[c] if c >= 0 else -1 for c in pick(column)] for column in (self.left, self.right))
+        return Tree(pick(self.feature), pick(self.cut), pick(self.absent_left), left, right, pick(self.gain), pick(self.sums), pick(self.value))
+
     def used(self) -> list[int]:
         return [f for f in self.feature if f >= 0]
 
@@ -163,34 +185,71 @@ def _derivatives(model: Boosted, margin: np.ndarray, y: np.ndarray, w: np.ndarra
     return np.rint((p - y) * w * unit), np.rint(p * (1 - p) * w * unit)
 
 
-def _batches(batches, model: Boosted, tree: Tree | None, used: np.ndarray):
-    """(root, cells, g, h, node) with the rows that the tree's sample leaves out at weight 0; the tree is the one that grows, after model's."""
+def _chunks(cells: DataFrame, rows: DataFrame, model: Boosted) -> DataFrame:
+    """Packed rows (pair_id, y, w, __roots) in chunks: binary columns of numbers by row, and code, feature * levels + level of each present value; __roots -1 is none. ids are kept for samples alone."""
+    levels, sampled = len(model.levels), model.settings.rows < 1
+    kind = np.int32 if model.width * levels < 1 << 31 else np.int64
+
+    def run(batches):
+        for batch in batches:
+            count = np.asarray(batch.column("features").value_lengths()).astype(np.int32)
+            most = max(1, min(CHUNK_ROWS, CHUNK_CELLS * batch.num_rows // max(1, int(count.sum()))))
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                _, feature, level = _cells(part)
+                root = np.asarray(part.column("__roots").flatten()).astype(np.int32).reshape(part.num_rows, -1).T
+                ids = part.column("pair_id") if sampled else part.column("pair_id").slice(0, 0)
+                numbers = (np.asarray(part.column("y"), np.float64), np.asarray(part.column("w"), np.float64), root, np.zeros(root.shape), count[at : at + most], (feature * levels + level).astype(kind))
+                columns = [pa.array([x.tobytes()], pa.binary()) for x in numbers]
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *columns], names=_CHUNK)
+
+    table = packed(cells, rows, model.levels)
+    return table.mapInArrow(run, f"n int, ids array<{table.schema['pair_id'].dataType.simpleString()}>, " + ", ".join(f"{c} binary" for c in _CHUNK[2:]))
+
+
+_CHUNK = ["n", "ids", "y", "w", "root", "margin", "count", "code"]
+
+
+def _parts(batches, model: Boosted, done: int, tree: Tree | None):
+    """(batch, number, n, count, code, margin, and root, g, h, node by kind of root) of each chunk. Margins are stored for the first done trees; the tree is
+    the one that grows, after model's. Rows that its sample leaves out, or that have no root of a kind, have weight 0."""
+    later = model.trees[done:]
+    used = np.array(sorted({f for t in [*later, *([tree] if tree else [])] for f in t.used()}), np.int64)
+    levels, kind = len(model.levels), np.int32 if model.width * len(model.levels) < 1 << 31 else np.int64
+    place = np.full(model.width, -1)
+    place[used] = np.arange(len(used))
+    place = np.repeat(place, levels)  # by code
+    mark = np.tile(np.arange(1, levels + 1, dtype=np.uint8), model.width)
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            cells = _cells(part)
-            table = _table(*cells, part.num_rows, used)
-            w = np.asarray(part.column("w"), np.float64)
+        for i in range(batch.num_rows):
+            n = batch.column("n")[i].as_py()
+            y, w, root, margin, count, code = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(_CHUNK[2:], (np.float64, np.float64, np.int32, np.float64, np.int32, kind), strict=True))
+            table = np.zeros((n, max(1, len(used))), np.uint8)
+            if len(used):
+                column = place[code]
+                hit = np.flatnonzero(column >= 0)
+                table.reshape(-1)[np.repeat(np.arange(n) * table.shape[1], count)[hit] + column[hit]] = mark[code[hit]]
             if model.settings.rows < 1:
-                w = w * _sampled(part.column("pair_id").to_pylist(), len(model.trees), model.settings)
-            root = np.asarray(part.column("__root"))
-            g, h = _derivatives(model, model.margin(table, used, root), np.asarray(part.column("y"), np.float64), w)
-            yield root, cells, g, h, tree.leaves(table, used, root) if tree else root
+                w = w * _sampled(batch.column("ids")[i].as_py(), len(model.trees), model.settings)
+            margin, found = margin.reshape(-1, n).copy(), []
+            for own, at in zip(margin, root.reshape(-1, n), strict=True):
+                start = np.maximum(at, 0)
+                for t in later:
+                    own += np.array(t.value)[t.leaves(table, used, start)]
+                g, h = _derivatives(model, own, y, np.where(at >= 0, w, 0.0))
+                found.append((start, g, h, tree.leaves(table, used, start) if tree else start))
+            yield batch, i, n, count, code, margin, found
 
 
-def _totals(rows: DataFrame, model: Boosted) -> list[tuple[int, int]]:
-    """Sums of gradients and Hessians of each root."""
-    used, roots = model.used(), max(1, len(model.groups))
+def _advanced(table: DataFrame, model: Boosted, done: int) -> DataFrame:
+    """The chunks with margins of all of model's trees."""
 
     def run(batches):
-        total = np.zeros((2, roots))
-        for root, _, g, h, _ in _batches(batches, model, None, used):
-            for k, x in enumerate((g, h)):
-                total[k] += np.bincount(root, weights=x, minlength=roots)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(roots)), *[pa.array(x.astype(np.int64)) for x in total]], names=["root", "g", "h"])
+        for batch, i, _, _, _, margin, _ in _parts(batches, model, done, None):
+            own = batch.slice(i, 1)
+            yield own.set_column(own.schema.get_field_index("margin"), "margin", pa.array([margin.tobytes()], pa.binary()))
 
-    got = {r.root: (r.g, r.h) for r in rows.mapInArrow(run, "root long, g long, h long").groupBy("root").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
-    return [got.get(k, (0, 0)) for k in range(roots)]
+    return table.mapInArrow(run, table.schema)
 
 
 def _score(g, h, settings: Settings):
@@ -225,88 +284,114 @@ def best_cuts(features: np.ndarray, g: np.ndarray, h: np.ndarray, totals: np.nda
 _BEST = "slot int, gain double, feature int, cut int, absent_left boolean, g long, h long"
 
 
-def _splits(rows: DataFrame, model: Boosted, tree: Tree, nodes: list[int]) -> dict[int, tuple]:
-    """The best split of each of a tree's nodes, by node."""
-    used = np.array(sorted({*model.used().tolist(), *tree.used()}), np.int64)
+def _splits(table: DataFrame, model: Boosted, done: int, tree: Tree, nodes: list[int], roots: bool) -> dict[int, tuple]:
+    """The best split of each of a tree's nodes, by node; where they are roots, which are then given their sums, they are totalled in the same pass."""
     width, levels, settings, number = model.width, len(model.levels), model.settings, len(model.trees)
     slot_of = np.full(len(tree.feature), -1, np.int64)
     slot_of[nodes] = np.arange(len(nodes))
-    totals = np.array([tree.sums[k] for k in nodes], np.int64)
+    known = np.array([tree.sums[k] for k in nodes], np.int64)
 
     def sums(batches):
-        size = len(nodes) * width * levels
-        total = np.zeros((2, size))
-        for _, (row, feature, level), g, h, node in _batches(batches, model, tree, used):
-            slot = slot_of[node][row]
-            own = slot >= 0
-            key = (slot[own] * width + feature[own]) * levels + level[own]
-            for k, x in enumerate((g, h)):  # whole numbers below 2**53, so exact
-                total[k] += np.bincount(key, weights=x[row[own]], minlength=size)
-        total = total.reshape(2, len(nodes), width, levels)
+        size, codes = len(nodes) * width * levels, width * levels
+        total, whole, rows = np.zeros((2, size)), np.zeros((2, len(nodes))), 0
+        for _, _, n, count, code, _, found in _parts(batches, model, done, tree):
+            rows += n
+            for _, g, h, node in found:
+                slot = slot_of[node]
+                own = slot >= 0
+                some, times = code, count
+                if not own.all():
+                    some, times = code[np.repeat(own, count)], count[own]
+                    slot, g, h = slot[own], g[own], h[own]
+                key = np.repeat(slot * codes, times) + some
+                for k, x in enumerate((g, h)):  # whole numbers below 2**53, so exact
+                    total[k] += np.bincount(key, weights=np.repeat(x, times), minlength=size)
+                    if roots:
+                        whole[k] += np.bincount(slot, weights=x, minlength=len(nodes))
+        total, whole = total.reshape(2, len(nodes), width, levels), whole.astype(np.int64).tobytes()
         out = []
         for block, at in enumerate(range(0, width, BLOCK)):
             part = total[:, :, at : at + BLOCK]
-            if part.any():
-                out.append((block, part.astype(np.int64).tobytes()))
+            if (roots and rows) or part.any():
+                out.append((block, whole, part.astype(np.int64).tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "whole", "sums"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["block"].iloc[0]) * BLOCK
         features = np.arange(first, min(first + BLOCK, width))
         g, h = sum(np.frombuffer(x, np.int64) for x in pdf["sums"]).reshape(2, len(nodes), len(features), levels)
+        totals = sum(np.frombuffer(x, np.int64) for x in pdf["whole"]).reshape(2, len(nodes)).T if roots else known
         mine = drawn(features, number, settings)
         found = best_cuts(features[mine], g[:, mine], h[:, mine], totals, settings)
+        if roots and first == 0:
+            found += [(slot, 0.0, -1, 0, False, *sums) for slot, sums in enumerate(totals.tolist())]
         return pd.DataFrame(found, columns=[c.split()[0] for c in _BEST.split(", ")])
 
-    found = rows.mapInArrow(sums, "block int, sums binary").groupBy("block").applyInPandas(search, _BEST).collect()
+    found = table.mapInArrow(sums, "block int, whole binary, sums binary").groupBy("block").applyInPandas(search, _BEST).collect()
     best: dict[int, tuple] = {}
     for r in found:
         node, mark = nodes[r.slot], (r.gain, -r.feature, -r.cut, r.absent_left)
-        if node not in best or mark > best[node][0]:
+        if r.feature < 0:
+            tree.put(node, (r.g, r.h), settings)
+        elif node not in best or mark > best[node][0]:
             best[node] = mark, r
     return {node: r for node, (_, r) in best.items()}
 
 
-def grown(rows: DataFrame, model: Boosted) -> Tree:
-    """The next tree of a model over packed rows (pair_id, y, w, features, levels), level by level."""
+def grown(table: DataFrame, model: Boosted, done: int, roots: int) -> Tree:
+    """The next tree of a model over chunks that hold the margins of its first done trees, level by level."""
     settings = model.settings
     tree = Tree()
-    frontier = [tree.add(sums, settings) for sums in _totals(rows, model)]
+    frontier = [tree.add((0, 0), settings) for _ in range(roots)]
     at_once = max(1, MOST_SUMS // max(1, model.width * len(model.levels)))
-    for _ in range(settings.depth):
-        frontier = [k for k in frontier if tree.sums[k][1] >= 2 * round(settings.child * (1 << SCALE_BITS))]
-        following = []
-        for some in range(0, len(frontier), at_once):
-            for node, best in sorted(_splits(rows, model, tree, frontier[some : some + at_once]).items()):
-                g, h = tree.sums[node]
-                tree.feature[node], tree.cut[node], tree.absent_left[node], tree.gain[node] = best.feature, best.cut, best.absent_left, best.gain
-                tree.left[node] = tree.add((best.g, best.h), settings)
-                tree.right[node] = tree.add((g - best.g, h - best.h), settings)
-                following += [tree.left[node], tree.right[node]]
-        frontier = following
+    for depth in range(max(1, settings.depth)):
+        if depth:
+            frontier = [k for k in frontier if tree.sums[k][1] >= 2 * round(settings.child * (1 << SCALE_BITS))]
+        found: dict[int, tuple] = {}
+        for at in range(0, len(frontier), at_once):
+            found |= _splits(table, model, done, tree, frontier[at : at + at_once], depth == 0)
+        frontier = []
+        for node, best in sorted(found.items()) if settings.depth else ():
+            g, h = tree.sums[node]
+            tree.feature[node], tree.cut[node], tree.absent_left[node], tree.gain[node] = best.feature, best.cut, best.absent_left, best.gain
+            tree.left[node] = tree.add((best.g, best.h), settings)
+            tree.right[node] = tree.add((g - best.g, h - best.h), settings)
+            frontier += [tree.left[node], tree.right[node]]
         if not frontier:
             break
     return tree
 
 
-def _fitted(cells: DataFrame, rows: DataFrame, model: Boosted) -> Boosted:
-    """model with its trees over rows (pair_id, y, w, __root); the packed rows are written once and read for each level of each tree."""
+def _fitted(cells: DataFrame, rows: DataFrame, model: Boosted, roots: int = 1) -> Boosted:
+    """model with its trees over rows (pair_id, y, w, __roots); chunks are written at first and after every STORED trees, and read for each level of each tree."""
     spark = rows.sparkSession
     model.levels = [float(r[0]) for r in cells.select(F.col("value").cast("double")).distinct().orderBy("value").limit(MOST_LEVELS + 1).collect()]
     if len(model.levels) > MOST_LEVELS:
         raise ValueError(f"more than {MOST_LEVELS} distinct values; binarise or bin them first")
-    path = scratch(spark, "boosting")
-    packed(cells, rows.select("pair_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), "__root"), model.levels).write.parquet(path)
-    table = spark.read.parquet(path)
-    for _ in range(model.settings.trees if model.levels else 0):
-        model.trees.append(grown(table, model))
+    if not model.levels:
+        return model
+
+    def written(chunks: DataFrame) -> tuple[str, DataFrame]:
+        path = scratch(spark, "boosting")
+        chunks.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+        return path, spark.read.schema(chunks.schema).parquet(path)
+
+    rows = rows.select("pair_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), "__roots")
+    path, table = written(_chunks(cells, rows, model))
+    done = 0
+    for number in range(model.settings.trees):
+        if number - done == STORED:
+            old, (path, table), done = path, written(_advanced(table, model, done)), number
+            remove(spark, old)
+        model.trees.append(grown(table, model, done, roots))
+    remove(spark, path)
     return model
 
 
 def boost(cells: DataFrame, rows: DataFrame, width: int, settings: Settings = Settings()) -> Boosted:
     """A model of y (0 or 1; any number with squared loss) with weights w: rows (pair_id, y, w), cells (pair_id, feature below width, value) of at most MOST_LEVELS values."""
-    return _fitted(cells, rows.withColumn("__root", F.lit(0)), Boosted([], width, settings))
+    return _fitted(cells, rows.withColumn("__roots", F.array(F.lit(0))), Boosted([], width, settings))
 
 
 def _roots(model: Boosted, rows: DataFrame, group: str, how: str) -> DataFrame:
@@ -319,13 +404,30 @@ def boost_each(cells: DataFrame, rows: DataFrame, width: int, group: str, settin
 
     With logistic loss a group of one class has no trees and always scores that class; with squared loss every group has trees.
     """
+    model = _by_group(rows, width, group, settings)
+    return _fitted(cells, _roots(model, rows, group, "inner").withColumn("__roots", F.array("__root")), model, len(model.groups)) if model.groups else model
+
+
+def boost_both(cells: DataFrame, rows: DataFrame, width: int, group: str, settings: Settings = Settings()) -> tuple[Boosted, Boosted]:
+    """What boost and boost_each give, grown in the same passes."""
+    each = _by_group(rows, width, group, settings)
+    roots = F.array(F.lit(0), F.coalesce(F.col("__root") + 1, F.lit(-1))) if each.groups else F.array(F.lit(0))
+    known = _roots(each, rows, group, "left") if each.groups else rows
+    both = _fitted(cells, known.withColumn("__roots", roots), Boosted([], width, settings), 1 + len(each.groups))
+    if each.groups:
+        each.levels, each.trees = both.levels, [t.part(list(range(1, 1 + len(each.groups)))) for t in both.trees]
+    both.trees = [t.part([0]) for t in both.trees]
+    return both, each
+
+
+def _by_group(rows: DataFrame, width: int, group: str, settings: Settings) -> Boosted:
+    """A model without trees that knows the groups of rows, and the scores of those of one class."""
     stats = rows.groupBy(group).agg(F.min("y").alias("low"), F.max("y").alias("high")).limit(MOST_GROUPS + 1).collect()
     if len(stats) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups")
     constant = {} if settings.squared else {r[group]: float(r.low) for r in stats if r.low == r.high}
     keys = sorted((r[group] for r in stats if r[group] not in constant), key=lambda k: (k is not None, k))
-    model = Boosted([], width, settings, groups={k: number for number, k in enumerate(keys)}, constant=constant)
-    return _fitted(cells, _roots(model, rows, group, "inner"), model) if keys else model
+    return Boosted([], width, settings, groups={k: number for number, k in enumerate(keys)}, constant=constant)
 
 
 def _walked(model: Boosted, cells: DataFrame, rows: DataFrame, name: str, kind: str, walk) -> DataFrame:

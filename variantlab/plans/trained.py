@@ -34,9 +34,22 @@ def learned(cells: DataFrame, rows: DataFrame) -> DataFrame:
     return right.unionByName(H.walk_outward(H.histogram(train.where(f"feature >= {WIDTH}"), BINS[1]), AHEAD))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read from there."""
+    spark = df.sparkSession
+    path = files.scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pair vectors and judged rows, both kept since thresholds and cells read them several times, and binarised cells."""
+    cells, rows = _kept(pair_vectors(spark, sf_dir), "vectors"), _kept(judged(spark, sf_dir), "judged")
+    return cells, H.binarised_with_zeros(cells, learned(cells, rows), rows.select("pair_id")), rows
+
+
 def _binarised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cells, rows = pair_vectors(spark, sf_dir), judged(spark, sf_dir)
-    return H.binarised_with_zeros(cells, learned(cells, rows), rows.select("pair_id")), rows
+    return _prepared(spark, sf_dir)[1:]
 
 
 def _of(cells: DataFrame, rows: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +77,7 @@ def first_boosted_tree(spark, sf_dir):
 def boosted_path(spark, sf_dir):
     """(model, n_terms, test metrics) of 40 trees on binarised pairs, and of rules and linear terms on the features that the trees use, by the importances they wrote."""
     binarised, rows = _binarised(spark, sf_dir)
-    path = files.scratch(spark, "binarised")
-    binarised.write.parquet(path)
-    binarised = spark.read.parquet(path)
+    binarised = _kept(binarised, "binarised")
     (cells, train), (other, test) = _of(binarised, rows, "train"), _of(binarised, rows, "test")
     model = B.boost(cells, train, 2 * WIDTH, SETTINGS)
     path = files.scratch(spark, "importances")
@@ -81,12 +92,11 @@ def boosted_path(spark, sf_dir):
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Binarised differences, and judged rows with cluster: the band of the pair's strongest context feature, -1 without one."""
-    binarised, rows = _binarised(spark, sf_dir)
-    path = files.scratch(spark, "differences")
-    binarised.where(f"feature >= {WIDTH}").write.parquet(path)
-    strongest = pair_vectors(spark, sf_dir).where(f"feature < {WIDTH}").groupBy("pair_id").agg(F.max(F.struct("value", (-F.col("feature")).alias("f"))).alias("top"))
+    vectors, binarised, rows = _prepared(spark, sf_dir)
+    strongest = vectors.where(f"feature < {WIDTH}").groupBy("pair_id").agg(F.max(F.struct("value", (-F.col("feature")).alias("f"))).alias("top"))
     cluster = F.coalesce(F.floor(-F.col("top.f") / BAND).cast("int"), F.lit(-1))
-    return spark.read.parquet(path), rows.join(strongest, "pair_id", "left").select(*rows.columns, cluster.alias("cluster"))
+    rows = rows.join(strongest, "pair_id", "left").select(*rows.columns, cluster.alias("cluster"))
+    return _kept(binarised.where(f"feature >= {WIDTH}"), "differences"), _kept(rows, "clustered")
 
 
 def cluster_first_trees(spark, sf_dir):
@@ -112,9 +122,8 @@ def cluster_comparison(spark, sf_dir):
     """Metrics of the global model, of each cluster's own, and of every test pair by its cluster's model."""
     cells, rows = _clustered(spark, sf_dir)
     (inside, train), (other, test) = _of(cells, rows, "train"), _of(cells, rows, "test")
-    whole = B.predicted(B.boost(inside, train, 2 * WIDTH, EACH), other, test)
-    each = B.predicted_each(B.boost_each(inside, train, 2 * WIDTH, "cluster", EACH), other, test, "cluster")
-    return _compared(test, train, each, whole)
+    whole, each = B.boost_both(inside, train, 2 * WIDTH, "cluster", EACH)
+    return _compared(test, train, B.predicted_each(each, other, test, "cluster"), B.predicted(whole, other, test))
 
 
 def constant_comparison(spark, sf_dir):
@@ -148,10 +157,7 @@ def regression_tree(spark, sf_dir):
 def residual_segments(spark, sf_dir):
     """(segment, n_train, n_test, mean_residual, mean and r2 of both parts): contexts that differ in what a lasso on scaled differences leaves, and
     a tree of the gap on binarised differences within each; r2 is null for parts of 10 rows or fewer."""
-    binarised, rows = _binarised(spark, sf_dir)
-    path = files.scratch(spark, "segments")
-    binarised.write.parquet(path)
-    binarised, rows = spark.read.parquet(path), _gaps(spark, sf_dir)
+    binarised, rows = _kept(_binarised(spark, sf_dir)[0], "segments"), _gaps(spark, sf_dir)
     path = files.scratch(spark, "residuals")
     differences = _side(pair_vectors(spark, sf_dir), False).withColumn("feature", F.col("feature") - WIDTH)
     own = rows.where("part = 'train'")
