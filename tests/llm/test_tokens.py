@@ -245,3 +245,14 @@ def test_rows_of_one_id_start_where_they_lie(spark, tmp_path):
             assert digests[doc_id, at] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             at, seen = at + len(ids), seen + 1
     assert seen == len(rows) == len(digests)
+
+
+def test_digests_read_ids_once(spark, tmp_path):
+    """Totals of files need no ids; a file whose n_tokens are not those of its ids is an error."""
+    write_token_orc(odd_docs(spark, [(k, "some words " * k) for k in range(9)]), f"{tmp_path}/orc", WORDS, end_id=2)
+    files = read_token_orc(spark, f"{tmp_path}/orc")
+    plan = token_digests(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    files.selectExpr("doc_id", "place", "n_tokens + 1 AS n_tokens", "token_ids").write.orc(f"{tmp_path}/other")
+    with pytest.raises(Exception, match="n_tokens is not"):
+        token_digests(read_token_orc(spark, f"{tmp_path}/other")).collect()

@@ -24,6 +24,7 @@ ORC_OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.encoding.strategy": "COMPRESSION",
     "compression": "zstd",
+    "orc.compression.zstd.level": "1",
 }
 
 
@@ -58,7 +59,7 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digests(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 from the files' own ids."""
+    """doc_id, start, n_tokens and ids_crc32 from the files' own ids, which are read once; the totals of files come from their column n_tokens."""
 
     def run(batches):
         for batch in batches:
@@ -66,11 +67,14 @@ def token_digests(files: DataFrame) -> DataFrame:
             flat = np.asarray(lists.flatten()).astype("<u4")
             size = np.asarray(lists.value_lengths())
             stops = np.cumsum(size)
+            if (size != np.asarray(batch.column("n_tokens"))).any():
+                raise ValueError("n_tokens is not the number of a row's ids")
             crc = [zlib.crc32(flat[b - n : b]) for b, n in zip(stops.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("place"), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    each = files.select(F.col("_metadata.file_name").alias("file"), "doc_id", "place", "token_ids").mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
-    totals = each.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
+    named = files.select(F.col("_metadata.file_name").alias("file"), *_COLUMNS)
+    each = named.mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
+    totals = named.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
     before = totals.select("file", (F.sum("total").over(W.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("total")).alias("before"))
     own = F.sum("n_tokens").over(W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     return each.withColumn("own", own).join(before, "file").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
