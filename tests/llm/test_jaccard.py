@@ -136,6 +136,48 @@ def test_verified_pairs_follow_a_group_of_near_copies(spark, monkeypatch):
     assert compared[1] <= 600 and sum(figures[1].values()) <= 2.5 * sum(figures[0].values())
 
 
+def test_groups_spread_thinly_make_no_long_lists(spark, monkeypatch):
+    """Passages of 30 texts each, of which a partition holds one: their elements are known as heavy, and none is in a prefix."""
+    rng = random.Random(13)
+    passages = [sentence(rng, 30, 10**6) for _ in range(12)]
+    rows = [(30 * m + k, f"{sentence(rng, 40, 10**6)} {passage} {sentence(rng, 40, 10**6)}") for m in range(30) for k, passage in enumerate(passages)]
+    rows += [(5000 + k, rows[k][1] + " end") for k in range(0, 360, 45)]
+    seen = []
+
+    def lists(long, *more, own=jaccard_join._long_lists):
+        seen.append(long.count())
+        return own(long, *more)
+
+    monkeypatch.setattr(jaccard_join, "_long_lists", lists)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(30, "doc_id")
+        got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == brute(rows)
+    assert seen == []
+
+
+def test_keys_are_counted_whole(spark, monkeypatch):
+    """Elements of more than LONG_LIST texts, and no others, however few are sorted at once."""
+    monkeypatch.setattr(jaccard_join, "COUNTED", 50)
+    rng = random.Random(17)
+    common = [sentence(rng, 8, 10**6) for _ in range(3)]
+    texts = [common[0] + " " + sentence(rng, 20, 10**6) + (" " + common[1] if k < 25 else "") + (" " + common[2] if k < 24 else "") for k in range(60)]
+    counts: dict = {}
+    for s in shingle_sets(texts, 5):
+        for x in s.tolist():
+            counts[x] = counts.get(x, 0) + 1
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "uid long, text string").repartition(3)
+    for least in (35, 64):
+        monkeypatch.setattr(jaccard_join, "LEAST_KEY_BITS", least)
+        keys, levels, bits = jaccard_join.heavy_elements(docs, 5, sum(counts.values()))
+        want = sorted((x >> (64 - bits), n) for x, n in counts.items() if n > 24)
+        assert keys.tolist() == [x for x, _ in want]
+        assert all((m > n) <= (a >= b) for (_, m), a in zip(want, levels.tolist(), strict=True) for (_, n), b in zip(want, levels.tolist(), strict=True))
+
+
 def boilerplate(n, seed):
     """Texts of a random half of 30 sentences in their order, and near copies of some of them."""
     rng = random.Random(seed)

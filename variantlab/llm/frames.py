@@ -83,6 +83,26 @@ def keyed(df: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> Data
     return df.join(F.broadcast(keys) if small(keys) else keys, on, how)
 
 
+def picked(rows: DataFrame, numbers: DataFrame, on: str, keep: bool = True) -> DataFrame:
+    """The rows whose number (column on: 0 or more, numbered as they lie) is among numbers (column on); with keep=False, the others.
+
+    Rows are not shuffled, however many the numbers: these go to them as bits, 64 to a word, and words beyond BROADCAST_ROWS
+    go in ranges, each to the rows of its range.
+    """
+    word, bits = fresh(rows, "word", "bits")
+    at, bit = F.expr(f"shiftright({on}, 6)"), F.expr(f"CAST({on} & 63 AS int)")
+    words = stored(numbers.groupBy(at.alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({on} & 63 AS int))")).alias(bits)), "bits")
+    parts = -(-words.count() // max(1, BROADCAST_ROWS))
+    cuts = [int(x) for x in words.approxQuantile(word, [k / parts for k in range(1, parts)], 0.1 / parts)] if parts > 1 else []
+    out = None
+    for low, high in zip([0, *cuts], [*cuts, 1 << 57], strict=True):
+        inside = rows.where(F.col(on).between(low << 6, (high << 6) - 1)).withColumn(word, at) if cuts else rows.withColumn(word, at)
+        met = inside.join(F.broadcast(words.where(F.col(word).between(low, high - 1))), word, "inner" if keep else "left")
+        found = met.where(F.coalesce(F.getbit(bits, bit), F.lit(0)) == int(keep)).drop(word, bits)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) as (node, root): root is the smallest node reachable.
 

@@ -21,6 +21,10 @@ Pairs of short lists meet by sketches first (16 bits of about a quarter of the e
 from above, so that whole sets travel for pairs only that may link. Of these, every set is verified against its
 smallest partner before the pairs whose sets are not connected by then. No link between different components is dropped.
 
+The order of elements takes the heavy ones last. Heavy ones are counted over all sets before the lists are made, by sorted
+keys that travel as differences of about two bytes: a group spread thinly over many tasks is seen as well as one in a single
+task, so the share of heavy elements in prefixes does not grow with the input.
+
 Sets are sets of 64-bit shingle hashes; equal sets are found by the 128-bit digest of their content, and one row of
 each, a node, does the work and is named by its row number.
 
@@ -41,14 +45,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .frames import components, dropped, keyed, small, stored, word_text
+from .frames import components, dropped, picked, small, stored, word_text
 from .words import mix, shingle_sets
 
-#: Elements that a task of the first pass sees this often or more are reported as heavy; it only shapes the order of elements.
-LOCAL_HEAVY = 3
-#: Heavy elements kept for the order of elements, most frequent first: a bound on what is broadcast, 16 bytes each.
-HEAVY_KEPT = 1 << 17
 LONG_LIST = 24
+#: Heavy elements (of more than LONG_LIST sets) kept for the order of elements, most frequent first: a bound on what is broadcast, 9 bytes each.
+HEAVY_KEPT = 1 << 22
+#: Bits of an element by which it is counted, at least: differences of a task's sorted keys then take 16 bits at any input up to about 40 GB.
+LEAST_KEY_BITS = 35
+#: Elements that a task of the counting pass sorts at once.
+COUNTED = 2_000_000
 #: Long lists get another centre if the last one took in this share of the postings.
 TAKEN = 0.25
 #: Members under a combination of elements that are compared with one another.
@@ -108,32 +114,86 @@ def _sketch(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """First pass: kind 0 rows (doc_id, n, node, sketch, uid) for each document (uid, doc_id, text); kind 1 rows (hash, count) for elements often met in one task."""
+    """First pass: (doc_id, n, node, sketch, uid) for each document (uid, doc_id, text)."""
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int16())), ("uid", pa.int64())])
-        kept: list[np.ndarray] = []
-        many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int16())), ("uid", pa.int64())])
+        for part, sets in _rows(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int16())), part.column("uid")], schema=schema)
 
-        def settle():
-            values, counts = np.unique(np.concatenate([*kept, many[0]]), return_inverse=True)
-            total = np.bincount(counts, weights=np.concatenate([np.ones(len(counts) - len(many[1])), many[1]]), minlength=len(values)).astype(np.int64)
-            kept.clear()
-            keep = total >= 2
-            return values[keep], total[keep]
+    return docs.select("uid", "doc_id", word_text().alias("text")).mapInArrow(run, "doc_id long, n long, node binary, sketch array<smallint>, uid long")
 
-        for part, sets in _rows(batches, width):
-            kept += sets
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int16())), part.column("uid")], schema=schema)
-            if sum(map(len, kept)) > 2_000_000:
-                many = settle()
+
+_KEYS = "part int, first long, near binary, at binary, far binary"
+
+
+def _key_packs(docs: DataFrame, width: int, bits: int, parts: int) -> DataFrame:
+    """The elements' upper bits, sorted within a task and packed by range (part): the first, then differences, whose bits from 16 on (far) stand apart with their places."""
+
+    def run(batches):
+        def pack(kept: list[np.ndarray]):
+            keys = np.sort(np.concatenate(kept) >> np.uint64(64 - bits))
+            goes = (keys >> np.uint64(bits - 20)) * np.uint64(parts) >> np.uint64(20)
+            cut = np.flatnonzero(np.diff(goes)) + 1
+            out = [[] for _ in range(5)]
+            for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
+                gap = np.diff(keys[a:b])
+                at = np.flatnonzero(gap >> np.uint64(16))
+                for col, v in zip(out, (int(goes[a]), int(keys[a : a + 1].view(np.int64)[0]), gap.astype(np.uint16).tobytes(), at.astype(np.int32).tobytes(), (gap[at] >> np.uint64(16)).tobytes()), strict=True):
+                    col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32(), pa.int64()] + [pa.binary()] * 3, strict=True)], names=[c.split()[0] for c in _KEYS.split(", ")])
+
+        kept: list[np.ndarray] = []
+        for _, sets in _rows(batches, width):
+            kept += [s for s in sets if len(s)]
+            if sum(map(len, kept)) >= COUNTED:
+                yield pack(kept)
+                kept = []
         if kept:
-            many = settle()
-        heavy = many[1] >= LOCAL_HEAVY
-        h, n = many[0][heavy], many[1][heavy]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.list_(pa.int16())), pa.nulls(len(h), pa.int64())], schema=schema)
+            yield pack(kept)
+
+    return docs.select(word_text().alias("text")).mapInArrow(run, _KEYS)
+
+
+def _unpacked(first: int, near: bytes, at: bytes, far: bytes) -> np.ndarray:
+    keys = np.zeros(len(near) // 2 + 1, np.uint64)
+    keys[0] = np.array(first, np.int64).view(np.uint64)
+    keys[1:] = np.frombuffer(near, np.uint16)
+    keys[1 + np.frombuffer(at, np.int32)] += np.frombuffer(far, np.uint64) << np.uint64(16)
+    return np.cumsum(keys, dtype=np.uint64)
 
-    return docs.select("uid", "doc_id", word_text().alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node binary, sketch array<smallint>, uid long")
+
+def heavy_elements(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ascending keys of the elements that more than LONG_LIST of docs have, their levels (higher: more frequent) and the keys' bits.
+
+    A key is an element's upper bits, two more than total elements need, so that few elements share one; sharing only shapes the order.
+    """
+    bits = min(64, max(LEAST_KEY_BITS, int(total).bit_length() + 2))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, total // (2 * PART_POSTINGS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.sort(np.concatenate([_unpacked(*r) for r in zip(pdf["first"], pdf.near, pdf["at"], pdf.far, strict=True)]))
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        count = np.diff(np.concatenate((begin, [len(keys)])))
+        begin, count = begin[count > LONG_LIST], count[count > LONG_LIST]
+        level = np.minimum(255, 4 * np.log2(count)).astype(int)
+        own = [(int(k), int((level == k).sum()), keys[begin[level == k]].tobytes()) for k in np.unique(level)]
+        return pd.DataFrame(own, columns=["level", "n", "keys"])
+
+    packs = _key_packs(docs, width, bits, parts).repartition(parts, "part")
+    found = stored(packs.groupBy("part").applyInPandas(run, "level int, n long, keys binary"), "heavy")
+    kept, least = 0, 256
+    for level, n in found.groupBy("level").agg(F.sum("n")).orderBy(F.desc("level")).collect():
+        kept += n
+        if kept > HEAVY_KEPT:
+            break
+        least = level
+    rows = found.where(f"level >= {least}").select("level", "keys").collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[1], np.uint64) for r in rows)])
+    levels = np.repeat(np.array([r[0] for r in rows], np.uint8), [len(r[1]) // 8 for r in rows])
+    order = np.argsort(keys)
+    return keys[order], levels[order], bits
 
 
 def boundary(histogram: list[tuple[int, int]], rule: Rule) -> int:
@@ -153,18 +213,33 @@ def _subset_keys(s: np.ndarray, c: int) -> np.ndarray:
     return mix(mix(s)[picks].sum(axis=1, dtype=np.uint64) + mix(np.array([c], np.uint64)))
 
 
-_POSTINGS = "part int, kind int, nodes binary, sizes binary, rares binary, counts binary, places binary, hashes binary"
+_UNSIGNED = (np.uint8, np.uint16, np.uint32, np.uint64)
+
 
+def _narrow(v: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in the least width that holds them, which the first byte names."""
+    width = next(k for k, t in enumerate(_UNSIGNED) if not len(v) or v.max() <= np.iinfo(t).max)
+    return bytes([width]) + v.astype(_UNSIGNED[width]).tobytes()
 
-def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], x: int, parts: int) -> DataFrame:
+
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, _UNSIGNED[b[0]], offset=1).astype(np.int64)
+
+
+_POSTINGS = "part int, kind int, base long, nodes binary, sizes binary, heavies binary, counts binary, places binary, hashes binary"
+
+
+def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, np.ndarray, int], x: int, parts: int) -> DataFrame:
     """Second pass, over one document of each set. kind 0: light list postings, 1: heavy ones, c + 1: keys of subsets of size c.
 
     Postings are packed by part, which their hash decides; heavy ones go to parts by document, as their lists are not gathered.
+    Beside its hash, a posting mostly stands alone for its set in a part, so what a part has of a set is narrow: its number
+    from the pack's base on, its size, and how many of its prefix are heavy.
     """
     link = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
-        heavy_hash, heavy_rank = link.value
+        keys, levels, bits = link.value
         for part, sets in _rows(batches, width):
             rows: list[tuple] = []
             for name, s in zip(part.column("uid").to_pylist(), sets, strict=True):
@@ -174,9 +249,10 @@ def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, n
                 if n <= x:
                     rows += [(name, n, 0, c + 1, np.zeros(comb(n, c), np.int32), _subset_keys(s, c)) for c in rule.subset_sizes(n)]
                 if n >= rule.smallest(x + 1):
-                    if len(heavy_hash):
-                        at = np.minimum(np.searchsorted(heavy_hash, s), len(heavy_hash) - 1)
-                        rank = np.where(heavy_hash[at] == s, heavy_rank[at], 0)
+                    if len(keys):
+                        key = s >> np.uint64(64 - bits)
+                        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        rank = np.where(keys[at] == key, levels[at], 0)
                         order = np.argsort(rank, kind="stable")[: rule.prefix(n)]
                         split = int(np.searchsorted(rank[order], 1))
                     else:
@@ -194,18 +270,19 @@ def postings(docs: DataFrame, width: int, rule: Rule, heavy: tuple[np.ndarray, n
             kinds = np.array([r[3] for r in rows])[owner]
             names = np.array([r[0] for r in rows], np.int64)
             sizes = np.array([r[1] for r in rows], np.int32)
-            rares = np.array([r[2] for r in rows], np.int32)
+            heavies = np.array([rule.prefix(r[1]) - r[2] for r in rows], np.int64)
             spread = np.where(kinds == 1, mix(np.arange(len(rows), dtype=np.uint64))[owner], mix(hashes ^ np.uint64(0xA5A5A5A5)))
             goes = (spread % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((owner, kinds, goes))
             goes, kinds, owner, hashes, places = goes[order], kinds[order], owner[order], hashes[order], places[order]
             cut = np.flatnonzero(np.diff(goes * 64 + kinds)) + 1
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for a, b in zip([0, *cut], [*cut, len(goes)], strict=True):
                 own, count = np.unique(owner[a:b], return_counts=True)
-                for col, v in zip(out, (int(goes[a]), int(kinds[a]), names[own].tobytes(), sizes[own].tobytes(), rares[own].tobytes(), count.astype(np.int32).tobytes(), places[a:b].tobytes(), hashes[a:b].tobytes()), strict=True):
+                base = int(names[own].min())
+                for col, v in zip(out, (int(goes[a]), int(kinds[a]), base, *map(_narrow, (names[own] - base, sizes[own], heavies[own], count, places[a:b])), hashes[a:b].tobytes()), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 2 + [pa.binary()] * 6, strict=True)], names=[c.split()[0] for c in _POSTINGS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * 6, strict=True)], names=[c.split()[0] for c in _POSTINGS.split(", ")])
 
     return docs.select("uid", word_text().alias("text")).mapInArrow(run, _POSTINGS)
 
@@ -224,11 +301,9 @@ def gather(packs: DataFrame, rule: Rule, x: int, parts: int) -> DataFrame:
             found.append(pd.DataFrame({"kind": np.full(n, kind, np.int32), "hash": h, "a": a, "b": b if b is not None else -1, "size_a": size, "place_a": place, "rare_a": rare}))
 
         for kind, packs in pdf.groupby("kind"):
-            names = np.concatenate([np.frombuffer(v, np.int64) for v in packs.nodes])
-            sizes = np.concatenate([np.frombuffer(v, np.int32) for v in packs.sizes])
-            rares = np.concatenate([np.frombuffer(v, np.int32) for v in packs.rares])
-            count = np.concatenate([np.frombuffer(v, np.int32) for v in packs.counts])
-            places = np.concatenate([np.frombuffer(v, np.int32) for v in packs.places])
+            names = np.concatenate([base + _wide(v) for base, v in zip(packs.base, packs.nodes, strict=True)])
+            sizes, heavies, count, places = (np.concatenate([_wide(v) for v in packs[c]]).astype(np.int32) for c in ("sizes", "heavies", "counts", "places"))
+            rares = rule.prefix(sizes.astype(np.int64)) - heavies
             hashes = np.concatenate([np.frombuffer(v, np.uint64) for v in packs.hashes])
             owner = np.repeat(np.arange(len(names)), count)
             if kind == 1:
@@ -502,27 +577,30 @@ def _long_lists(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame
     return tables
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, numbered: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    numbered: doc_id is a stored number of each row, 0 or more in the order in which rows lie, so texts need not be stored anew.
+    """
     spark, rule = docs.sparkSession, Rule(percent)
     # ids may be null or stand for several texts, so rows are named by a stored uid
-    docs = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "docs")
+    if numbered:
+        docs = docs.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    else:
+        docs = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "docs")
     first = stored(describe(docs, width), "sets")
-    rows = first.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "uid")
+    rows = stored(first.select("doc_id", F.col("n").alias("n_shingles"), "node", "uid"), "rows")
     histogram = [(r[0], r[1]) for r in rows.where(f"n_shingles BETWEEN 1 AND {4 * MAX_SUBSET_SIZE}").groupBy("n_shingles").count().collect()]
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     x = boundary(histogram, rule)
-    top = first.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(HEAVY_KEPT).collect()
-    hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    heavy = hashes[order], np.array([r[1] for r in top], np.int64)[order]
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * (100 - percent) / 100 / PART_POSTINGS))
     # one row of each set does the work; the aggregate is stored so that joins with it can split a large group of copies
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.count("*").alias("n_rows")), "nodes")
     copies = stored(rows.join(nodes.where("n_rows > 1").select("node", F.col("uid").alias("kept")), "node").where("uid > kept").select("uid"), "copies")
-    single = keyed(docs, copies, "uid", "left_anti")
+    single = picked(docs, copies, "uid", keep=False)
+    heavy = heavy_elements(single, width, total)
     found = stored(gather(postings(single, width, rule, heavy, x, parts), rule, x, parts), "found")
     heavy_rows = found.where("kind = 1").select("hash", "a", "size_a", "place_a", "rare_a").distinct()
     lengths = stored(heavy_rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("size_a").alias("least")).where("n > 1"), "lengths")
@@ -532,12 +610,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     pairs = stored(pairs.unionByName(_short_lists(lists.where(f"n <= {LONG_LIST}"), rule)).distinct(), "candidates")
     long = lists.where(f"n > {LONG_LIST}")
     asked = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "asked")
-    sketches = first.where("kind = 0 AND node IS NOT NULL").select(F.col("uid").alias("node"), "n", "sketch")
-    sketches = stored(keyed(sketches, asked.withColumnRenamed("a", "node"), "node", "left_semi"), "sketches")
+    sketches = first.where("node IS NOT NULL").select(F.col("uid").alias("node"), "n", "sketch")
+    sketches = stored(picked(sketches, asked.withColumnRenamed("a", "node"), "node"), "sketches")
+    dropped(first)
     pairs = stored(plausible(pairs, sketches, rule), "plausible")
+    dropped(sketches)
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select("a")).distinct()
-    sets = stored(_set_table(keyed(docs, asked.withColumnRenamed("a", "uid"), "uid", "left_semi"), width), "items")
-    dropped(docs)
+    sets = stored(_set_table(picked(docs, asked.withColumnRenamed("a", "uid"), "uid"), width), "items")
+    if not numbered:
+        dropped(docs)
     links = proven(pairs, sets, rule).unionByName(found.where("kind = 2").select("a", "b"))
     if not long.isEmpty():
         for table in _long_lists(long, sets, rule):
