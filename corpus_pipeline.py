@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from variantlab.llm.decontaminate import decontaminate
-from variantlab.llm.frames import fresh, keyed, stored
+from variantlab.llm.frames import fresh, picked, stored
 from variantlab.llm.jaccard_join import jaccard_components
 from variantlab.llm.packing import pack
 from variantlab.llm.secret_scan import redacted, secret_spans
@@ -37,7 +37,7 @@ def _by_row(rows: DataFrame, row: str) -> DataFrame:
 
 
 def _without(rows: DataFrame, rejected: DataFrame, row: str) -> DataFrame:
-    return keyed(rows, stored(rejected.select(row), "rejected"), row, "left_anti").drop(row)
+    return picked(rows, rejected.select(row), row, keep=False).drop(row)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: the smallest id, null ids last, and of equal ids the first row."""
     rows, row = _numbered(docs)
-    groups = jaccard_components(_by_row(rows, row)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = jaccard_components(_by_row(rows, row), numbered=True).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     ids = rows.select(F.col(row).alias("row"), F.col("doc_id").isNull().alias("last"), "doc_id")
     groups = stored(ids.join(groups, "row"), "groups")
     first = groups.groupBy("group").agg(F.min(F.struct("last", "doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -62,6 +62,27 @@ def test_contaminated_rows_go_by_row(spark, tmp_path):
     assert got == sorted((r for k, r in enumerate(docs) if k not in bad), key=str)
 
 
+def test_near_copies_are_taken_out_where_texts_lie(spark, monkeypatch):
+    """Beyond any broadcast limit: texts are stored once before the join, and neither there nor after it are they shuffled to drop copies."""
+    monkeypatch.setattr("variantlab.llm.frames.BROADCAST_ROWS", 1)
+    kept = []
+
+    def counted(df, name, own=stored):
+        kept.extend([name] * ("text" in df.columns))
+        return own(df, name)
+
+    monkeypatch.setattr(pipeline, "stored", counted)
+    monkeypatch.setattr("variantlab.llm.jaccard_join.stored", counted)
+    rng = random.Random(6)
+    texts = [sentence(rng, 60) for _ in range(40)]
+    docs = [(k, t) for k, t in enumerate(texts + [t + " end" for t in texts] + texts)]
+    out = pipeline.jaccard_stage(spark, odd_docs(spark, docs).repartition(4), "")
+    assert kept == ["numbered"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert rows_of(out) == sorted(docs[:40], key=str)
+
+
 def test_secrets_are_replaced_by_text(spark):
     one, two = "x password=abcdefgh1 y", "longer text, then token=12345678 and z"
     docs = [(1, one), (1, two), (1, "clean"), (None, one), (None, "clean"), (None, None), (2, SECRETS[3][1]), (2, one)]
